@@ -1,14 +1,16 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from tabloom.llm import chat, mixing, sentencepiece_viterbi
+from tabloom.llm import chat, mixing, pii, sentencepiece_viterbi
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.op1_sentencepiece,
     "op2_chat": chat.op2_chat,
+    "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
 }
 
 ORACLES = {
     "op2_chat": chat.ORACLE,
+    "op3_pii": pii.pii_oracle(),
     "op4_mixing": mixing.mixing_oracle(),
 }
