@@ -50,7 +50,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: list[T.StructField],
     types = [_arrow_type(f.dataType) for f in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, max(b.num_rows, 1), 1000)):
             old = [batch.column(i) for i in range(len(keep))]
             new = fn([batch.column(len(keep) + i) for i in range(len(inputs))])
             new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) and x.type == t else pa.array(x, type=t) for x, t in zip(new, types, strict=True)]

@@ -14,7 +14,9 @@ Nulls give null ids and null texts; the empty text gives no ids; ids that are no
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ MARK = "▁"
 class PieceCoder:
     """The pieces of one model, and the encoder and decoder over them."""
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 250_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -43,10 +45,11 @@ class PieceCoder:
         self.score = {pieces[i]: model.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces of this model reach over word bounds")
-        #: The longest piece by its last three characters: no longer ones need be tried there.
-        self.longest: dict[str, int] = {}
-        for p in self.id:
-            self.longest[p[-3:]] = max(len(p), self.longest.get(p[-3:], 0))
+        self.pieces = pieces
+        #: Starts of pieces; a walk over a word keeps the longest that ends where it stands.
+        self.starts = {p[:i] for p in self.id for i in range(len(p) + 1)}
+        self.moves: dict[str, dict[str, str]] = {}
+        self.ends: dict[str, list[tuple[int, int]]] = {}
         #: Line ends that no piece holds are bounds as well, which keeps the distinct words few.
         self.lines = not any("\n" in p for p in self.id)
         self.bytes_of = [b""] * len(pieces)
@@ -57,8 +60,11 @@ class PieceCoder:
                 self.bytes_of[i] = bytes([int(p[3:5], 16)])
             elif not model.is_control(i):
                 self.bytes_of[i] = p.replace(MARK, " ").encode()
+        #: Two neighbours that no piece holds side by side never merge: a word is cut there, exactly.
+        self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.packed: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.parts: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
         self.most_words = most_words
 
     def merged(self, text: str) -> list[str]:
@@ -74,45 +80,85 @@ class PieceCoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(left + right) == [left, right]
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether two pieces side by side are what the merges make of their text."""
+        if len(self.apart) > 1_000_000:
+            self.apart.clear()
+        a, b = self.pieces[left], self.pieces[right]
+        known = self.apart[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct marked words as packed 32-bit integers; one walk over their trie."""
-        out, ids, longest, apart, known = {}, self.id, self.longest.get, self.stay_apart, self.apart.get
-        last, before = [""], ""
+    def move(self, state: str, c: str) -> str:
+        """The longest start of a piece that ends in c after ``state``."""
+        now = state + c
+        while now not in self.starts:
+            now = now[1:]
+        if now or c in self.starts:
+            self.moves.setdefault(state, {})[c] = now
+        return now
+
+    def ending(self, state: str) -> list[tuple[int, int]]:
+        """Length and id of the pieces that end a state, the longest first."""
+        tails = (state[i:] for i in range(len(state)))
+        found = self.ends[state] = [(len(p), self.id[p]) for p in tails if p in self.id and (len(p) == 1 or self.merged(p) == [p])]
+        return found
+
+    def cut(self, word: str) -> list[str]:
+        """The word in parts that merge on their own."""
+        joined, out, start = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of marked words as packed 32-bit integers."""
+        cut = [self.cut(w) for w in words]
+        if len(self.parts) > self.most_words:
+            self.parts.clear()
+        parts = self.parts
+        parts.update(self.encode_parts(set(itertools.chain.from_iterable(cut)).difference(parts)))
+        return [parts[c[0]] if len(c) == 1 else b"".join(map(parts.__getitem__, c)) for c in cut]
+
+    def encode_parts(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct parts; one walk over their trie."""
+        out, known, apart = {}, self.apart.get, self.stay_apart
+        moves, ends, none, pack = self.moves, self.ends, {}, struct.Struct("<i").pack
+        # For each prefix of the word: the state, the last piece's id (below 0: a character beyond the model) and length.
+        states, last, lengths, before = [""], [0], [0], ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for n in range(shared + 1, len(word) + 1):
-                tail = word[n - 3 : n] if n >= 3 else word[:n]
-                for j in range(max(0, n - longest(tail, 2)), n):
-                    piece = word[j:n]
-                    if piece in ids or j == n - 1:
-                        left = last[j]
-                        if j == 0 or known((left, piece)) or apart(left, piece):
-                            last.append(piece)
-                            break
+            del states[shared + 1 :], last[shared + 1 :], lengths[shared + 1 :]
+            state = states[shared]
+            for n in range(shared, len(word)):
+                c = word[n]
+                state = moves.get(state, none).get(c) or self.move(state, c)
+                states.append(state)
+                for length, piece in ends[state] if state in ends else self.ending(state):
+                    left = last[n + 1 - length]
+                    if length > n or left < 0 or (kept := known(left << 32 | piece)) or (kept is None and apart(left, piece)):
+                        last.append(piece)
+                        lengths.append(length)
+                        break
                 else:
-                    raise AssertionError(f"no segmentation of {word[:n]!r}")
+                    if state:
+                        raise AssertionError(f"no segmentation of {word[: n + 1]!r}")
+                    last.append(-1 - ord(c))
+                    lengths.append(1)
             before, n, found = word, len(word), []
             while n:
                 piece = last[n]
-                i = ids.get(piece)
-                if i is None:
-                    found += [self.byte_id[b] for b in reversed(piece.encode())]
+                if piece < 0:
+                    found += [self.byte_id[b] for b in reversed(chr(-1 - piece).encode())]
                 else:
-                    found.append(i)
-                n -= len(piece)
-            out[word] = np.array(found[::-1], dtype="<i4").tobytes()
+                    found.append(piece)
+                n -= lengths[n]
+            found.reverse()
+            out[word] = pack(found[0]) if len(found) == 1 else struct.pack(f"<{len(found)}i", *found)
         return out
 
     def words(self, text: str) -> list[str]:
@@ -145,9 +191,8 @@ class PieceCoder:
             if len(self.packed) > self.most_words:
                 self.packed.clear()
             packed = self.packed
-            new = set().union(*split).difference(packed)
-            coded = self.encode_words([self.marked(w) for w in new])
-            packed.update((w, coded[self.marked(w)]) for w in new)
+            new = list(set().union(*split).difference(packed))
+            packed.update(zip(new, self.encode_words([self.marked(w) for w in new]), strict=True))
             done += [None if t is None else b"".join(map(packed.__getitem__, s)) for t, s in zip(texts[a:b], split, strict=True)]
         return done
 
@@ -198,6 +243,16 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model:
     return with_columns(df, [ids_col], [T.StructField(out_col, T.StringType())], fn)
 
 
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``encode`` (packed) and ``decode`` in one pass over the rows."""
+
+    def fn(columns: list[pa.Array]) -> list:
+        ids = coder(model).encode(columns[0].to_pylist())
+        return [ids, coder(model).decode(ids)]
+
+    return with_columns(df, [text_col], [T.StructField(ids_col, T.BinaryType()), T.StructField(out_col, T.StringType())], fn)
+
+
 def packed_length(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -209,5 +264,5 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoder's, and round_trip tells whether that is the text; null texts count as empty.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs, packed=True))
+    both = round_trip(docs)
     return both.select("doc_id", packed_length(F.col("ids")).alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
