@@ -1,12 +1,16 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from tabloom.llm import chat, mixing, pii, sentencepiece_viterbi
+from tabloom.llm import chat, langid, licenses, mixing, pii, repetition, sentencepiece_viterbi, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.op1_sentencepiece,
     "op2_chat": chat.op2_chat,
     "op3_pii": pii.op3_pii,
     "op4_mixing": mixing.op4_mixing,
+    "op5_repetition": repetition.op5_repetition,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_langid": langid.op7_langid,
+    "op8_licenses": licenses.op8_licenses,
 }
 
 ORACLES = {
