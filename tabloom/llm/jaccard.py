@@ -339,11 +339,15 @@ def link_classes(kept: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
         rounds += 1
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row for each row: id, n_shingles and component_id, the smallest id of its group."""
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, marks: bool = False) -> DataFrame:
+    """One row for each row: id, n_shingles and component_id, the smallest id of its group.
+
+    With ``marks`` also ``mark``, xxhash64 of the text, and ``key``, one number for each group (null
+    for an empty set), which tell rows of one id or of none apart.
+    """
     bounds = Bounds(num, den)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = saved(_classes(docs, size))
+    rows = saved(_classes(docs.withColumn("mark", F.xxhash64("text")), size))
     total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK))
     kept = saved(_kept(_shared(_post(docs, size, bounds, blocks), blocks), bounds))
@@ -354,7 +358,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     known = rows.join(labels, "class", "left").withColumn("key", F.coalesce("label", "class"))
     first = known.where("key is not null").groupBy("key").agg(F.min("id").alias("component"))
     out = known.join(first, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), *(["mark", "key"] if marks else []))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

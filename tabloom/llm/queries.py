@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from tabloom.llm import chat, langid, licenses, mixing, pii, repetition, sentencepiece_viterbi, toxicity
+from tabloom.llm import chat, jaccard, langid, licenses, mixing, pii, repetition, sentencepiece_viterbi, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.op1_sentencepiece,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_langid": langid.op7_langid,
     "op8_licenses": licenses.op8_licenses,
+    "op9_jaccard": jaccard.op9_jaccard,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
