@@ -1,0 +1 @@
+"""Column functions: random numbers and logical types."""

@@ -1,0 +1 @@
+"""Operators: profile, distributions, encoding, information, networks, generation, reports."""

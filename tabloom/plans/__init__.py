@@ -1,0 +1 @@
+"""Models of tables, the end-to-end façade, and the registered queries."""
