@@ -5,19 +5,21 @@ which is the global order of all sets. Documents with equal sets form a class; a
 between classes, so copies cost nothing beyond the first pass. Two sets link when their Jaccard
 similarity is at least ``num / den``.
 
-1. Candidates, exactly. With sizes n and overlap o, the first n - o + l hashes of two linked sets
+1. Survivors, exactly. With sizes n and overlap o, the first n - o + l hashes of two linked sets
    share at least l. Each class posts that many, with o the least overlap any partner must have and
-   l = n / 8. Postings are dealt out by hash in packed blocks; hashes in one class only are
-   dropped, and of the rest each class keeps its rarest, as many as needed so that two linked
-   classes still share one. A class that shares too few to have a partner leaves here.
-2. Links, by hubs. In each group of classes that share a hash, pairs with a few hubs are verified,
-   and the links merge the classes' components. A hub is then done in its group, and a group whose
-   members are in one component is done as a whole. Hubs a round grow until no group is left, so
-   each pair that shares a kept hash is verified or already connected; pairs are never all listed.
-3. Verification, in tries. Around a hub, members in blocks of about 512 are walked as a trie in
-   global order: the overlap with the hub along a shared start is counted once, and a subtree is
-   left as soon as the hashes that remain cannot reach the overlap needed.
-4. Components come from large-star / small-star rounds over the links, all in tables.
+   l = n / 8, in blocks of hashes; a class of whose postings too few are posted by others can have
+   no partner and leaves here.
+2. Candidates, exactly. The whole sets of the survivors are posted, and each class keeps the rarest
+   of its hashes, as many as needed so that two linked classes share one (the prefix filter, with
+   the true counts as the order). Hashes that only one class has are the rarest of all.
+3. Links, by hubs. In each group of classes that share a kept hash, pairs with a few hubs are
+   verified first; the links merge components, and a group in one component is done. What is left of
+   small groups is verified pair by pair where components differ. Large groups that overlap make
+   clusters, which are cut into blocks; each pair of blocks is a task that joins two tries.
+4. Verification walks tries: the sets around a hub in the global order, so that the overlap along a
+   shared start is counted once, and a subtree is left as soon as the hashes that remain cannot
+   reach the overlap needed.
+5. Components come from large-star / small-star rounds over the links, all in tables.
 
 Null and empty texts and texts without words have an empty set, link with nothing and are groups of
 their own; fewer words than a shingle make one shingle; repeated rows are copies; a null id can be
@@ -43,8 +45,8 @@ from tabloom.llm.common import Cache, chunks, saved, table, with_columns
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Postings of one block of hashes, and members walked around a hub at once, about.
 BLOCK, AROUND = 2_000_000, 512
-#: Hubs of a group in the first rounds; the last number quadruples from then on.
-HUBS = (1, 8)
+#: Hubs of each group in the first rounds; members of a small group; members of a block of a cluster.
+HUBS, SMALL, SIDE = (1, 8), 64, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
 _NO_ID = -(2**63)
@@ -101,8 +103,8 @@ class Bounds:
     def posted(self, n: int) -> int:
         return n - self.least(n) + max(1, n // 8)
 
-    def kept(self, n: int) -> int:
-        return self.posted(n) - max(1, self.least(n) // 8) + 1
+    def fits(self, n: int, m: int) -> bool:
+        return min(n, m) * self.den >= max(n, m) * self.num
 
 
 def _classes(docs: DataFrame, size: int) -> DataFrame:
@@ -114,40 +116,58 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     return with_columns(docs, ["text"], [T.StructField("n", T.LongType()), T.StructField("class", T.LongType())], fn).drop("text")
 
 
-def _post(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> DataFrame:
-    """The first hashes of each class, packed by block of hashes: one row for each batch and block."""
+_POSTED = "block long, hashes binary, runs binary, classes binary, sizes binary"
+
+
+def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], blocks: int) -> pa.RecordBatch:
+    """Postings of some classes as one row for each block of hashes that they reach."""
+    counts = [len(h) for h in hashes]
+    flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+    block = (flat // np.uint64((2**64 - 1) // blocks + 1)).astype(np.int64) if blocks > 1 else np.zeros(len(flat), np.int64)
+    order = np.argsort(block, kind="stable")
+    flat, owner, block = flat[order], owner[order], block[order]
+    names, of_size = np.array(classes, np.int64), np.array(sizes, np.int32)
+    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    rows = []
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
+        of, runs = np.unique(owner[lo:hi], return_counts=True)  # owners rise within a block
+        rows.append((int(block[lo]), flat[lo:hi].tobytes(), runs.astype(np.int32).tobytes(), names[of].tobytes(), of_size[of].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["block", "hashes", "runs", "classes", "sizes"])
+
+
+def _post_starts(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> DataFrame:
+    """The first hashes of each class, once for each batch that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.uint64((2**64 - 1) // blocks + 1) if blocks > 1 else None
         for batch in batches:
             seen: dict[int, int] = {}
-            hashes, counts = [], []
+            hashes = []
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in chunks(texts):
                 for s in shingle_sets(texts[a:b], size):
                     if len(s) and (c := class_of(s)) not in seen:
                         seen[c] = len(s)
-                        hashes.append(s[: bounds.posted(len(s))])
-                        counts.append(len(hashes[-1]))
-            if not seen:
-                continue
-            flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
-            block = (flat // step).astype(np.int64) if step is not None else np.zeros(len(flat), np.int64)
-            order = np.argsort(block, kind="stable")
-            flat, owner, block = flat[order], owner[order], block[order]
-            names, sizes = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32)
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            rows = []
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
-                of, runs = np.unique(owner[lo:hi], return_counts=True)  # owners rise within a block
-                rows.append((int(block[lo]), flat[lo:hi].tobytes(), runs.astype(np.int32).tobytes(), names[of].tobytes(), sizes[of].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["block", "hashes", "runs", "classes", "sizes"])
+                        hashes.append(s[: bounds.posted(len(s))].copy())
+            if seen:
+                yield _packed(hashes, list(seen), list(seen.values()), blocks)
+
+    return docs.select("text").mapInArrow(run, _POSTED)
 
-    return docs.select("text").mapInArrow(run, "block long, hashes binary, runs binary, classes binary, sizes binary")
 
+def _post_sets(sets: DataFrame, blocks: int) -> DataFrame:
+    """All hashes of some classes."""
 
-def _shared(posted: DataFrame, blocks: int) -> DataFrame:
-    """Of each class, the posted hashes that other classes post too, with the number of classes; by block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes = [np.frombuffer(h, ">u8").astype(np.uint64) for h in batch.column(2).to_pylist()]
+                yield _packed(hashes, batch.column(0).to_pylist(), batch.column(1).to_pylist(), blocks)
+
+    return sets.select("class", "n", "hashes").mapInArrow(run, _POSTED)
+
+
+def _shared(posted: DataFrame, blocks: int, counts_only: bool) -> DataFrame:
+    """Of each class, by block, the posted hashes that other classes post too: their number, or they and how many post them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
@@ -178,17 +198,26 @@ def _shared(posted: DataFrame, blocks: int) -> DataFrame:
         cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
         ends = np.r_[cuts[1:], len(classes)]
         for a in range(0, len(cuts), 5000):
-            part = list(zip(cuts[a : a + 5000], ends[a : a + 5000], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(classes[cuts[a : a + 5000]]), pa.array(sizes[cuts[a : a + 5000]].astype(np.int64)), pa.array([hashes[lo:hi].tobytes() for lo, hi in part], pa.binary()), pa.array([held[lo:hi].tobytes() for lo, hi in part], pa.binary())],
-                names=["class", "n", "hashes", "held"],
-            )
+            lo, hi = cuts[a : a + 5000], ends[a : a + 5000]
+            head = [pa.array(classes[lo]), pa.array(sizes[lo].astype(np.int64))]
+            if counts_only:
+                yield pa.RecordBatch.from_arrays([*head, pa.array((hi - lo).astype(np.int64))], names=["class", "n", "shared"])
+            else:
+                part = list(zip(lo, hi, strict=True))
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array([x[i:j].tobytes() for i, j in part], pa.binary()) for x in (hashes, held))], names=["class", "n", "hashes", "held"])
+
+    return posted.repartition(blocks, "block").mapInArrow(run, "class long, n long, shared long" if counts_only else "class long, n long, hashes binary, held binary")
 
-    return posted.repartition(blocks, "block").mapInArrow(run, "class long, n long, hashes binary, held binary")
+
+def _survivors(shared: DataFrame, bounds: Bounds) -> DataFrame:
+    """Classes of which enough posted hashes are shared: as many as a partner's must be, at least."""
+    n, den = F.col("n"), bounds.den
+    least = -F.floor(-(n * bounds.num) / den)
+    return shared.groupBy("class", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / 8))).select("class")
 
 
 def _kept(shared: DataFrame, bounds: Bounds) -> DataFrame:
-    """Rows of (hash, class, n): each class's rarest posted hashes, of those that are shared at all."""
+    """Rows of (hash, class, n): the shared ones among the n - least + 1 rarest hashes of each class."""
     whole = shared.groupBy("class", "n").agg(F.collect_list(F.struct("hashes", "held")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +225,7 @@ def _kept(shared: DataFrame, bounds: Bounds) -> DataFrame:
             out, classes, sizes = [], [], []
             for c, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 hashes, held = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in (("hashes", np.uint64), ("held", np.int32)))
-                room = bounds.kept(n) - (bounds.posted(n) - len(hashes))  # hashes of this class alone are the rarest
+                room = len(hashes) - bounds.least(n) + 1  # those of this class alone come first and take the rest
                 if room > 0:
                     out.append(hashes[np.lexsort((hashes, held))[:room]].astype(np.int64))
                     classes.append(np.full(len(out[-1]), c))
@@ -306,37 +335,87 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(now.select("v", F.col("v").alias("label")).distinct())
 
 
+def _clusters(groups: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links (a, b) between components among the classes of large groups (hash, class, label).
+
+    Overlapping groups make a cluster; its m classes are dealt into m / SIDE blocks, and every pair
+    of blocks meets in one task. A class goes to as many tasks as there are blocks, not classes.
+    """
+    of = components(groups.groupBy("hash").agg(F.min("class").alias("a")).join(groups, "hash").select("a", F.col("class").alias("b")))
+    members = groups.select("class", "label").distinct().join(of.select(F.col("v").alias("class"), F.col("label").alias("cluster")), "class")
+    counts = members.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).alias("k"))
+    dealt = members.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k"))).join(sets, "class")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
+    sides = dealt.select("cluster", "own", "class", "label", "hashes", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "class", "label", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def meet() -> pa.RecordBatch:
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            ranked = sorted(rows, key=lambda r: r[3])
+            tries = [(c, label, np.frombuffer(h, ">u8").astype(np.uint64), left) for left, c, label, h in ranked]
+            same, found = key[1] == key[2], []
+            for k, (c, label, hub, left) in enumerate(tries):
+                if left:
+                    # Within one block each pair once; between two blocks the left ones are hubs.
+                    own = root(label)
+                    around = [t for t in (tries[k + 1 :] if same else tries) if (same or not t[3]) and root(t[1]) != own and bounds.fits(len(hub), len(t[2]))]
+                    for t, yes in zip(around, linked(hub, [t[2] for t in around], bounds), strict=True):
+                        if yes and root(t[1]) != root(label):
+                            parent[root(t[1])] = root(label)
+                            found.append((c, t[0]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if key != row[:3]:
+                    if rows:
+                        yield meet()
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield meet()
+
+    return sides.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def link_classes(kept: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     """(class, label) of all classes with a link, label being one class of the component."""
     spark = kept.sparkSession
     labels = spark.createDataFrame([], "class long, label long")
     edges = spark.createDataFrame([], "a long, b long")
-    groups, rounds = kept, 0
-    while True:
-        known = groups.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        open_ = known.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("hash")
+    groups = kept
+    for most in (*HUBS, SMALL):
+        known = groups.select("hash", "class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        open_ = known.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("hash", "held")
         groups = saved(known.join(open_, "hash"))
         if groups.isEmpty():
             return labels
-        most = HUBS[rounds] if rounds < len(HUBS) else HUBS[-1] * 4 ** (rounds - len(HUBS) + 1)
+        tried = groups.where(F.col("held") <= SMALL) if most == SMALL else groups
         if most == 1:
-            first = groups.groupBy("hash").agg(F.min("class").alias("hub"))
-            hubs = first.withColumn("hub_label", F.col("hub")).join(groups.select("hash", F.col("class").alias("hub"), F.col("n").alias("hub_n")), ["hash", "hub"])
+            first = groups.groupBy("hash").agg(F.min(F.struct("class", "label", "n")).alias("h"))
+            hubs = first.select("hash", F.col("h.class").alias("hub"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n"))
         else:
             place = Window.partitionBy("hash").orderBy("class")
-            hubs = groups.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("hash", F.col("class").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+            hubs = tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("hash", F.col("class").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
         fits = (F.least("n", "hub_n") * bounds.den >= F.greatest("n", "hub_n") * bounds.num) & (F.col("label") != F.col("hub_label")) & (F.col("hub") < F.col("class"))
-        pairs = groups.join(hubs, "hash").where(fits)
-        if most == 1:  # a class tries its first hub alone; it stays in all groups
-            pairs = pairs.groupBy("class").agg(F.min("hub").alias("hub"))
-        else:
-            pairs = pairs.select("class", "hub").distinct()
-        edges = saved(edges.unionByName(_verified(saved(pairs), sets, bounds)))
+        pairs = tried.join(hubs, "hash").where(fits)
+        pairs = pairs.groupBy("class").agg(F.min("hub").alias("hub")) if most == 1 else pairs.select("class", "hub").distinct()
+        found = _verified(saved(pairs), sets, bounds)
+        if most == SMALL:
+            large = groups.where(F.col("held") > SMALL)
+            if not large.isEmpty():
+                found = found.unionByName(_clusters(large, sets, bounds))
+        edges = saved(edges.unionByName(found))
         labels = saved(components(edges).select(F.col("v").alias("class"), "label"))
-        groups = groups.select("hash", "class", "n")
-        if most > 1:
-            groups = groups.join(hubs.select("hash", F.col("hub").alias("class")), ["hash", "class"], "left_anti")
-        rounds += 1
+    return labels
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, marks: bool = False) -> DataFrame:
@@ -348,12 +427,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     bounds = Bounds(num, den)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = saved(_classes(docs.withColumn("mark", F.xxhash64("text")), size))
-    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK))
-    kept = saved(_kept(_shared(_post(docs, size, bounds, blocks), blocks), bounds))
-    wanted = kept.select("class").distinct()
+    n = F.col("n")
+    posted = rows.agg(F.sum(n - F.ceil(n * num / den) + F.greatest(F.lit(1), F.floor(n / 8)))).first()[0] or 0
+    blocks = max(1, -(-int(posted) // BLOCK))
+    survivors = _survivors(_shared(_post_starts(docs, size, bounds, blocks), blocks, counts_only=True), bounds)
     named = rows.where("class is not null").groupBy("class").agg(F.coalesce(F.min("id"), F.lit(_NO_ID)).alias("id"))
-    sets = saved(_sets(docs, named.join(wanted, "class"), size))
+    sets = saved(_sets(docs, named.join(saved(survivors), "class"), size))
+    blocks = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    kept = saved(_kept(_shared(_post_sets(sets, blocks), blocks, counts_only=False), bounds))
     labels = link_classes(kept, sets, bounds)
     known = rows.join(labels, "class", "left").withColumn("key", F.coalesce("label", "class"))
     first = known.where("key is not null").groupBy("key").agg(F.min("id").alias("component"))
