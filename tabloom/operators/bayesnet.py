@@ -91,6 +91,13 @@ def choose(mi: list[float], scales: list[float] | None, seed: object, round_: in
     return max(range(len(mi)), key=lambda i: (mi[i] / (2 * scales[i]) + noise[i], -i))
 
 
+def probabilities(mi: list[float], scales: list[float]) -> list[float]:
+    """What the exponential mechanism draws each candidate with; stable for any size of the scores."""
+    logits = [m / (2 * s) for m, s in zip(mi, scales, strict=True)]
+    weights = [math.exp(x - max(logits)) for x in logits]
+    return [w / sum(weights) for w in weights]
+
+
 def learn(coded: DataFrame, k: int | None = None, epsilon: float = 0.0, seed: object = 0, root: str | None = None) -> list[tuple[str, list[str]]]:
     """(child, parents) in the order of sampling; each has min(chosen, k) parents.
 

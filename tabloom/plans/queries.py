@@ -407,6 +407,22 @@ def bn_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, c, ",".join(p)) for k, (c, p) in enumerate(network)], "pos long, child string, parent string")
 
 
+_FROM_LANG = " UNION ALL ".join(f"SELECT '{x}' AS child, (SELECT mi FROM ({_mi_sql(x, ['lang'], 'coded')})) AS mi" for x in _NET[1:])
+
+
+@query(f"""WITH coded AS (SELECT {", ".join(f"coalesce({c}::VARCHAR, 'nan') AS {c}" for c in _NET)} FROM {LABELLED} t), m AS ({_FROM_LANG}),
+s AS (SELECT count(*)::DOUBLE AS n FROM coded), d AS (SELECT 3 * (2 / n * ln((n + 1) / 2) + (n - 1) / n * ln((n + 1) / (n - 1))) / 1.0 AS delta FROM s),
+w AS (SELECT child, exp((mi - max(mi) OVER ()) / (2 * delta)) AS w FROM m, d) SELECT child, round(w / sum(w) OVER (), 6) AS p FROM w""")
+def exp_mechanism(spark: SparkSession, sf: str) -> DataFrame:
+    """The chances of each child in the first round with root lang and a budget of 1; no column is binary, as missing is a code."""
+    df = labelled(spark, sf).select(*_NET)
+    tuples = bayesnet.collapsed(encode(df, _fitted(df), _NET))
+    n = df.count()
+    mi = bayesnet.scores(tuples, [(c, ["lang"]) for c in _NET[1:]])
+    scales = [bayesnet.scale(len(_NET), bayesnet.sensitivity(n, False, [False]), 1.0)] * len(mi)
+    return rounded(spark.createDataFrame(list(zip(_NET[1:], bayesnet.probabilities(mi, scales), strict=True)), "child string, p double"), "p", digits=6)
+
+
 @query()
 def bn_private(spark: SparkSession, sf: str) -> DataFrame:
     """Structure by the exponential mechanism; three parents at most."""
