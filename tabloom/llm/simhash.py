@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, table, with_columns
+from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 
 BITS, RADIUS = 128, 3
 #: Documents of one range of ids, about, and the most ranges.
@@ -138,8 +138,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
 
 
+def near_counts(docs: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n_near): for the fingerprints of the rows asked about, the rows within ``radius``, their own included."""
+    counts = docs.groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    found = search(docs.where(asked), counts, radius)
+    return found.join(counts, found["match"] == counts["fingerprint"]).groupBy(F.col("query").alias("fingerprint")).agg(F.sum("rows").alias("n_near"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole document and of its edited text."""
+    """Fingerprints of every whole document and of its edited text.
+
+    ``n_near`` is the number of documents within RADIUS of a document whose id is divisible by 20,
+    found by the search over all documents; it is null for the others.
+    """
+    made = saved(edited_fingerprints(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    answers = made.where(asked).join(near_counts(made, asked), "fingerprint").select(*made.columns, "n_near")
+    return answers.unionByName(made.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, text): fingerprints of each text and of the text with its last half from the next document."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +182,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pa.array(likeness(own, following), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+        forget()
 
-    return with_next(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")).select("doc_id", "text", "tail").mapInArrow(run, schema)
+    return with_next(docs).select("doc_id", "text", "tail").mapInArrow(run, schema)
 
 
 def _edited(text: str, following: str) -> str:

@@ -403,6 +403,10 @@ def test_simhash_next_and_edited(spark, docs):
         half = len(t) // 2
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
     assert sum(r.near_edited > r.near_next for r in out) > 0.95 * len(out)
+    prints = [int(r.fingerprint, 16) for r in out]
+    for r in out:
+        near = sum((int(r.fingerprint, 16) ^ p).bit_count() <= simhash.RADIUS for p in prints)
+        assert r.n_near == (near if r.doc_id % 20 == 0 else None)
 
 
 def test_simhash_ranges(spark, monkeypatch):
