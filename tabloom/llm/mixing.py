@@ -23,7 +23,7 @@ from tabloom.llm.common import saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one block of ranks, about.
-BLOCK = 20_000
+BLOCK = 5_000
 FILLS = 2
 
 
@@ -147,7 +147,8 @@ walk{k} AS (SELECT *, coalesce(sum(offered) OVER (PARTITION BY place ORDER BY q,
 near{k} AS (SELECT *, before + offered AS after FROM walk{k}),
 pass{k} AS (SELECT * EXCLUDE (extra, offered, before, after), extra + CASE WHEN offered > 0 AND before < gap AND ({near}) THEN 1 ELSE 0 END AS extra FROM near{k})""")
     return rf"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM {documents}),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size FROM {documents}),
 total AS (SELECT coalesce(sum(size), 0)::BIGINT AS t FROM sized),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM sized GROUP BY source),
 weighed AS (SELECT *, place % 3 + 1 AS weight FROM src),
