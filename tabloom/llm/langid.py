@@ -28,6 +28,8 @@ CELLS = 1 << 15
 SIZES = (1, 2, 3)
 #: Training documents of one language, in expectation.
 PER_LANG = 1500
+#: Languages that a model may have; their shares go to every task.
+MOST_LANGS = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -61,9 +63,12 @@ def ngram_cells(texts: list[str], cells: int = CELLS) -> tuple[list[np.ndarray],
 
 def training_sample(docs: DataFrame, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
     """Documents of each language whose hash is under the share that gives ``per_lang`` of them."""
-    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).agg((F.lit(float(per_lang)) / F.count("*")).alias("__share"))
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()  # a row for each language, as the matrix has a column
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"{len(counts)} languages; at most {MOST_LANGS}")
+    shares = docs.sparkSession.createDataFrame([(r[0], per_lang / r[1]) for r in counts], "__lang string, __share double")
     u = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.withColumn("__u", u).join(counts, lang_col).where(F.col("__u") < F.col("__share")).drop("__u", "__share")
+    return docs.join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).where(u < F.col("__share")).drop("__lang", "__share")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, cells: int = CELLS) -> tuple[list[str], np.ndarray]:
