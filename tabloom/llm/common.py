@@ -55,6 +55,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: list[T.StructField],
             new = fn([batch.column(len(keep) + i) for i in range(len(inputs))])
             new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) and x.type == t else pa.array(x, type=t) for x, t in zip(new, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*old, *new], names=[*keep, *made])
+        forget()
 
     return source.mapInArrow(run, schema)
 
@@ -65,7 +66,7 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def chunks(texts: list[str | bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts have about ``most`` characters together; a longer text stands alone, whole."""
     start = held = 0
     for i, text in enumerate(texts):
@@ -77,12 +78,23 @@ def chunks(texts: list[str | bytes], most: int = 2_000_000) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+#: What a Python worker keeps between batches; emptied at the end of each task, as workers live on.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Cache(dict):
     """A dictionary that fills itself by ``make`` and starts anew beyond ``most`` entries."""
 
-    def __init__(self, make: Callable, most: int = 400_000) -> None:
+    def __init__(self, make: Callable, most: int = 150_000) -> None:
         super().__init__()
         self.make, self.most = make, most
+        CACHES.append(self)
 
     def __missing__(self, key):
         value = self[key] = self.make(key)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, saved, table, with_columns
+from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -139,7 +139,7 @@ def _post_starts(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> Dat
     """The first hashes of each class, once for each batch that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
             seen: dict[int, int] = {}
             hashes = []
             texts = [t or "" for t in batch.column(0).to_pylist()]
@@ -150,6 +150,7 @@ def _post_starts(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> Dat
                         hashes.append(s[: bounds.posted(len(s))].copy())
             if seen:
                 yield _packed(hashes, list(seen), list(seen.values()), blocks)
+        forget()
 
     return docs.select("text").mapInArrow(run, _POSTED)
 
@@ -158,7 +159,7 @@ def _post_sets(sets: DataFrame, blocks: int) -> DataFrame:
     """All hashes of some classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
             if batch.num_rows:
                 hashes = [np.frombuffer(h, ">u8").astype(np.uint64) for h in batch.column(2).to_pylist()]
                 yield _packed(hashes, batch.column(0).to_pylist(), batch.column(1).to_pylist(), blocks)
@@ -170,16 +171,20 @@ def _shared(posted: DataFrame, blocks: int, counts_only: bool) -> DataFrame:
     """Of each class, by block, the posted hashes that other classes post too: their number, or they and how many post them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[tuple] = []
+        now, got = None, []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(1, 5)]
-            for h, r, c, s in zip(*columns, strict=True):
-                runs = np.frombuffer(r, np.int32)
+            for block, h, r, c, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if block != now and got:
+                    yield from shared(got)
+                    got = []
+                now, runs = block, np.frombuffer(r, np.int32)
                 got.append((np.frombuffer(h, np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int32), runs)))
-        if not got:
-            return
+        if got:
+            yield from shared(got)
+
+    def shared(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """One block at a time, however many a task has."""
         hashes, classes, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
         order = np.argsort(hashes)
         same = hashes[order][1:] == hashes[order][:-1]
         order = order[np.r_[False, same] | np.r_[same, False]]
@@ -206,7 +211,7 @@ def _shared(posted: DataFrame, blocks: int, counts_only: bool) -> DataFrame:
                 part = list(zip(lo, hi, strict=True))
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array([x[i:j].tobytes() for i, j in part], pa.binary()) for x in (hashes, held))], names=["class", "n", "hashes", "held"])
 
-    return posted.repartition(blocks, "block").mapInArrow(run, "class long, n long, shared long" if counts_only else "class long, n long, hashes binary, held binary")
+    return posted.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "class long, n long, shared long" if counts_only else "class long, n long, hashes binary, held binary")
 
 
 def _survivors(shared: DataFrame, bounds: Bounds) -> DataFrame:
@@ -241,7 +246,7 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             wanted, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             fresh = [i for i, c in enumerate(wanted) if c not in seen]
             rows = []
@@ -253,6 +258,7 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             for a in range(0, len(rows), 1000):
                 part = rows[a : a + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["class", "n", "hashes"])
+        forget()
 
     texts = docs.select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "text").join(classes, "id").select("class", "text")
     return texts.mapInArrow(run, "class long, n long, hashes binary").dropDuplicates(["class"])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import chunks, table, with_columns
+from tabloom.llm.common import CACHES, chunks, table, with_columns
 
 #: A public model; a parameter of every function here.
 MODEL = os.environ.get("TABLOOM_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -34,7 +34,7 @@ MARK = "▁"
 class PieceCoder:
     """The pieces of one model, and the encoder and decoder over them."""
 
-    def __init__(self, path: str, most_words: int = 250_000) -> None:
+    def __init__(self, path: str, most_words: int = 80_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -66,6 +66,7 @@ class PieceCoder:
         self.parts: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
         self.most_words = most_words
+        CACHES.extend((self.packed, self.parts, self.apart))
 
     def merged(self, text: str) -> list[str]:
         """What the merges alone make of a short text: the best-scored pair first, of equals the leftmost."""
@@ -82,7 +83,7 @@ class PieceCoder:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether two pieces side by side are what the merges make of their text."""
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > 200_000:
             self.apart.clear()
         a, b = self.pieces[left], self.pieces[right]
         known = self.apart[left << 32 | right] = self.merged(a + b) == [a, b]

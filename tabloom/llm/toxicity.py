@@ -32,7 +32,7 @@ from tabloom.llm.common import Cache, chunks, table, with_columns
 from tabloom.llm.langid import id_hash
 
 CELLS = 1 << 20
-MAX_DOCS = 3000
+MAX_DOCS = 1500
 THRESHOLD = 0.7
 #: A candidate word is in so many documents of class 1, and in this share of them, and so many
 #: standard deviations above chance; a group of copies that share a wrong label stays below that.
@@ -70,13 +70,13 @@ class Model(NamedTuple):
 
 def sentence_logits(bags: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Logits of all sentences that have a word, and the bag of each."""
-    flat = np.concatenate([np.append(b, CELLS) for b in bags]) if bags else np.zeros(0, np.int64)
-    bag = np.repeat(np.arange(len(bags)), [len(b) + 1 for b in bags])
+    flat = np.concatenate([np.append(b, np.int32(CELLS)) for b in bags]) if bags else np.zeros(0, np.int64)
+    bag = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) + 1 for b in bags])
     end = flat == CELLS
     sentence = np.cumsum(end) - end
     word = ~end
     known = np.flatnonzero(word & np.isin(flat, model.cells))
-    pairs = np.unique(sentence[known] * (CELLS + 1) + flat[known])
+    pairs = np.unique(sentence[known].astype(np.int64) * (CELLS + 1) + flat[known])
     sums = np.zeros(int(end.sum()))
     np.add.at(sums, pairs // (CELLS + 1), model.weights[np.searchsorted(model.cells, pairs % (CELLS + 1))])
     filled = np.bincount(sentence[word], minlength=len(sums)) > 0
@@ -104,12 +104,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 400) -> Model:
         return none
     start = Model(cells, np.zeros(len(cells)), 0.0, 0.5)
     # Sentences with the same words in the same document count as one with a number.
-    flat = np.concatenate([np.append(b, CELLS) for b in bags])
-    bag = np.repeat(np.arange(n), [len(b) + 1 for b in bags])
+    flat = np.concatenate([np.append(b, np.int32(CELLS)) for b in bags])
+    bag = np.repeat(np.arange(n, dtype=np.int32), [len(b) + 1 for b in bags])
     end = flat == CELLS
     sentence = np.cumsum(end) - end
     known = np.flatnonzero(np.isin(flat, cells))
-    own = np.unique(sentence[known] * (CELLS + 1) + flat[known])
+    own = np.unique(sentence[known].astype(np.int64) * (CELLS + 1) + flat[known])
     of, feature = own // (CELLS + 1), np.searchsorted(cells, own % (CELLS + 1))
     with_word = np.unique(of)
     of = np.searchsorted(with_word, of)
