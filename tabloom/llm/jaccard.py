@@ -65,7 +65,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     counts = [len(w) for w in words]
     one = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
     shingles = np.zeros_like(one)
-    for k in range(size):
+    for k in range(min(size, len(one))):
         shingles[: len(one) - k] = _mixed(shingles[: len(one) - k] + one[k:] + np.uint64(k))
     out, at = [], 0
     for n in counts:

@@ -345,6 +345,13 @@ def test_near_groups_are_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, out.collect())) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("texts", [["one two"], ["one two three"], ["one two", "long words " * 100_000], ["one two"] * 2 + ["", None]])
+def test_near_groups_of_few_words(spark, texts):
+    rows = list(enumerate(texts))
+    out = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, out.collect())) == brute_groups(rows)
+
+
 def test_trie_walk_is_brute_force():
     rng = np.random.default_rng(2)
     bounds = jaccard.Bounds(75, 100)
