@@ -104,17 +104,28 @@ def statistics(df: DataFrame, x: Column) -> dict:
     return {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "q1": q[0], "q3": q[1], "std": r["std"] or 0.0, "skew": r["skew"] or 0.0, "whole": bool(r["whole"])}
 
 
+#: Bin counts that Stone's rule tries in one job, over the distinct values.
+STONE_STEP = 100
+
+
 def stone_bins(df: DataFrame, x: Column, stats: dict, most: int | None = None) -> int:
-    """Stone's rule: the bin count with the least estimated risk. All counts to try share one job."""
+    """Stone's rule: the bin count with the least estimated risk, of 1 to max(100, sqrt(n)) or ``most``.
+
+    The table is read once, into its distinct values with their counts; counts to try go in steps.
+    """
     n, span = stats["n"], (stats["hi"] or 0) - (stats["lo"] or 0)
     if n <= 1 or span <= 0:
         return 1
     most = most or max(100, int(math.sqrt(n)))
-    most = min(most, 200)
-    step = F.least(F.floor((x.cast("double") - stats["lo"]) / span * F.col("k")), F.col("k") - 1)
-    tried = df.where(x.isNotNull()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k", step.alias("b")).agg(F.count("*").alias("c"))
-    risks = tried.groupBy("k").agg(F.sum((F.col("c") / n) * (F.col("c") / n)).alias("s")).collect()
-    risk = {r.k: (2 - (n + 1) * r.s) / (span / r.k) for r in risks}
+    values = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("c")).persist()
+    bin_ = F.least(F.floor((F.col("x") - stats["lo"]) / span * F.col("k")), F.col("k") - 1)
+    risk = {}
+    for first in range(1, most + 1, STONE_STEP):
+        ks = F.sequence(F.lit(first), F.lit(min(first + STONE_STEP - 1, most)))
+        tried = values.withColumn("k", F.explode(ks)).groupBy("k", bin_.alias("b")).agg(F.sum("c").alias("c"))
+        risks = tried.groupBy("k").agg(F.sum((F.col("c") / n) * (F.col("c") / n)).alias("s")).collect()
+        risk |= {r.k: (2 - (n + 1) * r.s) / (span / r.k) for r in risks}
+    values.unpersist()
     return min(risk, key=lambda k: (risk[k], k))
 
 

@@ -245,6 +245,16 @@ def auto_bin_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "attr string, rule string, bins long")
 
 
+@query()
+def auto_bin_counts_searched(spark: SparkSession, sf: str) -> DataFrame:
+    """The two rules that auto_bin_counts leaves out: Doane's and Stone's."""
+    df, out = read(spark, sf, "lineitem"), []
+    for attr in ("l_extendedprice", "l_quantity"):
+        stats = distribution.statistics(df, F.col(attr))
+        out += [(attr, "doane", distribution.bin_count("doane", **stats)), (attr, "stone", distribution.stone_bins(df, F.col(attr), stats))]
+    return spark.createDataFrame(out, "attr string, rule string, bins long")
+
+
 _NOISE = laplace_sql(uniform_sql(7, "dist:o_orderpriority", "bin_idx"), "2.0 / (SELECT count(*) FROM orders) * 3 / 0.01")
 
 

@@ -84,6 +84,16 @@ def test_stone_rule(spark):
     assert 1 <= distribution.auto_bins(df, F.col("x"), "stone") <= 100
 
 
+def test_stone_rule_tries_up_to_the_root(spark):
+    import numpy as np
+
+    x = [i % 20 for i in range(50_000)]
+    df = spark.range(50_000).select((F.col("id") % 20).alias("x"))
+    stats = distribution.statistics(df, F.col("x"))
+    assert distribution.stone_bins(df, F.col("x"), stats) == len(np.histogram_bin_edges(np.array(x, float), "stone")) - 1 == 223
+    assert distribution.stone_bins(df, F.col("x"), stats, 205) > 200
+
+
 def test_probabilities(spark, docs):
     model = describe(docs, Config(epsilon=0.5, degree=2, seed=3))
     for c in model.columns.values():
