@@ -11,7 +11,9 @@ similarity is at least ``num / den``.
    no partner and leaves here.
 2. Candidates, exactly. The whole sets of the survivors are posted, and each class keeps the rarest
    of its hashes, as many as needed so that two linked classes share one (the prefix filter, with
-   the true counts as the order). Hashes that only one class has are the rarest of all.
+   the true counts as the order). Hashes that only one class has are the rarest of all. A hash
+   that a sample of classes shows to be hot is dealt by class in both steps, so none fills a block;
+   it is known to be shared, and its count in the order is the sample's, the same for all.
 3. Links, by hubs. In each group of classes that share a kept hash, pairs with a few hubs are
    verified first; the links merge components, and a group in one component is done. What is left of
    small groups is verified pair by pair where components differ. Large groups that overlap make
@@ -45,6 +47,8 @@ from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Postings of one block of hashes, and members walked around a hub at once, about.
 BLOCK, AROUND = 2_000_000, 512
+#: One class in so many shows which hashes are hot: those posted about BLOCK / 16 times and more.
+SAMPLE = 1000
 #: Hubs of each group in the first rounds; members of a small group; members of a block of a cluster.
 HUBS, SMALL, SIDE = (1, 8), 64, 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -107,26 +111,83 @@ class Bounds:
         return min(n, m) * self.den >= max(n, m) * self.num
 
 
-def _classes(docs: DataFrame, size: int) -> DataFrame:
+def _classes(docs: DataFrame, size: int, bounds: Bounds) -> DataFrame:
+    """The size and class of each set, and, once a call, the posted hashes of the classes in the sample."""
+
     def fn(columns: list[pa.Array]) -> list:
         texts = [t or "" for t in columns[0].to_pylist()]
-        sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b], size)]
-        return [[len(s) for s in sets], [class_of(s) for s in sets]]
+        sizes, classes, starts, seen = [], [], [], set()
+        for a, b in chunks(texts):
+            for s in shingle_sets(texts[a:b], size):
+                c = class_of(s)
+                fresh = c is not None and c % SAMPLE == 0 and c not in seen
+                if fresh:
+                    seen.add(c)
+                sizes.append(len(s))
+                classes.append(c)
+                starts.append(s[: bounds.posted(len(s))].astype(">u8").tobytes() if fresh else None)
+        return [sizes, classes, starts]
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("hashes", T.BinaryType())]
+    return with_columns(docs, ["text"], fields, fn).drop("text")
+
+
+def _hot(sampled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that many classes of the sample (class, hashes) post, sorted, and about how many classes of all post them.
+
+    Two classes or more are seen to post each, so it is known to be shared. At most about 16 a block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            if batch.num_rows:
+                flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["hash"])
+
+    sampled = sampled.where("hashes is not null").select("class", "hashes").dropDuplicates(["class"]).select("hashes")
+    counts = sampled.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("k"))
+    found = sorted((r.hash % 2**64, r.k) for r in counts.where(F.col("k") >= max(2, BLOCK // 16 // SAMPLE)).collect())
+    return np.array([h for h, _ in found], np.uint64), np.minimum(np.array([k for _, k in found], np.int64) * SAMPLE, 2**31 - 1).astype(np.int32)
+
 
-    return with_columns(docs, ["text"], [T.StructField("n", T.LongType()), T.StructField("class", T.LongType())], fn).drop("text")
+class Deal:
+    """Which block a posting goes to: one by its hash, or, if the hash is hot, one of as many more by its class."""
+
+    def __init__(self, postings: int, hot: tuple[np.ndarray, np.ndarray]) -> None:
+        self.blocks = max(1, -(-postings // BLOCK))
+        self.hot, self.held = hot
+
+    @property
+    def all(self) -> int:
+        return self.blocks * (2 if len(self.hot) else 1)
+
+    def block(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        out = _range(_mixed(hashes), self.blocks)  # posted starts are low hashes; mixed they fill all blocks
+        if len(self.hot):
+            hot = self.hot[np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)] == hashes
+            out[hot] = self.blocks + _range(_mixed(classes[hot].view(np.uint64)), self.blocks)
+        return out
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Of hot hashes, about how many classes post them: the same number for every class."""
+        return self.held[np.searchsorted(self.hot, hashes)]
+
+
+def _range(x: np.ndarray, parts: int) -> np.ndarray:
+    return (x // np.uint64((2**64 - 1) // parts + 1)).astype(np.int64) if parts > 1 else np.zeros(len(x), np.int64)
 
 
 _POSTED = "block long, hashes binary, runs binary, classes binary, sizes binary"
 
 
-def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], blocks: int) -> pa.RecordBatch:
+def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], deal: Deal) -> pa.RecordBatch:
     """Postings of some classes as one row for each block of hashes that they reach."""
     counts = [len(h) for h in hashes]
     flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
-    block = (flat // np.uint64((2**64 - 1) // blocks + 1)).astype(np.int64) if blocks > 1 else np.zeros(len(flat), np.int64)
+    names, of_size = np.array(classes, np.int64), np.array(sizes, np.int32)
+    block = deal.block(flat, names[owner])
     order = np.argsort(block, kind="stable")
     flat, owner, block = flat[order], owner[order], block[order]
-    names, of_size = np.array(classes, np.int64), np.array(sizes, np.int32)
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     rows = []
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
@@ -135,7 +196,7 @@ def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], bloc
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["block", "hashes", "runs", "classes", "sizes"])
 
 
-def _post_starts(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> DataFrame:
+def _post_starts(docs: DataFrame, size: int, bounds: Bounds, deal: Deal) -> DataFrame:
     """The first hashes of each class, once for each batch that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,76 +210,116 @@ def _post_starts(docs: DataFrame, size: int, bounds: Bounds, blocks: int) -> Dat
                         seen[c] = len(s)
                         hashes.append(s[: bounds.posted(len(s))].copy())
             if seen:
-                yield _packed(hashes, list(seen), list(seen.values()), blocks)
+                yield _packed(hashes, list(seen), list(seen.values()), deal)
         forget()
 
     return docs.select("text").mapInArrow(run, _POSTED)
 
 
-def _post_sets(sets: DataFrame, blocks: int) -> DataFrame:
+def _post_sets(sets: DataFrame, deal: Deal) -> DataFrame:
     """All hashes of some classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
             if batch.num_rows:
                 hashes = [np.frombuffer(h, ">u8").astype(np.uint64) for h in batch.column(2).to_pylist()]
-                yield _packed(hashes, batch.column(0).to_pylist(), batch.column(1).to_pylist(), blocks)
+                yield _packed(hashes, batch.column(0).to_pylist(), batch.column(1).to_pylist(), deal)
 
     return sets.select("class", "n", "hashes").mapInArrow(run, _POSTED)
 
 
-def _shared(posted: DataFrame, blocks: int, counts_only: bool) -> DataFrame:
-    """Of each class, by block, the posted hashes that other classes post too: their number, or they and how many post them."""
+def _shared(posted: DataFrame, deal: Deal, counts_only: bool) -> DataFrame:
+    """Of each class, by block, the posted hashes that other classes post too: their number, or they and how many post them.
+
+    Numbers leave packed, a row for each block and range of classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
         for batch in batches:
             for block, h, r, c, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if block != now and got:
-                    yield from shared(got)
+                    yield from shared(got, now >= deal.blocks)
                     got = []
                 now, runs = block, np.frombuffer(r, np.int32)
                 got.append((np.frombuffer(h, np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int32), runs)))
         if got:
-            yield from shared(got)
+            yield from shared(got, now >= deal.blocks)
 
-    def shared(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def shared(got: list[tuple], hot: bool) -> Iterator[pa.RecordBatch]:
         """One block at a time, however many a task has."""
         hashes, classes, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(hashes)
-        same = hashes[order][1:] == hashes[order][:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]]
+        if not hot:
+            same = hashes[order][1:] == hashes[order][:-1]
+            order = order[np.r_[False, same] | np.r_[same, False]]
         hashes, classes, sizes = hashes[order], classes[order], sizes[order]
         order = np.lexsort((classes, hashes))
         hashes, classes, sizes = hashes[order], classes[order], sizes[order]
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (classes[1:] != classes[:-1])] if len(hashes) else np.zeros(0, bool)
         hashes, classes, sizes = hashes[new], classes[new], sizes[new]
-        _, place, held = np.unique(hashes, return_inverse=True, return_counts=True)
-        several = held[place] > 1
-        hashes, classes, sizes, held = hashes[several], classes[several], sizes[several], held[place][several].astype(np.int32)
+        if hot:  # all of a class's are here, all classes of a hash are not
+            held = deal.counts(hashes)
+        else:
+            _, place, held = np.unique(hashes, return_inverse=True, return_counts=True)
+            several = held[place] > 1
+            hashes, classes, sizes, held = hashes[several], classes[several], sizes[several], held[place][several].astype(np.int32)
         if not len(hashes):
             return
         order = np.argsort(classes, kind="stable")
         hashes, classes, sizes, held = hashes[order], classes[order], sizes[order], held[order]
         cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
         ends = np.r_[cuts[1:], len(classes)]
+        if counts_only:
+            names, of_size, number = classes[cuts], sizes[cuts], (ends - cuts).astype(np.int32)
+            part = _range(_mixed(names.view(np.uint64)), deal.blocks)
+            order = np.argsort(part, kind="stable")
+            names, of_size, number, part = names[order], of_size[order], number[order], part[order]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            pieces = list(zip(at, np.r_[at[1:], len(part)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), *(pa.array([x[i:j].tobytes() for i, j in pieces], pa.binary()) for x in (names, of_size, number))], names=["part", "classes", "sizes", "shared"])
+            return
         for a in range(0, len(cuts), 5000):
-            lo, hi = cuts[a : a + 5000], ends[a : a + 5000]
-            head = [pa.array(classes[lo]), pa.array(sizes[lo].astype(np.int64))]
-            if counts_only:
-                yield pa.RecordBatch.from_arrays([*head, pa.array((hi - lo).astype(np.int64))], names=["class", "n", "shared"])
-            else:
-                part = list(zip(lo, hi, strict=True))
-                yield pa.RecordBatch.from_arrays([*head, *(pa.array([x[i:j].tobytes() for i, j in part], pa.binary()) for x in (hashes, held))], names=["class", "n", "hashes", "held"])
+            part = list(zip(cuts[a : a + 5000], ends[a : a + 5000], strict=True))
+            head = [pa.array(classes[cuts[a : a + 5000]]), pa.array(sizes[cuts[a : a + 5000]].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array([x[i:j].tobytes() for i, j in part], pa.binary()) for x in (hashes, held))], names=["class", "n", "hashes", "held"])
+
+    return posted.repartition(deal.all, "block").sortWithinPartitions("block").mapInArrow(run, _COUNTED if counts_only else "class long, n long, hashes binary, held binary")
+
 
-    return posted.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "class long, n long, shared long" if counts_only else "class long, n long, hashes binary, held binary")
+_COUNTED = "part long, classes binary, sizes binary, shared binary"
 
 
-def _survivors(shared: DataFrame, bounds: Bounds) -> DataFrame:
+def _survivors(counted: DataFrame, bounds: Bounds, parts: int) -> DataFrame:
     """Classes of which enough posted hashes are shared: as many as a partner's must be, at least."""
-    n, den = F.col("n"), bounds.den
-    least = -F.floor(-(n * bounds.num) / den)
-    return shared.groupBy("class", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.floor(least / 8))).select("class")
+
+    def folded(held: list[tuple]) -> tuple:
+        classes, sizes, shared = (np.concatenate(x) for x in zip(*held, strict=True))
+        classes, at, place = np.unique(classes, return_index=True, return_inverse=True)
+        return classes, sizes[at], np.bincount(place, shared).astype(np.int32)
+
+    def enough(held: list[tuple]) -> pa.RecordBatch:
+        classes, sizes, shared = folded(held)
+        least = -(-bounds.num * sizes.astype(np.int64) // bounds.den)
+        return pa.RecordBatch.from_arrays([pa.array(classes[shared >= np.maximum(1, least // 8)])], names=["class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows, most = None, [], 0, BLOCK
+        for batch in batches:
+            for part, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now and held:
+                    yield enough(held)
+                    held, rows, most = [], 0, BLOCK
+                now = part
+                held.append(tuple(np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int32, np.int32), strict=True)))
+                rows += len(held[-1][0])
+                if rows > most:
+                    held = [folded(held)]
+                    rows, most = len(held[0][0]), max(BLOCK, 2 * len(held[0][0]))
+        if held:
+            yield enough(held)
+
+    return counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "class long")
 
 
 def _kept(shared: DataFrame, bounds: Bounds) -> DataFrame:
@@ -432,15 +533,17 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     bounds = Bounds(num, den)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = saved(_classes(docs.withColumn("mark", F.xxhash64("text")), size))
+    rows = saved(_classes(docs.withColumn("mark", F.xxhash64("text")), size, bounds))
+    hot = _hot(rows)
+    rows = rows.drop("hashes")
     n = F.col("n")
     posted = rows.agg(F.sum(n - F.ceil(n * num / den) + F.greatest(F.lit(1), F.floor(n / 8)))).first()[0] or 0
-    blocks = max(1, -(-int(posted) // BLOCK))
-    survivors = _survivors(_shared(_post_starts(docs, size, bounds, blocks), blocks, counts_only=True), bounds)
+    deal = Deal(int(posted), hot)
+    survivors = _survivors(_shared(_post_starts(docs, size, bounds, deal), deal, counts_only=True), bounds, deal.blocks)
     named = rows.where("class is not null").groupBy("class").agg(F.coalesce(F.min("id"), F.lit(_NO_ID)).alias("id"))
     sets = saved(_sets(docs, named.join(saved(survivors), "class"), size))
-    blocks = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // BLOCK))
-    kept = saved(_kept(_shared(_post_sets(sets, blocks), blocks, counts_only=False), bounds))
+    deal = Deal(int(sets.agg(F.sum("n")).first()[0] or 0), _hot(sets.where(F.col("class") % SAMPLE == 0)))
+    kept = saved(_kept(_shared(_post_sets(sets, deal), deal, counts_only=False), bounds))
     labels = link_classes(kept, sets, bounds)
     known = rows.join(labels, "class", "left").withColumn("key", F.coalesce("label", "class"))
     first = known.where("key is not null").groupBy("key").agg(F.min("id").alias("component"))

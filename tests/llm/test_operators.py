@@ -352,6 +352,27 @@ def test_near_groups_of_few_words(spark, texts):
     assert sorted(map(tuple, out.collect())) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("sample", [1, 3])
+def test_near_groups_with_hot_hashes(spark, monkeypatch, sample):
+    monkeypatch.setattr(jaccard, "BLOCK", 320)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    rows = near_rows(seed=6, n=160)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.near_groups(df).collect())) == brute_groups(rows)
+
+
+def test_no_block_gets_all_of_a_hot_hash():
+    rng = np.random.default_rng(1)
+    hot = np.sort(rng.integers(0, 2**63, 30, dtype=np.uint64))
+    classes = np.repeat(rng.integers(-(2**62), 2**62, 4000), 30 + 20)
+    hashes = np.concatenate([np.r_[hot, rng.integers(0, 2**62, 20, dtype=np.uint64)] for _ in range(4000)])
+    deal = jaccard.Deal(20 * jaccard.BLOCK, (hot, np.full(30, 4000, np.int32)))
+    block = deal.block(hashes, classes)
+    assert np.bincount(block, minlength=deal.all).max() < 1.5 * len(hashes) / 20
+    for c in classes[:100:50]:
+        assert len(set(block[(classes == c) & np.isin(hashes, hot)])) == 1
+
+
 def test_trie_walk_is_brute_force():
     rng = np.random.default_rng(2)
     bounds = jaccard.Bounds(75, 100)
