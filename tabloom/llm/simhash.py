@@ -5,9 +5,10 @@ own). A term's weight is 1 + floor(log2(count)), and each bit of its 128-bit has
 weight; a bit of the fingerprint is 1 where the votes for it prevail. The likeness of two
 fingerprints at Hamming distance h is cos(pi h / 128), not below 0: the estimate of the cosine.
 
-For a radius r the search cuts fingerprints into r + 1 blocks. Two within r agree on a block, so
-with one table for each block, led by that block, an equality join on it finds all of them; a pair
-is reported by the first block that it agrees on.
+For a radius r the search cuts fingerprints into blocks, one table for each. With (r + 1) / (f + 1)
+blocks, two within r differ in at most f bits of some block, so an equality join of one side's blocks
+with the other's under all flips of up to f bits finds all of them; f follows the number of
+fingerprints. A pair is reported by the first block that it nearly agrees on.
 
 Null texts are empty; texts without words have fingerprint 0. The next document in descending id is
 found by ranges of ids: each range also gets the first document of the range below it, and the
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 
-BITS, RADIUS = 128, 3
+#: Sets of word 5-grams 75 % alike in long texts are 14 bits apart on average, as operator 9 links them.
+BITS, RADIUS = 128, 17
 #: Documents of one range of ids, about, and the most ranges.
 RANGE, MOST_RANGES = 4000, 4096
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -98,25 +100,57 @@ def _long(fingerprint: Column, half: int) -> Column:
     return F.shiftleft(parts[0], 32).bitwiseOR(parts[1])
 
 
-def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _flips(radius: int, rows: int) -> int:
+    """How many bits to flip in a block: the least probes and candidates of one query among ``rows`` fingerprints."""
+
+    def cost(flips: int) -> float:
+        tables = max(3, -(-(radius + 1) // (flips + 1)))
+        width = BITS / tables
+        probes = tables * sum(math.comb(round(width), k) for k in range(flips + 1))
+        return probes * (10 + rows / 2**width)
+
+    return min(range(min(radius, 3) + 1), key=cost)
+
+
+def _bits(hi: Column, lo: Column, a: int, b: int) -> Column:
+    """Bits a to b of a fingerprint in two halves, fewer than 63."""
+    mask = (1 << (b - a)) - 1
+    if b <= 64:
+        return F.shiftrightunsigned(hi, 64 - b).bitwiseAND(F.lit(mask))
+    if a >= 64:
+        return F.shiftrightunsigned(lo, 128 - b).bitwiseAND(F.lit(mask))
+    return F.shiftleft(hi.bitwiseAND(F.lit((1 << (64 - a)) - 1)), b - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - b))
+
+
+def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, flips: int | None = None) -> DataFrame:
     """All (query, match, distance) of fingerprints within ``radius``; each frame has a ``fingerprint``.
 
     Distinct fingerprints alone are joined; join the result to the rows on either side for ids.
     """
-    digits = BITS // 4
-    cuts = [round(k * digits / (radius + 1)) for k in range(radius + 2)]
+    flips = _flips(radius, index.count()) if flips is None else flips
+    tables = max(3, -(-(radius + 1) // (flips + 1)))
+    cuts = [round(k * BITS / tables) for k in range(tables + 1)]
+    spans = list(zip(cuts, cuts[1:]))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        only = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct()
-        return only.select(name, F.posexplode(F.array(*[F.substring(name, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])).alias("table", "block"))
-
-    both = blocks(queries, "query").join(blocks(index, "match"), ["table", "block"])
-    distance = sum((F.bit_count(_long(F.col("query"), h).bitwiseXOR(_long(F.col("match"), h))) for h in (0, 1)), F.lit(0))
-    earlier = [(F.col("table") <= k) | (F.substring("query", a + 1, b - a) != F.substring("match", a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    first = earlier[0]
-    for e in earlier[1:]:
-        first = first & e
-    return both.where(first).select("query", "match", distance.alias("distance")).where(F.col("distance") <= radius)
+        only = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct().select(name, _long(F.col(name), 0).alias(f"{name}_hi"), _long(F.col(name), 1).alias(f"{name}_lo"))
+        keys = [F.lit(t << 44).bitwiseOR(_bits(F.col(f"{name}_hi"), F.col(f"{name}_lo"), *span)) for t, span in enumerate(spans)]
+        return only.select("*", F.posexplode(F.array(*keys)).alias("table", "key"))
+
+    def masks(width: int) -> list[int]:
+        return [sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(width), k)]
+
+    probes = blocks(queries, "query")
+    if flips:
+        turned = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks(b - a)]) for a, b in spans])
+        probes = probes.withColumn("mask", F.explode(F.get(turned, F.col("table")))).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
+    both = probes.join(blocks(index, "match").drop("table"), "key")
+    hi, lo = F.col("query_hi").bitwiseXOR(F.col("match_hi")), F.col("query_lo").bitwiseXOR(F.col("match_lo"))
+    distance = F.bit_count(hi) + F.bit_count(lo)
+    first = distance <= radius
+    for t, span in enumerate(spans[:-1]):
+        first = first & ((F.col("table") <= t) | (F.bit_count(_bits(hi, lo, *span)) > flips))
+    return both.where(first).select("query", "match", distance.alias("distance"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -138,23 +172,34 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
 
 
+def near_pairs(docs: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, near_id, distance, rows): of the rows asked about, each fingerprint within ``radius``.
+
+    ``near_id`` is the smallest doc_id with that fingerprint, of ``rows`` in all; their own is included.
+    """
+    classes = saved(docs.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.min("doc_id").alias("near_id")))
+    found = search(docs.where(asked), classes, radius)
+    return found.join(classes, found["match"] == classes["fingerprint"]).select(F.col("query").alias("fingerprint"), "near_id", "distance", "rows")
+
+
 def near_counts(docs: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, n_near): for the fingerprints of the rows asked about, the rows within ``radius``, their own included."""
-    counts = docs.groupBy("fingerprint").agg(F.count("*").alias("rows"))
-    found = search(docs.where(asked), counts, radius)
-    return found.join(counts, found["match"] == counts["fingerprint"]).groupBy(F.col("query").alias("fingerprint")).agg(F.sum("rows").alias("n_near"))
+    """(fingerprint, n_near, near): for the fingerprints of the rows asked about, the rows within ``radius``, their own included, and the pairs."""
+    pair = F.struct("near_id", "distance")
+    return near_pairs(docs, asked, radius).groupBy("fingerprint").agg(F.sum("rows").alias("n_near"), F.sort_array(F.collect_list(pair)).alias("near"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text.
 
     ``n_near`` is the number of documents within RADIUS of a document whose id is divisible by 20,
-    found by the search over all documents; it is null for the others.
+    found by the search over all documents, and ``near`` has the smallest id and the distance of each
+    fingerprint found; both are null for the others.
     """
     made = saved(edited_fingerprints(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))
     asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
-    answers = made.where(asked).join(near_counts(made, asked), "fingerprint").select(*made.columns, "n_near")
-    return answers.unionByName(made.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+    answers = made.where(asked).join(near_counts(made, asked), "fingerprint").select(*made.columns, "n_near", "near")
+    rest = made.where(~asked).withColumns({"n_near": F.lit(None).cast("long"), "near": F.lit(None).cast(answers.schema["near"].dataType)})
+    return answers.unionByName(rest)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

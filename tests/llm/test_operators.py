@@ -468,6 +468,25 @@ def test_search_is_brute_force(spark):
         assert len(got) == len(real) and {tuple(r) for r in got} == real
 
 
+def test_search_finds_edited_copies(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+        rows.append((20 * i, " ".join(w)))
+        for k in rng.sample(range(300), 5):
+            w[k] = f"x{rng.randrange(50_000)}"
+        rows.append((20 * i + 1, " ".join(w)))
+    made = simhash.add_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
+    near = {r.near[0].near_id: {x.near_id for x in r.near} for r in simhash.near_counts(made, F.col("doc_id") % 20 == 0).collect()}
+    assert sum(near.get(20 * i) == {20 * i, 20 * i + 1} for i in range(60)) >= 54
+    prints = [(r.fingerprint, int(r.fingerprint, 16)) for r in made.collect()]
+    real = {(a, b, (x ^ y).bit_count()) for a, x in prints for b, y in prints if (x ^ y).bit_count() <= 17}
+    for flips in (0, 1, 2):
+        got = [tuple(r) for r in simhash.search(made, made, 17, flips).collect()]
+        assert len(got) == len(real) and set(got) == real
+
+
 def test_simhash_odd(odd, none):
     assert simhash.add_fingerprint(odd).where("text is null and fingerprint <> repeat('0', 32)").count() == 0
     assert simhash.add_fingerprint(none).count() == 0 and simhash.with_next(none.select("doc_id", "text")).count() == 0
