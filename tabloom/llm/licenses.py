@@ -1,11 +1,16 @@
 """Operator 8: licence scan with a positional rare-token index.
 
 Texts are lower-cased (A-Z) words of letters, digits and non-ASCII characters. Licence templates are
-indexed by their words with the highest inverse document frequency, counted over all documents: a
-posting is a template and the word's place in it. A file looks up the licence words it holds, the
-postings are intersected by relative position (template start = place in the file - place in the
-template), and a start that enough rare words agree on is verified: most of the template's words
-must stand at their places and its mandatory key phrases in its window.
+indexed by word: a posting is a template and the word's place in it. Long licences are several
+templates, cut where a name or year stands. Document frequencies are counted over all documents.
+
+Of a template of n words at least MATCHED must stand at their places, so at most m = n - need may
+fail. Words of the template that a file lacks fail anyway, and a template that lacks too many is out.
+Of the others the file looks up those with the highest inverse document frequency, as many as hold
+more places than may still fail: one of them stands at its place in any match, so none is missed.
+Postings are intersected by relative position (template start = place in the file - place in the
+template), and each start is verified: enough words at their places, and the mandatory key phrases
+in the window.
 
 The base labels are places of fixed phrases, found in every text whatever the index says.
 A null text is empty: no words, no labels, score 0. Rows are scanned one by one.
@@ -13,7 +18,9 @@ A null text is empty: no words, no labels, score 0. Rows are scanned one by one.
 
 from __future__ import annotations
 
+import json
 import math
+import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,25 +33,11 @@ from tabloom.llm.common import table, with_columns
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Licence notices by label: words, and the phrases without which a match does not count.
-TEMPLATES = [
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("lgpl", "this work is licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("agpl", "this work is licensed under the gnu affero general public license", ["gnu affero general public license"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
-    ("mit-notice", "released under the mit license", ["mit license"]),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
-]
-#: Rare words of each template in the index; the share of words at their places that verifies it.
-RARE, MATCHED = 4, 0.6
+with open(os.path.join(os.path.dirname(__file__), "licence_templates.json"), encoding="utf-8") as _file:
+    #: Label, words, and the phrases without which a match does not count.
+    TEMPLATES = [(x["label"], x["text"], x["keys"]) for x in json.load(_file)]
+#: The share of words at their places that verifies a start.
+MATCHED = 0.6
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -72,19 +65,33 @@ def document_counts(df: DataFrame, vocabulary: set[bytes], text_col: str = "text
 class Scanner:
     """Templates with their index."""
 
-    def __init__(self, n: int, counts: dict[bytes, int], templates: list = TEMPLATES, rare: int = RARE) -> None:
+    def __init__(self, n: int, counts: dict[bytes, int], templates: list = TEMPLATES, matched: float = MATCHED) -> None:
         self.templates = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in templates]
-        self.idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
-        for t, (_, words, _) in enumerate(self.templates):
-            best = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare]
-            self.need.append((len(best) + 1) // 2)
-            for place, w in enumerate(words):
-                if w in best:
-                    self.postings[w].append((t, place))
+        self.need = [math.ceil(matched * len(words)) for _, words, _ in self.templates]
+        idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
+        self.places: list[dict[bytes, list[int]]] = []
+        for _, words, _ in self.templates:
+            at: dict[bytes, list[int]] = defaultdict(list)
+            for k, w in enumerate(words):
+                at[w].append(k)
+            self.places.append({w: at[w] for w in sorted(at, key=lambda w: (-idf[w], w))})  # rarest first
+        self.words = [frozenset(p) for p in self.places]
         self.phrases = [(words_of(p), label) for p, label in PHRASES.items()]
-        self.known = frozenset(self.postings) | {w for p, _ in self.phrases for w in p}
+        self.known = frozenset().union(*self.words, *(p for p, _ in self.phrases))
+
+    def lookups(self, there: set[bytes]) -> dict[bytes, list[tuple[int, int]]]:
+        """The postings of the words that a file with these licence words looks up."""
+        out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, places in enumerate(self.places):
+            spare = len(self.templates[t][1]) - self.need[t]
+            if len(absent := self.words[t] - there) <= spare and (spare := spare - sum(len(places[w]) for w in absent)) >= 0:
+                for w, at in places.items():
+                    if w in there:
+                        out[w] += [(t, k) for k in at]
+                        spare -= len(at)
+                        if spare < 0:
+                            break
+        return out
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
@@ -96,16 +103,12 @@ class Scanner:
         for phrase, label in self.phrases:
             if there.issuperset(phrase):
                 base += [(start, label) for start in find(words, phrase)]
-        votes: Counter[tuple[int, int]] = Counter()
-        rare = {w: self.postings[w] for w in sorted(there, key=lambda w: (-self.idf.get(w, 0), w)) if w in self.postings}
-        if rare:
+        starts: set[tuple[int, int]] = set()
+        if rare := self.lookups(there):
             for i, w in enumerate(words):
                 if w in rare:
-                    votes.update((t, i - place) for t, place in rare[w])
-        found = []
-        for (t, start), n in votes.items():
-            if n >= self.need[t] and (share := self.verify(words, t, start)):
-                found.append((start, self.templates[t][0], share))
+                    starts.update((t, i - k) for t, k in rare[w])
+        found = [(start, self.templates[t][0], share) for t, start in starts if (share := self.verify(words, t, start))]
         if base:
             places = [s for s, _ in base]
             out |= {"n_base": len(base), "first_word": min(places), "last_word": max(places), "base_labels": ",".join(sorted({x for _, x in base}))}
@@ -117,9 +120,11 @@ class Scanner:
     def verify(self, words: list[bytes], t: int, start: int) -> float:
         """The share of a template's words at their places; 0 if too few or without a key phrase."""
         _, template, keys = self.templates[t]
-        hits = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template))
+        hits = sum(w == x for w, x in zip(words[max(start, 0) : start + len(template)], template[max(-start, 0) :]))
+        if hits < self.need[t]:
+            return 0.0
         window = words[max(0, start - 2) : start + len(template) + 2]
-        return hits / len(template) if hits >= MATCHED * len(template) and all(find(window, k) for k in keys) else 0.0
+        return hits / len(template) if all(find(window, k) for k in keys) else 0.0
 
 
 def find(words: list[bytes], phrase: list[bytes]) -> list[int]:
