@@ -13,7 +13,6 @@ document has a language. Null languages are not learned; a null id hashes as the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ SIZES = (1, 2, 3)
 PER_LANG = 1500
 #: Languages that a model may have; their shares go to every task.
 MOST_LANGS = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -102,7 +100,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 def classify(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
     """Language and posterior of each text."""
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    shown = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if langs else []
+    shown = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if langs else []
     columns = [np.ascontiguousarray(logs[:, k]) for k in range(len(langs))]
     for a, b in chunks([texts[i] for i in shown]):
         found, starts = ngram_cells([texts[i] for i in shown[a:b]], len(logs) - 1)

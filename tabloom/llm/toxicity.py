@@ -188,7 +188,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every whole document."""
+    """Score every whole document, and locate the offending sentences of those predicted 1."""
     docs = table(spark, sf_dir, "documents")
-    scored = add_toxicity(docs.select("doc_id", (F.pmod(id_hash(), F.lit(3)) == 1).alias("held_out"), "text"), trained(spark, docs, sf_dir))
+    scored = add_toxicity(docs.select("doc_id", (F.pmod(id_hash(), F.lit(3)) == 1).alias("held_out"), "text"), trained(spark, docs, sf_dir), locate=True)
     return scored.drop("text")
