@@ -25,6 +25,8 @@ from tabloom.llm.common import chunks, table, with_columns
 MIN_WORDS = 8
 #: Rejected above these: the share of words in repeats, and the words of the longest repeat.
 MAX_COVERED, MAX_LONGEST = 0.25, 60
+#: Words of the texts of one call beyond which common prefixes are found in text order.
+LONG = 400_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -35,8 +37,8 @@ class _Numbers(dict):
         return value
 
 
-def suffix_ranks(first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ranks of all suffixes, and for h = 1, 2, 4, ... those by their first h words alone.
+def suffix_ranks(first: np.ndarray, doc: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ranks of all suffixes, and (with ``keep``) for h = 1, 2, 4, ... those by their first h words alone.
 
     ``first`` are dense ranks of (text, word), so suffixes of one text are neighbours.
     """
@@ -57,23 +59,55 @@ def suffix_ranks(first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[n
         new_old = np.r_[True, old[1:] != old[:-1]]
         new = np.r_[True, key[1:] != key[:-1]]
         start = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(new_old, place, 0))
-        rank = rank.copy()
+        rank = rank.copy() if keep else rank
         rank[at] = old + start
         single = new & np.r_[new[1:], True]
         open_, h = at[~single], h * 2
-        levels.append(rank)
+        if keep:
+            levels.append(rank)
     return rank, levels
 
 
-def longest_repeats(first: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each word, how many words of the passage that starts there also start elsewhere in its text."""
+def in_text_order(first: np.ndarray, doc: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each word, the common prefix of its suffix with the one before it in order: one array and one pass.
+
+    The prefix shrinks by at most one from a word to the next, so all steps together are linear.
+    """
+    n = len(first)
+    out = np.zeros(n, np.int64)
+    word, text, before, at, made, h = memoryview(first), memoryview(doc), memoryview(order), memoryview(rank), memoryview(out), 0
+    for i in range(n):
+        if at[i] == 0:
+            h = 0
+            continue
+        j = before[at[i] - 1]
+        if text[i] != text[j]:
+            h = 0
+            continue
+        while i + h < n and j + h < n and word[i + h] == word[j + h]:  # words of different texts differ
+            h += 1
+        made[i] = h
+        h = max(h - 1, 0)
+    return out
+
+
+def longest_repeats(first: np.ndarray, doc: np.ndarray, long: int = LONG) -> np.ndarray:
+    """For each word, how many words of the passage that starts there also start elsewhere in its text.
+
+    Beyond ``long`` words common prefixes are found in text order, which keeps no ranks by length.
+    """
     n = len(first)
     out = np.zeros(n, np.int64)
     if not n:
         return out
-    rank, levels = suffix_ranks(first, doc)
+    rank, levels = suffix_ranks(first, doc, n <= long)
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
+    if n > long:
+        out = in_text_order(first, doc, order, rank)
+        same = out[order[1:]]
+        np.maximum.at(out, order[:-1], same)
+        return out
     near = np.flatnonzero(first[order[1:]] == first[order[:-1]])
     i, j = order[near], order[near + 1]
     same = np.zeros(len(near), np.int64)
