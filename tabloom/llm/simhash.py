@@ -36,6 +36,8 @@ from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 BITS, RADIUS = 128, 17
 #: Documents of one range of ids, about, and the most ranges.
 RANGE, MOST_RANGES = 4000, 4096
+#: Terms whose bits are unpacked at once.
+SLICE = 200_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
 _NO_ID = -(2**63)
 _LIKENESS = np.maximum(np.cos(np.pi * np.arange(BITS + 1) / BITS), 0.0)
@@ -70,12 +72,13 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         times = np.diff(np.r_[first, len(term)])
         weight = 1 + np.floor(np.log2(np.maximum(times, 1))).astype(np.int64)
         term, doc = np.repeat(term[first], weight), np.repeat(doc[first], weight)
-        bits = np.unpackbits(np.stack([term, _mixed(term, 2)], axis=1).view(np.uint8), axis=1) if len(term) else np.zeros((0, BITS), np.uint8)
         votes = np.zeros((b - a, BITS), np.int64)
-        shown, start = np.unique(doc, return_index=True)
-        if len(shown):
-            sizes = np.diff(np.r_[start, len(doc)])
-            votes[shown] = 2 * np.add.reduceat(bits, start, axis=0, dtype=np.int32) - sizes[:, None]
+        for lo in range(0, len(term), SLICE):  # a term's bits take 128 bytes
+            part, of = term[lo : lo + SLICE], doc[lo : lo + SLICE]
+            bits = np.unpackbits(np.stack([part, _mixed(part, 2)], axis=1).view(np.uint8), axis=1)
+            shown, start = np.unique(of, return_index=True)
+            sizes = np.diff(np.r_[start, len(of)])
+            votes[shown] += 2 * np.add.reduceat(bits, start, axis=0, dtype=np.int32) - sizes[:, None]
         out.append(np.packbits(votes > 0, axis=1))
     return np.concatenate(out)
 
