@@ -37,7 +37,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +45,14 @@ from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
-#: Postings of one block of hashes, and members walked around a hub at once, about.
-BLOCK, AROUND = 2_000_000, 512
+#: Postings of one block of hashes, about.
+BLOCK = 2_000_000
+#: Members walked around a hub at once, and of a block of a cluster, about, and hashes of their sets together.
+AROUND, SIDE, HASHES = 512, 256, 1_000_000
 #: One class in so many shows which hashes are hot: those posted about BLOCK / 16 times and more.
 SAMPLE = 1000
-#: Hubs of each group in the first rounds; members of a small group; members of a block of a cluster.
-HUBS, SMALL, SIDE = (1, 8), 64, 256
+#: Hubs of each group in the first rounds; members of a small group.
+HUBS, SMALL = (1, 8), 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
 _NO_ID = -(2**63)
@@ -365,46 +367,113 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "class long, n long, hashes binary").dropDuplicates(["class"])
 
 
-def linked(hub: np.ndarray, members: list[np.ndarray], bounds: Bounds, step: int = 64) -> list[bool]:
-    """Which members, sets in the order of their tries, link with the hub.
+def by_frequency(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Each set as rising ranks of its hashes, the most frequent hash of all sets first: alike sets share long starts."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    values, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.uint32)
+    rank[np.lexsort((values, -counts))] = np.arange(len(values), dtype=np.uint32)
+    return [np.sort(x) for x in np.split(rank[place], np.cumsum([len(s) for s in sets])[:-1])] if sets else []
 
-    ``path`` holds the member walked last, and ``hits`` its overlap with the hub along the path, as
-    far as it was walked; the next member starts where the two part.
+
+class Trie:
+    """Distinct sets of rising ranks as a trie, built from the common starts of neighbours in their order.
+
+    A node holds the ranks between its parent's depth and its own, the set that ends there, if any,
+    and the sizes and the last place of all sets below it.
     """
-    out = []
-    path, hits = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    for m in members:
-        k = min(len(path), len(m), len(hits) - 1)
-        apart = np.flatnonzero(path[:k] != m[:k])
-        depth = int(apart[0]) if len(apart) else k
-        need, path, found = bounds.overlap(len(hub), len(m)), m, [hits[: depth + 1]]
-        while True:
-            done = int(found[-1][-1])
-            left = len(hub) - (int(np.searchsorted(hub, m[depth])) if depth < len(m) else len(hub))
-            if depth == len(m) or done + min(len(m) - depth, left) < need:
-                break
-            piece = m[depth : depth + step]
-            at = np.minimum(np.searchsorted(hub, piece), len(hub) - 1)
-            found.append(done + np.cumsum(hub[at] == piece))
-            depth += len(piece)
-        hits = np.concatenate(found)
-        out.append(done >= need)
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self.ranks, self.depth, self.member, self.children = [np.zeros(0, np.uint32)], [0], [-1], [[]]
+        path, before = [0], np.zeros(0, np.uint32)
+        for place, i in enumerate(self.order):
+            now = sets[i]
+            k = min(len(before), len(now))
+            apart = np.flatnonzero(before[:k] != now[:k])
+            shared = int(apart[0]) if len(apart) else k
+            while self.depth[path[-1]] > shared:
+                x = path.pop()
+                up = path[-1]
+                if (top := self.depth[up]) < shared:  # the two part within this node
+                    middle = self.node(self.ranks[x][: shared - top], shared, -1)
+                    self.ranks[x], self.children[middle], self.children[up][-1] = self.ranks[x][shared - top :], [x], middle
+                    path.append(middle)
+            leaf = self.node(now[shared:], len(now), place)
+            self.children[path[-1]].append(leaf)
+            path.append(leaf)
+            before = now
+        self.sizes = [len(sets[i]) for i in self.order]
+        n = len(self.depth)
+        self.low, self.high, self.last = [1 << 62] * n, [0] * n, [-1] * n
+        walk, seen = [0] if sets else [], []
+        while walk:
+            seen.append(x := walk.pop())
+            walk += self.children[x]
+        for x in reversed(seen):  # children before parents
+            own = [(self.sizes[m], self.sizes[m], m) for m in [self.member[x]] if m >= 0]
+            below = own + [(self.low[c], self.high[c], self.last[c]) for c in self.children[x]]
+            self.low[x], self.high[x], self.last[x] = min(v[0] for v in below), max(v[1] for v in below), max(v[2] for v in below)
+
+    def node(self, ranks: np.ndarray, depth: int, member: int) -> int:
+        self.ranks.append(ranks)
+        self.depth.append(depth)
+        self.member.append(member)
+        self.children.append([])
+        return len(self.depth) - 1
+
+    def links(self, hub: np.ndarray, n: int, n_ranks: int, bounds: Bounds, after: int = -1) -> list[int]:
+        """Places above ``after`` of the sets that link with a hub: its ranks, rising, and its size.
+
+        The overlap is counted once for each node, and a subtree is left if the ranks that remain,
+        in its sets or in the hub, cannot reach the overlap that its smallest set needs.
+        """
+        held = np.zeros(n_ranks + 1, np.int64)
+        held[hub.astype(np.int64) + 1] = 1
+        until, out = np.cumsum(held), []  # of the hub's ranks, how many are below each rank
+        walk = [(0, 0)] if self.order else []
+        while walk:
+            x, done = walk.pop()
+            ranks, depth = self.ranks[x].astype(np.int64), self.depth[x]
+            if len(ranks):
+                done += int(held[ranks + 1].sum())
+                left = len(hub) - int(until[ranks[-1] + 1])
+            else:
+                left = len(hub)
+            m = self.member[x]
+            if m > after and done >= bounds.overlap(n, self.sizes[m]):
+                out.append(m)
+            walk += [(c, done) for c in self.children[x] if self.last[c] > after and done + min(self.high[c] - depth, left) >= bounds.overlap(n, self.low[c])]
+        return out
+
+
+def linked(hub: np.ndarray, members: list[np.ndarray], bounds: Bounds) -> list[bool]:
+    """Which members, distinct sets, link with the hub."""
+    ranks = by_frequency([hub, *members])
+    trie = Trie(ranks[1:])
+    out = [False] * len(members)
+    for m in trie.links(ranks[0], len(hub), 1 + max(int(r[-1]) for r in ranks), bounds):
+        out[trie.order[m]] = True
     return out
 
 
+def _parts(members: int) -> Column:
+    """Blocks for the rows (class, n) of a group, by their number and by their hashes."""
+    return F.ceil(F.greatest(F.count("*") / members, F.sum("n") / HASHES))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs (hub, class) whose sets link. Around a hub with many members, members are dealt into blocks."""
-    around = pairs.groupBy("hub").agg(F.ceil(F.count("*") / AROUND).alias("parts"))
-    members = pairs.join(around, "hub").join(sets, "class").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "class", "hashes")
+    """The pairs (hub, class, n) whose sets link. Around a hub with many or large members, these are dealt into blocks."""
+    around = pairs.groupBy("hub").agg(_parts(AROUND).alias("parts"))
+    members = pairs.drop("n").join(around, "hub").join(sets, "class").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "class", "hashes")
     hubs = around.join(sets.withColumnRenamed("class", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("hub").alias("class"), "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub, held = None, None, []
 
         def walk() -> pa.RecordBatch:
-            ranked = sorted(held, key=lambda x: x[1])
-            sets_ = [np.frombuffer(h, ">u8").astype(np.uint64) for _, h in ranked]
-            good = [c for (c, _), yes in zip(ranked, linked(hub, sets_, bounds), strict=True) if yes] if hub is not None else []
+            sets_ = [np.frombuffer(h, ">u8").astype(np.uint64) for _, h in held]
+            good = [c for (c, _), yes in zip(held, linked(hub, sets_, bounds), strict=True) if yes] if hub is not None else []
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -449,9 +518,9 @@ def _clusters(groups: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     of blocks meets in one task. A class goes to as many tasks as there are blocks, not classes.
     """
     of = components(groups.groupBy("hash").agg(F.min("class").alias("a")).join(groups, "hash").select("a", F.col("class").alias("b")))
-    members = groups.select("class", "label").distinct().join(of.select(F.col("v").alias("class"), F.col("label").alias("cluster")), "class")
-    counts = members.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).alias("k"))
-    dealt = members.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k"))).join(sets, "class")
+    members = groups.select("class", "label", "n").distinct().join(of.select(F.col("v").alias("class"), F.col("label").alias("cluster")), "class")
+    counts = members.groupBy("cluster").agg(_parts(SIDE).alias("k"))
+    dealt = members.drop("n").join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k"))).join(sets, "class")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
     sides = dealt.select("cluster", "own", "class", "label", "hashes", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "class", "label", "hashes")
 
@@ -466,18 +535,20 @@ def _clusters(groups: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
                     x = parent[x]
                 return x
 
-            ranked = sorted(rows, key=lambda r: r[3])
-            tries = [(c, label, np.frombuffer(h, ">u8").astype(np.uint64), left) for left, c, label, h in ranked]
-            same, found = key[1] == key[2], []
-            for k, (c, label, hub, left) in enumerate(tries):
-                if left:
-                    # Within one block each pair once; between two blocks the left ones are hubs.
-                    own = root(label)
-                    around = [t for t in (tries[k + 1 :] if same else tries) if (same or not t[3]) and root(t[1]) != own and bounds.fits(len(hub), len(t[2]))]
-                    for t, yes in zip(around, linked(hub, [t[2] for t in around], bounds), strict=True):
-                        if yes and root(t[1]) != root(label):
-                            parent[root(t[1])] = root(label)
-                            found.append((c, t[0]))
+            ranks, found = by_frequency([np.frombuffer(r[3], ">u8").astype(np.uint64) for r in rows]), []
+            n_ranks, one = 1 + max(int(r[-1]) for r in ranks), key[1] == key[2]
+            # Within one block each pair once; between two blocks the left ones are hubs.
+            right = [k for k, r in enumerate(rows) if one or not r[0]]
+            trie = Trie([ranks[k] for k in right])
+            hubs = [(right[i], place) for place, i in enumerate(trie.order)] if one else [(k, -1) for k, r in enumerate(rows) if r[0]]
+            for k, place in hubs:
+                _, c, label, _ = rows[k]
+                if any(root(rows[m][2]) != root(label) for m in right):
+                    for m in trie.links(ranks[k], len(ranks[k]), n_ranks, bounds, place):
+                        _, other, its, _ = rows[right[trie.order[m]]]
+                        if root(its) != root(label):
+                            parent[root(its)] = root(label)
+                            found.append((c, other))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -514,7 +585,7 @@ def link_classes(kept: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             hubs = tried.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("hash", F.col("class").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
         fits = (F.least("n", "hub_n") * bounds.den >= F.greatest("n", "hub_n") * bounds.num) & (F.col("label") != F.col("hub_label")) & (F.col("hub") < F.col("class"))
         pairs = tried.join(hubs, "hash").where(fits)
-        pairs = pairs.groupBy("class").agg(F.min("hub").alias("hub")) if most == 1 else pairs.select("class", "hub").distinct()
+        pairs = pairs.groupBy("class", "n").agg(F.min("hub").alias("hub")) if most == 1 else pairs.select("class", "n", "hub").distinct()
         found = _verified(saved(pairs), sets, bounds)
         if most == SMALL:
             large = groups.where(F.col("held") > SMALL)
