@@ -95,6 +95,16 @@ def test_sentencepiece_frames(odd, none):
     assert sentencepiece_viterbi.encode(none).count() == 0
 
 
+def test_sentencepiece_bad_ids(spark):
+    c = sentencepiece_viterbi.coder(sentencepiece_viterbi.MODEL)
+    for bad in ([-1, -2], [len(c.pieces)]):
+        with pytest.raises(ValueError):
+            c.decode([np.array(bad, "<i4").tobytes()])
+    ids = np.frombuffer(c.encode(["two words"])[0], "<i4").tolist()
+    df = spark.createDataFrame([([ids[0], None, *ids[1:]],), (None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in sentencepiece_viterbi.decode(df).collect()] == ["two words", None, ""]
+
+
 # 2
 
 
@@ -111,6 +121,13 @@ def test_chat_reads_back(spark):
     assert chat.assemble(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_chat_clashes_and_long_texts(spark):
+    long = "é😀 </turn> word\n" * 20_000
+    turns = spark.createDataFrame([(1, 0, "assistant", long, "x"), (1, 1, "user", None, "y")], "conv_id long, turn long, role string, text string, ids string").withColumns({"loss_mask": F.lit(1), "n_turns": F.lit("clash")})
+    got = chat.assemble(chat.format_turns(turns)).collect()
+    assert len(got) == 1 and got[0].loss_chars == len(long) and got[0].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_chat_segments():
     c = chat.coder(chat.VOCABULARY)
     ids, masks = c.encode(["assistant", "user"], ["</turn>", "hi"], "assistant")
@@ -174,6 +191,29 @@ def test_mixing_blocks_do_not_matter(spark, docs, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs.repartition(5)).collect())) == one
 
 
+def test_mixing_draws_by_odds(spark, monkeypatch):
+    # Texts of 4 and of 100 words weigh 2 and 10, so the long ones are five times as likely.
+    rows = [(i, "w " * (4 if i % 2 else 100), "s" if i < 6000 else "t") for i in range(6200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, weights=(1, 60)).toPandas()
+    own = mixed[mixed.source == "s"]
+    rate = own.target.iloc[0] / (3000 * (4 * 2 + 100 * 10))
+    for size, w in ((4, 2), (100, 10)):
+        share = own.copies[own["size"] == size].mean()
+        assert 0 < rate * w < 1 and abs(share - rate * w) < 4 * (rate * w / 3000) ** 0.5
+    monkeypatch.setattr(mixing, "odds", lambda x: x)
+    other = mixing.mix(docs, weights=(1, 60)).toPandas()
+    assert sorted(zip(mixed.doc_id, mixed.copies)) != sorted(zip(other.doc_id, other.copies))
+
+
+def test_mixing_of_equal_rows(spark):
+    rows = [(None, "the same four words", "s")] * 3000 + [(i, "w " * 40, "t") for i in range(500)] + [(7, None, None)] * 5
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n": F.lit(1), "block": F.lit("clash")})).toPandas()
+    own = mixed[mixed.source == "s"]
+    assert len(mixed) == len(rows) and sorted(own["copy"]) == list(range(3000))
+    assert abs(own.taken.sum() - own.target.iloc[0]) <= 4 and own.copies.nunique() > 1
+
+
 def test_mixing_odd(odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
@@ -199,6 +239,15 @@ def test_repetition_is_brute_force():
     assert got["repeat_spans"][-1] == [(0, 90)]
 
 
+def test_repeats_of_long_texts():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(400)), "x y z " * 90, "", "one", "a b " * 200 + "c"] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 50))) for _ in range(40)]
+    words = [t.split() for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    first = np.unique([f"{i:03d}{w}" for i, ws in enumerate(words) for w in ws], return_inverse=True)[1]
+    assert np.array_equal(repetition.longest_repeats(first, doc), repetition.longest_repeats(first, doc, 0))
+
+
 def test_repetition_verdicts(spark, odd, none):
     plain = " ".join(f"w{i}" for i in range(300))
     rows = [(1, plain), (2, plain + " q " + " ".join(plain.split()[:70])), (3, "too short")]
@@ -233,6 +282,37 @@ def test_toxicity_finds_words_and_sentences(spark):
     assert len(hit.toxic_sentences) == 1 and re.search("vile|nasty", hit.text[hit.toxic_sentences[0].start : hit.toxic_sentences[0].end])
 
 
+def test_toxicity_is_a_noisy_or():
+    rng = np.random.default_rng(3)
+    words = ["vile", "nasty", "kind", "tree", "sky", "road", "a", "b"]
+    texts = [". ".join(" ".join(rng.choice(words[2 * (k % 5 > 0) :], 3)) for _ in range(rng.integers(1, 6))) for k in range(400)]
+    labels = np.array([int("vile" in t or "nasty" in t) ^ int(rng.random() < 0.05) for t in texts])
+    model = toxicity.fit(toxicity.sentence_cells(texts), labels)
+
+    def plain(text, weights, bias):
+        clean = 1.0
+        for sentence in text.split(". "):
+            z = bias + sum(weights.get(toxicity._cell(w.encode()), 0.0) for w in set(sentence.split()))
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    weights = dict(zip(model.cells.tolist(), model.weights.tolist()))
+    assert {toxicity._cell(w) for w in (b"vile", b"nasty")} <= set(weights)
+    bags = toxicity.sentence_cells(texts)
+    assert np.allclose(toxicity.noisy_or(*toxicity.sentence_logits(bags, model), len(bags)), [plain(t, weights, model.bias) for t in texts])
+
+    def loss(weights, leak):
+        p = 1 - (1 - np.array([plain(t, weights, model.bias) for t in texts])) * (1 - leak)
+        return -np.mean(np.log(np.where(labels > 0, p, 1 - p).clip(1e-12)))
+
+    best, leak = min((loss(weights, x), x) for x in (0.01, 0.03, 0.05, 0.1))
+    for cell in weights:  # no single weight can be moved to fit the labels much better
+        for step in (-1.0, 1.0):
+            assert loss({**weights, cell: weights[cell] + step}, leak) > best - 0.002
+    once = toxicity.fit(toxicity.sentence_cells(texts[::-1]), labels[::-1])
+    assert np.allclose(once.weights, model.weights, atol=1e-6)  # the order of rows, and so ties, change nothing
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
@@ -262,6 +342,32 @@ def test_language_cells_are_brute_force():
     assert one[0] == langid.ngram_cells(["a"])[0][0][0]
 
 
+def test_language_is_naive_bayes(spark):
+    from collections import Counter
+
+    rows = [(1, "Ein Haus, ein Baum", "de"), (2, "un arbre et une maison", "fr"), (3, "une MAISON", "fr"), (4, "Der Baum", "de"), (5, "a tree", None), (6, "casa", "it"), (6, "casa", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logs = langid.train(docs)
+    assert langs == ["de", "fr", "it"]
+
+    def grams(text):
+        text = text.lower()
+        return [langid.ngram_cells([text[i : i + n]])[0][n - 1][0] for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+
+    counts = {x: Counter(g for _, t, lang in rows if lang == x for g in grams(t)) for x in langs}
+    tests = ["Haus und Maison", "casa", "Baum ☃", "xyz", "12 ² ½ Ⅷ", "", None, "\n"]
+    names, scores = langid.classify(tests, langs, logs)
+    for text, name, score in zip(tests, names, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        sums = np.array([sum(np.log((counts[x][g] + 1) / (sum(counts[x].values()) + langid.CELLS)) for g in grams(text)) for x in langs])
+        p = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+        assert name == langs[int(p.argmax())] and abs(score - p.max()) < 1e-3
+    tied = np.zeros_like(logs)
+    assert langid.classify(["abc"], langs, tied) == (["de"], [pytest.approx(1 / 3)])  # of equals the first
+
+
 def test_language_odd(odd, none):
     langs, logs = langid.train(odd.select("doc_id", "text", "lang"))
     out = langid.add_language(odd, langs, logs).select("text", "lang_pred", "score").collect()
@@ -286,6 +392,28 @@ def test_licenses_are_brute_force(docs):
         assert (got["first_word"], got["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
 
 
+def test_licenses_miss_no_place(docs):
+    scanner = licenses.Scanner(*licenses.document_counts(docs, {w for _, t, _ in licenses.TEMPLATES for w in licenses.words_of(t)}))
+    rng = random.Random(9)
+    texts = texts_of(docs)[:60]
+    for label, text, _ in licenses.TEMPLATES:
+        w = text.split()
+        for _ in range(rng.randint(0, len(w) // 2)):
+            w[rng.randrange(len(w))] = rng.choice(["the", "zzz", "license", "software"])
+        texts += [" ".join(w), "the software " * 5 + " ".join(w) + " " + text, " ".join(w[2:])]
+    for text in texts:
+        words = licenses.words_of(text)
+        there = {w for w in words}
+        real = set()
+        for t, (label, template, _) in enumerate(scanner.templates):
+            if sum(w in there for w in template) >= scanner.need[t]:
+                real |= {(max(start, 0), label, share) for start in range(-len(template), len(words)) if (share := scanner.verify(words, t, start))}
+        base = {(i, label, 1.0) for p, label in scanner.phrases for i in licenses.find(words, p)}
+        got = scanner.scan(text)
+        assert set(got["places"]) == real | base
+        assert got["labels"] == ",".join(sorted({x for _, x, _ in real | base}))
+
+
 def test_licenses_method(spark, odd, none):
     scanner = licenses.Scanner(100, {b"the": 90, b"license": 5})
     assert scanner.scan("Licensed under the Apache License, Version 2.0.")["labels"] == "apache,apache-2.0"
@@ -381,7 +509,7 @@ def test_trie_walk_is_brute_force():
     sets = sorted((s for s in sets if len(s)), key=lambda s: s.astype(">u8").tobytes())
     for hub in (base, sets[7]):
         real = [100 * len(np.intersect1d(hub, s)) >= 75 * len(np.union1d(hub, s)) for s in sets]
-        assert jaccard.linked(hub, sets, bounds, step=16) == real
+        assert jaccard.linked(hub, sets, bounds) == real
 
 
 def test_components(spark):
@@ -421,6 +549,13 @@ def test_fingerprints_are_brute_force(docs):
     assert np.array_equal(simhash.fingerprints(texts), np.stack([brute_fingerprint(t) for t in texts]))
 
 
+def test_fingerprints_in_slices(docs, monkeypatch):
+    texts = texts_of(docs)[:30] + ["", "x y " * 50]
+    whole = simhash.fingerprints(texts)
+    monkeypatch.setattr(simhash, "SLICE", 37)
+    assert np.array_equal(simhash.fingerprints(texts), whole)
+
+
 def test_simhash_next_and_edited(spark, docs):
     out = [r for r in simhash.op10_simhash(spark, DATA).collect()]
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
