@@ -51,16 +51,15 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = saved(mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")))
-    rows = docs.withColumn("__n", mixing.n_words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    if not taken.groupBy("__id", "__source", "__size").count().where("count > 1").isEmpty():
-        # Repeated rows: the k-th of equal rows gets the k-th of their numbers of copies.
-        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))))
-        taken = taken.withColumn("__j", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.desc("__copies"))))
-        same = same & (F.col("__k") == F.col("__j"))
-    joined = rows.join(taken.where("__copies > 0 and __size > 0"), same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = mixing.mix(docs).where("copies > 0 and size > 0")
+    taken = saved(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("copy").alias("__copy"), F.col("copies").cast("int").alias("__copies")))
+    rows = docs.select("*", F.md5(F.coalesce("text", F.lit(""))).alias("__m"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__m") == F.col("__digest"))
+    if not taken.where("__copy > 0").isEmpty():  # repeated rows: the k-th of equal rows has the k-th draw
+        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__m").orderBy(F.lit(1))) - 1)
+        same = same & (F.col("__k") == F.col("__copy"))
+    joined = rows.join(taken, same)
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
