@@ -15,16 +15,37 @@ DAYS_AND_MONTHS = (
     "jan", "january", "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august",
     "sep", "sept", "september", "oct", "october", "nov", "november", "dec", "december",
 )
-#: Formats of dates in text; free-form dates are not guessed.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
-
-
-def parsed_date(x: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS])
+_YMD, _TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}"
+#: Formats of dates in text, each with the pattern that a value must match before it is parsed: a
+#: failing parse is an exception inside, which is slow. Of an ambiguous day and month the month is first.
+DATE_FORMATS = {
+    "yyyy-MM-dd": f"{_YMD}",
+    "yyyy-MM-dd HH:mm:ss": f"{_YMD} {_TIME}:[0-9]{{2}}",
+    "yyyy-MM-dd'T'HH:mm:ss": f"{_YMD}T{_TIME}:[0-9]{{2}}",
+    "yyyy-MM-dd HH:mm": f"{_YMD} {_TIME}",
+    "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSS]": f"{_YMD} {_TIME}:[0-9]{{2}}[.]([0-9]{{3}}|[0-9]{{6}})",
+    "yyyy/M/d": "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    "M/d/yyyy": "(0?[1-9]|1[0-2])/[0-9]{1,2}/[0-9]{4}",
+    "M/d/yyyy H:mm": f"(0?[1-9]|1[0-2])/[0-9]{{1,2}}/[0-9]{{4}} [0-9]{{1,2}}:[0-9]{{2}}",
+    "d/M/yyyy": "(1[3-9]|2[0-9]|3[01])/[0-9]{1,2}/[0-9]{4}",
+    "d.M.yyyy": "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}",
+    "d MMM yyyy": "[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}",
+    "d-MMM-yyyy": "[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}",
+    "d MMMM yyyy": "[0-9]{1,2} [A-Z][a-z]{3,8} [0-9]{4}",
+    "MMM d, yyyy": "[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}",
+    "MMMM d, yyyy": "[A-Z][a-z]{3,8} [0-9]{1,2}, [0-9]{4}",
+}
+
+
+def parsed_date(x: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
+    """The time of a text in one of the formats, else null."""
+    return F.coalesce(*[F.when(x.rlike(f"^{p}$"), F.try_to_timestamp(x, F.lit(f))) for f, p in formats.items()])
 
 
 def is_datetime(x: Column) -> Column:
-    return ~F.lower(x).isin(*DAYS_AND_MONTHS) & parsed_date(x).isNotNull()
+    """Whether a text is a date; null for null."""
+    dated = F.coalesce(F.when(x.rlike("[0-9]"), parsed_date(x).isNotNull()), F.lit(False))
+    return F.when(x.isNotNull(), ~F.lower(x).isin(*DAYS_AND_MONTHS) & dated)
 
 
 def ssn_number(x: Column) -> Column:
@@ -39,7 +60,7 @@ def is_ssn(x: Column) -> Column:
 
 def ssn_text(number: Column) -> Column:
     nine = F.lpad(number.cast("string"), 9, "0")
-    return F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 2), F.substring(nine, 6, 4))
+    return F.concat(F.substring(nine, 1, 3), F.lit("-"), F.substring(nine, 4, 2), F.lit("-"), F.substring(nine, 6, 4))
 
 
 def is_numeric(kind: T.DataType) -> bool:

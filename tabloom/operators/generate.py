@@ -8,6 +8,7 @@ child of the network. Results do not depend on partitioning.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,33 @@ def cumulative(p: list[float]) -> list[float]:
     return list(accumulate(p))
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row: as a lambda's argument it is never repeated."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+#: Cumulative probabilities beyond this number are looked up in two steps.
+STEP = 64
+
+
 def draw(cum: Column, u: Column) -> Column:
     """The code of a uniform number, by cumulative probabilities."""
-    return F.least(F.size(F.filter(cum, lambda c: c <= u)), F.size(cum) - 1)
+    return let(u, lambda x: F.least(F.size(F.filter(cum, lambda c: c <= x)), F.size(cum) - 1))
+
+
+def draw_of(cum: list[float], u: Column) -> Column:
+    """The same with plain probabilities: many are searched by the last of each STEP first."""
+    if len(cum) <= 2 * STEP:
+        return draw(numbers(cum), u)
+    heads = numbers(cum[STEP - 1 :: STEP])
+    parts = F.array(*[numbers(cum[k : k + STEP]) for k in range(0, len(cum), STEP)])
+
+    def look(x: Column) -> Column:
+        part = F.size(F.filter(heads, lambda c: c <= x))
+        here = F.coalesce(F.size(F.filter(F.get(parts, part), lambda c: c <= x)), F.lit(0))
+        return F.least(part * STEP + F.greatest(here, F.lit(0)), F.lit(len(cum) - 1))
+
+    return let(u, look)
 
 
 def numbers(values: list) -> Column:
@@ -35,7 +60,7 @@ def numbers(values: list) -> Column:
 
 
 def sampled_code(c: ColumnModel, seed: object, row: Column) -> Column:
-    return draw(numbers(cumulative(c.distribution_probabilities)), uniform(seed, f"gen:{c.name}", row))
+    return draw_of(cumulative(c.distribution_probabilities), uniform(seed, f"gen:{c.name}", row))
 
 
 def decoded(c: ColumnModel, code: Column, seed: object, row: Column, timestamps: bool = False) -> Column:
@@ -44,16 +69,14 @@ def decoded(c: ColumnModel, code: Column, seed: object, row: Column, timestamps:
     if not n:
         return F.lit(None).cast("string")
     if c.is_categorical:
-        known = F.array(*[F.lit(v) for v in c.distribution_bins])
-        v = F.get(known, code)
+        v = F.get(F.array(*[F.lit(v) for v in c.distribution_bins]), code)  # null beyond the last
         if c.data_type == SSN:
             v = ssn_text(v.cast("bigint"))
-        return F.when(code < n, F.timestamp_seconds(v) if c.data_type == DATETIME and timestamps else v)
+        return F.timestamp_seconds(v) if c.data_type == DATETIME and timestamps else v
     low = numbers(c.distribution_bins)
     high = numbers([*c.distribution_bins[1:], c.max + (0.5 if c.min == c.max else 0)])
-    lo, hi = F.get(low, code), F.get(high, code)
-    x = lo + uniform(seed, f"val:{c.name}", row) * (hi - lo)
-    return F.when(code < n, as_value(c, x, seed, row, timestamps))
+    x = let(code, lambda k: let(F.get(low, k), lambda lo: lo + uniform(seed, f"val:{c.name}", row) * (F.get(high, k) - lo)))
+    return let(x, lambda v: as_value(c, v, seed, row, timestamps))
 
 
 def as_value(c: ColumnModel, x: Column, seed: object, row: Column, timestamps: bool = False) -> Column:
@@ -146,7 +169,7 @@ def sampled_codes(rows: DataFrame, model: TableModel, seed: object = 0) -> DataF
     distribution is drawn from. A table is sent to all tasks only if it is small.
     """
     spark, root, row = rows.sparkSession, model.network[0][1][0], F.col("id")
-    out = rows.select("id", draw(numbers(cumulative(model.conditional[root][0][1])), uniform(seed, f"gen:{root}", row)).cast("int").alias(root))
+    out = rows.select("id", draw_of(cumulative(model.conditional[root][0][1]), uniform(seed, f"gen:{root}", row)).cast("int").alias(root))
     for child, parents in model.network:
         table = [(*codes, cumulative(p)) for codes, p in model.conditional[child]]
         schema = ", ".join([*[f"__p{k} int" for k in range(len(parents))], "__cum array<double>"])

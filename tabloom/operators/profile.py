@@ -46,7 +46,7 @@ def infer_types(df: DataFrame, declared: dict[str, str] | None = None) -> dict[s
         elif is_time(f.dataType):
             out[f.name] = DATETIME
         elif isinstance(f.dataType, T.StringType):
-            checks[f.name] = [F.bool_and(is_datetime(x)), F.bool_and(F.when(x.isNotNull(), is_ssn(x)))]
+            checks[f.name] = [F.bool_and(is_datetime(x)), F.bool_and(F.when(x.isNotNull(), is_ssn(x)))]  # nulls do not count
         else:
             out[f.name] = STRING
     if checks:
