@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,24 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the map of keys in ``maybe_among``: 64 in a row, so 2**19 rows and about 8 MB at most.
+KEY_BITS = 1 << 25
+
+
+def maybe_among(df: DataFrame, key: Column, keys: DataFrame, key_of: Column) -> DataFrame:
+    """The rows of ``df`` whose key may be among ``keys``: all that are, and few others, before an exact join shuffles them.
+
+    What is sent to all tasks is a map of KEY_BITS bits, however many keys there are. With more keys
+    than bits it lets more rows pass, which costs time and never changes the join.
+    """
+    word, bit = F.shiftright("__cell", 6), F.expr("shiftleft(1L, cast(__cell & 63 AS int))")
+    cells = keys.select(F.pmod(F.xxhash64(key_of), F.lit(KEY_BITS)).alias("__cell"))
+    words = cells.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    asked = df.withColumn("__cell", F.pmod(F.xxhash64(key), F.lit(KEY_BITS)))
+    there = asked.join(F.broadcast(words), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0)
+    return there.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def with_columns(df: DataFrame, inputs: list[str], outputs: list[T.StructField], fn: Callable[[list[pa.Array]], list]) -> DataFrame:
     """Add columns that ``fn`` makes, one Arrow batch at a time, from the input columns.
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
+from tabloom.llm.common import Cache, chunks, forget, maybe_among, saved, table, with_columns
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -182,14 +182,15 @@ def _range(x: np.ndarray, parts: int) -> np.ndarray:
 _POSTED = "block long, hashes binary, runs binary, classes binary, sizes binary"
 
 
-def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], deal: Deal) -> pa.RecordBatch:
-    """Postings of some classes as one row for each block of hashes that they reach."""
+def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], deal: Deal, short: bool = False) -> pa.RecordBatch:
+    """Postings of some classes as one row for each block of hashes that they reach; ``short`` ones have 32 bits of a hash."""
     counts = [len(h) for h in hashes]
     flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
     names, of_size = np.array(classes, np.int64), np.array(sizes, np.int32)
     block = deal.block(flat, names[owner])
     order = np.argsort(block, kind="stable")
     flat, owner, block = flat[order], owner[order], block[order]
+    flat = flat.astype(np.uint32) if short else flat
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     rows = []
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
@@ -199,7 +200,11 @@ def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], deal
 
 
 def _post_starts(docs: DataFrame, size: int, bounds: Bounds, deal: Deal) -> DataFrame:
-    """The first hashes of each class, once for each batch that holds it."""
+    """The first hashes of each class, once for each batch that holds it.
+
+    They only count what is shared, and 32 bits of two hashes within a block are seldom equal by
+    chance; a class that survives by that is found to have no partner later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
@@ -212,7 +217,7 @@ def _post_starts(docs: DataFrame, size: int, bounds: Bounds, deal: Deal) -> Data
                         seen[c] = len(s)
                         hashes.append(s[: bounds.posted(len(s))].copy())
             if seen:
-                yield _packed(hashes, list(seen), list(seen.values()), deal)
+                yield _packed(hashes, list(seen), list(seen.values()), deal, short=True)
         forget()
 
     return docs.select("text").mapInArrow(run, _POSTED)
@@ -244,7 +249,7 @@ def _shared(posted: DataFrame, deal: Deal, counts_only: bool) -> DataFrame:
                     yield from shared(got, now >= deal.blocks)
                     got = []
                 now, runs = block, np.frombuffer(r, np.int32)
-                got.append((np.frombuffer(h, np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int32), runs)))
+                got.append((np.frombuffer(h, np.uint32 if counts_only else np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int32), runs)))
         if got:
             yield from shared(got, now >= deal.blocks)
 
@@ -261,7 +266,7 @@ def _shared(posted: DataFrame, deal: Deal, counts_only: bool) -> DataFrame:
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (classes[1:] != classes[:-1])] if len(hashes) else np.zeros(0, bool)
         hashes, classes, sizes = hashes[new], classes[new], sizes[new]
         if hot:  # all of a class's are here, all classes of a hash are not
-            held = deal.counts(hashes)
+            held = np.ones(len(hashes), np.int32) if counts_only else deal.counts(hashes)
         else:
             _, place, held = np.unique(hashes, return_inverse=True, return_counts=True)
             several = held[place] > 1
@@ -344,27 +349,21 @@ def _kept(shared: DataFrame, bounds: Bounds) -> DataFrame:
     return whole.mapInArrow(run, "hash long, class long, n long")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(class, n, hashes big-endian) of some classes, made anew from one text of each."""
+def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(class, n, hashes big-endian) of the classes in (class, id, mark), made anew from the text that id and mark name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            wanted, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fresh = [i for i, c in enumerate(wanted) if c not in seen]
-            rows = []
-            for a, b in chunks([texts[i] for i in fresh]):
-                for i, s in zip(fresh[a:b], shingle_sets([texts[i] for i in fresh[a:b]], size), strict=True):
-                    if wanted[i] not in seen and class_of(s) == wanted[i]:
-                        seen.add(wanted[i])
-                        rows.append((wanted[i], len(s), s.astype(">u8").tobytes()))
-            for a in range(0, len(rows), 1000):
-                part = rows[a : a + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["class", "n", "hashes"])
+            classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                made = shingle_sets(texts[a:b], size)
+                yield pa.RecordBatch.from_arrays([pa.array(classes[a:b], pa.int64()), pa.array([len(s) for s in made], pa.int64()), pa.array([s.astype(">u8").tobytes() for s in made], pa.binary())], names=["class", "n", "hashes"])
         forget()
 
-    texts = docs.select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "text").join(classes, "id").select("class", "text")
-    return texts.mapInArrow(run, "class long, n long, hashes binary").dropDuplicates(["class"])
+    both = F.struct("id", "mark")
+    texts = docs.select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
+    once = maybe_among(texts, both, named, both).groupBy("id", "mark").agg(F.first("text").alias("text"))
+    return once.join(named, ["id", "mark"]).select("class", "text").mapInArrow(run, "class long, n long, hashes binary")
 
 
 def by_frequency(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -465,6 +464,7 @@ def _parts(members: int) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs (hub, class, n) whose sets link. Around a hub with many or large members, these are dealt into blocks."""
     around = pairs.groupBy("hub").agg(_parts(AROUND).alias("parts"))
+    sets = maybe_among(sets, F.col("class"), pairs.select("class").union(pairs.select("hub")), F.col("class"))
     members = pairs.drop("n").join(around, "hub").join(sets, "class").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "class", "hashes")
     hubs = around.join(sets.withColumnRenamed("class", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("hub").alias("class"), "hashes")
 
@@ -572,8 +572,10 @@ def link_classes(kept: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     groups = kept
     for most in (*HUBS, SMALL):
         known = groups.select("hash", "class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        open_ = known.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("hash", "held")
-        groups = saved(known.join(open_, "hash"))
+        # Groups of the same classes, as a shared passage makes them for each of its hashes, count once.
+        members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"of{k}") for k in (0, 1)]
+        open_ = known.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"), *members).where("lo != hi")
+        groups = saved(known.join(open_.groupBy("held", "of0", "of1").agg(F.min("hash").alias("hash")).select("hash", "held"), "hash"))
         if groups.isEmpty():
             return labels
         tried = groups.where(F.col("held") <= SMALL) if most == SMALL else groups
@@ -611,8 +613,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     posted = rows.agg(F.sum(n - F.ceil(n * num / den) + F.greatest(F.lit(1), F.floor(n / 8)))).first()[0] or 0
     deal = Deal(int(posted), hot)
     survivors = _survivors(_shared(_post_starts(docs, size, bounds, deal), deal, counts_only=True), bounds, deal.blocks)
-    named = rows.where("class is not null").groupBy("class").agg(F.coalesce(F.min("id"), F.lit(_NO_ID)).alias("id"))
-    sets = saved(_sets(docs, named.join(saved(survivors), "class"), size))
+    name = F.min(F.struct(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "mark")).alias("name")
+    named = saved(rows.where("class is not null").groupBy("class").agg(name).join(saved(survivors), "class").select("class", "name.id", "name.mark"))
+    sets = saved(_sets(docs, named, size))
     deal = Deal(int(sets.agg(F.sum("n")).first()[0] or 0), _hot(sets.where(F.col("class") % SAMPLE == 0)))
     kept = saved(_kept(_shared(_post_sets(sets, deal), deal, counts_only=False), bounds))
     labels = link_classes(kept, sets, bounds)
