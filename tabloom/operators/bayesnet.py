@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.rng import uniform_here
@@ -70,10 +70,11 @@ def scores(tuples: DataFrame, candidates: list[tuple[str, list[str]]]) -> list[f
         part = candidates[a : a + BATCH]
         cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("int").alias("x"), F.array(*[F.col(f"`{p}`").cast("int") for p in ps]).alias("y")) for k, (c, ps) in enumerate(part)]
         joint = tuples.select(F.explode(F.array(*cells)).alias("c"), "n").groupBy("c.k", "c.x", "c.y").agg(F.sum("n").alias("n"))
-        of, nx, ny = Window.partitionBy("k"), Window.partitionBy("k", "x"), Window.partitionBy("k", "y")
-        wide = joint.select("k", "n", F.sum("n").over(of).alias("t"), F.sum("n").over(nx).alias("nx"), F.sum("n").over(ny).alias("ny"))
-        found = wide.groupBy("k").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi")).collect()
-        by = {r["k"]: max(round(r["mi"], 12), 0.0) for r in found}
+        sides = [joint.select("k", "n")] + [joint.groupBy("k", side).agg(F.sum("n").alias("n")).select("k", "n") for side in ("x", "y")]
+        # H(x) + H(y) - H(x, y), each ln N - sum(n ln n) / N: sums alone, no counts beside each other.
+        sums = [side.groupBy("k").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln(F.col("n").cast("double")) * sign).alias("s")) for side, sign in zip(sides, (1, -1, -1), strict=True)]
+        whole = sums[0].unionByName(sums[1]).unionByName(sums[2]).groupBy("k").agg((F.ln(F.max("t").cast("double")) + F.sum("s") / F.max("t")).alias("mi"))
+        by = {r["k"]: max(round(r["mi"], 12), 0.0) for r in whole.collect()}
         out += [by.get(k, 0.0) for k in range(len(part))]
     return out
 
@@ -98,15 +99,17 @@ def probabilities(mi: list[float], scales: list[float]) -> list[float]:
     return [w / sum(weights) for w in weights]
 
 
-def learn(coded: DataFrame, k: int | None = None, epsilon: float = 0.0, seed: object = 0, root: str | None = None) -> list[tuple[str, list[str]]]:
+def learn(coded: DataFrame, k: int | None = None, epsilon: float = 0.0, seed: object = 0, root: str | None = None, tuples: DataFrame | None = None) -> list[tuple[str, list[str]]]:
     """(child, parents) in the order of sampling; each has min(chosen, k) parents.
 
     epsilon 0 takes the best candidate at each round; the root is drawn by the seed unless given.
+    ``tuples`` are the collapsed codes, if the caller holds them already.
     """
     names = coded.columns
     if len(names) < 2:
         raise ValueError("a network needs two columns at least")
-    tuples = collapsed(coded).persist()
+    held = tuples is not None
+    tuples = tuples if held else collapsed(coded).persist()
     try:
         stats = tuples.agg(F.sum("n").alias("n"), *[F.size(F.collect_set(F.col(f"`{c}`"))).alias(f"d{i}") for i, c in enumerate(names)]).first()
         n, binary = int(stats["n"] or 0), {c: stats[f"d{i}"] <= 2 for i, c in enumerate(names)}
@@ -126,4 +129,5 @@ def learn(coded: DataFrame, k: int | None = None, epsilon: float = 0.0, seed: ob
             rest.remove(options[best][0])
         return network
     finally:
-        tuples.unpersist()
+        if not held:
+            tuples.unpersist()

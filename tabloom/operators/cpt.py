@@ -57,7 +57,7 @@ def conditional(joint: DataFrame, child: str, parents: list[str]) -> DataFrame:
     return rows.withColumn("p", normalized(F.col("count"), Window.partitionBy("parent_codes"))).select("child", "parent_codes", "code", "p")
 
 
-def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int], epsilon: float = 0.0, seed: object = 0) -> DataFrame:
+def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int], epsilon: float = 0.0, seed: object = 0, shared: DataFrame | None = None) -> DataFrame:
     """The conditional tables of a whole network; the root's has no parents.
 
     The root and the first k children, k being the largest number of parents, share one noisy joint
@@ -66,7 +66,7 @@ def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[
     root, k = network[0][1][0], len(network[-1][1])
     d = len(cards)
     shared_names = [root, *[c for c, _ in network[:k]]]
-    shared = joint_counts(tuples, {c: cards[c] for c in shared_names}, epsilon, d, seed, f"cpt:{root}").persist()
+    shared = joint_counts(tuples, {c: cards[c] for c in shared_names}, epsilon, d, seed, f"cpt:{root}") if shared is None else shared
     parts = [conditional(marginal(shared, [root]), root, [])]
     for i, (child, parents) in enumerate(network):
         names = [*parents, child]
@@ -78,6 +78,17 @@ def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[
     return out
 
 
+def fitted(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int], epsilon: float = 0.0, seed: object = 0) -> dict[str, list[tuple[list[int], list[float]]]]:
+    """The tables as plain data; the shared joint table is kept while they are made, and only then."""
+    root, k = network[0][1][0], len(network[-1][1])
+    names = [root, *[c for c, _ in network[:k]]]
+    shared = joint_counts(tuples, {c: cards[c] for c in names}, epsilon, len(cards), seed, f"cpt:{root}").persist()
+    try:
+        return collected(tables(tuples, network, cards, epsilon, seed, shared))
+    finally:
+        shared.unpersist()
+
+
 def collected(cpt: DataFrame) -> dict[str, list[tuple[list[int], list[float]]]]:
     """The tables as plain data for a model."""
     rows = cpt.groupBy("child", "parent_codes").agg(F.array_sort(F.collect_list(F.struct("code", "p"))).alias("x")).orderBy("child", "parent_codes").collect()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.rng import laplace, uniform
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number
+from tabloom.operators.ordered import quantiles, running
 from tabloom.operators.profile import value
 from tabloom.plans.model import ColumnModel, TableModel
 
@@ -39,21 +40,15 @@ def category(df: DataFrame, name: str, logical: str) -> Column:
     return x.cast("string") if logical == STRING else as_number(x, df.schema[name].dataType, logical)
 
 
-def ordered(keys: Column) -> Column:
-    return F.row_number().over(Window.orderBy(keys)) - 1
-
-
 def categorical_distribution(df: DataFrame, name: str, logical: str = STRING, domain: list | None = None) -> DataFrame:
-    """(bin_idx, value, n, p) of a column's values and of the declared ones, in order; nulls do not count.
-
-    The last step orders the categories alone, which are few.
-    """
+    """(bin_idx, value, n, p) of a column's values and of the declared ones, in order; nulls do not count."""
     counts = df.select(category(df, name, logical).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
     if domain is not None:
         declared = df.sparkSession.createDataFrame([(v,) for v in domain], counts.select("value").schema)
         counts = counts.join(declared, "value", "full_outer").select("value", F.coalesce("n", F.lit(0)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(ordered(F.col("value")).cast("long").alias("bin_idx"), "value", F.col("n").cast("long").alias("n"), F.coalesce(F.try_divide("n", total), F.lit(0.0)).alias("p"))
+    total = counts.agg(F.sum("n")).first()[0]
+    placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one"})
+    return placed.select((F.col("place") - 1).cast("long").alias("bin_idx"), "value", F.col("n").cast("long").alias("n"), (F.col("n") / float(total or 1)).alias("p"))
 
 
 def histogram(df: DataFrame, x: Column, lo: float, hi: float, bins: int = BINS) -> DataFrame:
@@ -98,10 +93,10 @@ def bin_count(rule: str, n: int, lo: float, hi: float, q1: float, q3: float, std
 
 def statistics(df: DataFrame, x: Column) -> dict:
     x = x.cast("double")
-    names = {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))), "std": F.stddev_pop(x), "skew": F.skewness(x), "whole": F.bool_and(x == F.floor(x))}
+    names = {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "std": F.stddev_pop(x), "skew": F.skewness(x), "whole": F.bool_and(x == F.floor(x))}
     r = df.agg(*[e.alias(k) for k, e in names.items()]).first()
-    q = r["q"] or [0.0, 0.0]
-    return {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "q1": q[0], "q3": q[1], "std": r["std"] or 0.0, "skew": r["skew"] or 0.0, "whole": bool(r["whole"])}
+    q1, q3 = quantiles(df, x, [0.25, 0.75])
+    return {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "q1": q1 or 0.0, "q3": q3 or 0.0, "std": r["std"] or 0.0, "skew": r["skew"] or 0.0, "whole": bool(r["whole"])}
 
 
 #: Bin counts that Stone's rule tries in one job, over the distinct values.

@@ -8,47 +8,56 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.ordered import running
+
 MISSING = "nan"
 
 
+def _n_ln_n(n: str = "n") -> Column:
+    return F.sum(F.col(n) * F.ln(F.col(n).cast("double")))
+
+
 def entropy(df: DataFrame, name: str) -> DataFrame:
-    """One row: the entropy of a column in nats."""
+    """One row: the entropy of a column in nats, ln N - sum(n ln n) / N; no count needs the total beside it."""
     counts = df.groupBy(F.col(f"`{name}`").alias("x")).agg(F.count("*").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy())
-    return counts.select(p.alias("p")).agg(F.coalesce(-F.sum(F.col("p") * F.ln("p")), F.lit(0.0)).alias("entropy"))
+    total = F.sum("n")
+    return counts.agg(F.greatest(F.coalesce(F.ln(total.cast("double")) - _n_ln_n() / total, F.lit(0.0)), F.lit(0.0)).alias("entropy"))
 
 
 def mutual_information(df: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """One row: the mutual information of a column with several others taken together, in nats, not below 0."""
     child_col, given = F.col(f"`{child}`").alias("x"), [F.col(f"`{p}`").alias(f"y{k}") for k, p in enumerate(parents)]
     joint = df.groupBy(child_col, *given).agg(F.count("*").alias("n"))
-    ys = [f"y{k}" for k in range(len(parents))]
-    total, nx, ny = F.sum("n").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy("x")), F.sum("n").over(Window.partitionBy(*ys))
-    term = F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))
-    return joint.select("n", total.alias("t"), nx.alias("nx"), ny.alias("ny")).agg(F.greatest(F.coalesce(F.sum(term), F.lit(0.0)), F.lit(0.0)).alias("mi"))
+    sides = [joint] + [joint.groupBy(*names).agg(F.sum("n").alias("n")) for names in (["x"], [f"y{k}" for k in range(len(parents))])]
+    sums = [side.agg(F.lit(k).alias("k"), F.sum("n").alias("t"), _n_ln_n().alias("s")) for k, side in enumerate(sides)]
+    all_ = sums[0].unionByName(sums[1]).unionByName(sums[2])
+    mi = F.ln(F.max("t").cast("double")) + F.sum(F.when(F.col("k") == 0, F.col("s")).otherwise(-F.col("s"))) / F.max("t")
+    return all_.agg(F.greatest(F.coalesce(mi, F.lit(0.0)), F.lit(0.0)).alias("mi"))
 
 
 def nmi_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(x, y, nmi) for all ordered pairs of columns; 1 on the diagonal and where both are constant.
 
-    One job: rows are first collapsed to distinct tuples, those give pair counts, and the rest is sums.
+    One job: rows are first collapsed to distinct tuples, those give pair counts, and a pair's entropy
+    is one sum over its counts. A column paired with itself has its own entropy, and the information
+    of two is H(x) + H(y) - H(x, y).
     """
     names = sorted(names or df.columns)
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)).alias(f"c{k}") for k, c in enumerate(names)]
     tuples = df.groupBy(*cells).agg(F.count("*").alias("n"))
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{a}").alias("x"), F.col(f"c{b}").alias("y")) for a, b in combinations_with_replacement(range(len(names)), 2)]
     joint = tuples.select(F.explode(F.array(*pairs)).alias("p"), "n").groupBy("p.a", "p.b", "p.x", "p.y").agg(F.sum("n").alias("n"))
-    pair = Window.partitionBy("a", "b")
-    wide = joint.select("a", "b", "n", F.sum("n").over(pair).alias("t"), F.sum("n").over(Window.partitionBy("a", "b", "x")).alias("nx"), F.sum("n").over(Window.partitionBy("a", "b", "y")).alias("ny"))
-    mi = wide.groupBy("a", "b").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
-    own = mi.where("a = b").select(F.col("a").alias("k"), F.col("mi").alias("h"))  # a column's information on itself is its entropy
-    both = mi.join(own.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
+    total = F.sum("n")
+    both = joint.groupBy("a", "b").agg((F.ln(total.cast("double")) - _n_ln_n() / total).alias("h"))
+    own = both.where("a = b").select(F.col("a").alias("k"), F.col("h").alias("own"))  # a row for each column
+    sides = both.join(own.select(F.col("k").alias("a"), F.col("own").alias("ha")), "a").join(own.select(F.col("k").alias("b"), F.col("own").alias("hb")), "b")
+    mi = sides.withColumn("mi", F.col("ha") + F.col("hb") - F.col("h"))
     low = F.lit(1e-15)
     nmi = F.when((F.col("a") == F.col("b")) | ((F.col("ha") < low) & (F.col("hb") < low)), 1.0).otherwise(F.greatest(F.coalesce(F.try_divide(2 * F.col("mi"), F.col("ha") + F.col("hb")), F.lit(0.0)), F.lit(0.0)))
-    upper = both.select("a", "b", nmi.alias("nmi"))
+    upper = mi.select("a", "b", nmi.alias("nmi"))
     full = upper.unionByName(upper.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "nmi"))
     known = F.array(*[F.lit(n) for n in names])
     return full.select(F.get(known, F.col("a")).alias("x"), F.get(known, F.col("b")).alias("y"), F.col("a").cast("long").alias("x_idx"), F.col("b").cast("long").alias("y_idx"), "nmi")
@@ -72,30 +81,23 @@ def aligned_counts(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 
 def kl_divergence(original: DataFrame, synthetic: DataFrame, name: str) -> DataFrame:
     """One row: KL(synthetic || original) in nats; infinite if a synthetic value is not in the original."""
-    both = aligned_counts(original, synthetic, name)
-    p, q = F.col("n_a") / F.sum("n_a").over(Window.partitionBy()), F.col("n_b") / F.sum("n_b").over(Window.partitionBy())
-    term = F.when(F.col("q") > 0, F.when(F.col("p") > 0, F.col("q") * F.ln(F.try_divide("q", "p"))).otherwise(F.lit(float("inf")))).otherwise(0.0)
-    return both.select(p.alias("p"), q.alias("q")).agg(F.sum(term).alias("kl"))
+    both, ratio = aligned_counts(original, synthetic, name), F.col("n_b").cast("double") / F.col("n_a")
+    term = F.when(F.col("n_b") > 0, F.when(F.col("n_a") > 0, F.col("n_b") * F.ln(ratio)).otherwise(F.lit(float("inf"))))
+    na, nb = F.sum("n_a").cast("double"), F.sum("n_b").cast("double")
+    return both.agg(F.when(nb > 0, F.coalesce(F.try_divide(F.sum(term), nb) + F.ln(F.try_divide(na, nb)), F.lit(float("inf")))).alias("kl"))
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """One row: the two-sample Kolmogorov-Smirnov statistic of a numerical column, nulls left out.
 
-    Values are counted first, so the ordered pass is over distinct values. That pass goes by ranges:
-    a running sum within each range, on top of the sums of the ranges before it.
+    Values are counted first, so the ordered pass is over distinct values, by ranges of them.
     """
     x = F.col(f"`{name}`").cast("double")
     counts = a.select(x.alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(x.alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
     counts = counts.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    lo, hi, na, nb = counts.agg(F.min("x"), F.max("x"), F.sum("a"), F.sum("b")).first()
-    part = F.least(F.floor((F.col("x") - (lo or 0.0)) / ((hi - lo) or 1.0) * 256), F.lit(255)) if lo is not None else F.lit(0)
-    counts = counts.withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))  # at most 256 rows
-    sums = sums.select("part", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("sb"))
-    within = Window.partitionBy("part").orderBy("x")
-    far = F.abs((F.sum("a").over(within) + F.col("sa")) / float(na or 1) - (F.sum("b").over(within) + F.col("sb")) / float(nb or 1))
-    return counts.join(F.broadcast(sums), "part").select(far.alias("far")).agg(F.max("far").alias("ks"))
+    na, nb = counts.agg(F.sum("a"), F.sum("b")).first()
+    far = F.abs(F.col("upto_a") / float(na or 1) - F.col("upto_b") / float(nb or 1))
+    return running(counts, ["x"], {"upto_a": "a", "upto_b": "b"}).agg(F.max(far).alias("ks"))
 
 
 def rounded(column: Column, digits: int = 9) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.types import DATETIME, STRING, as_number
 from tabloom.operators.distribution import BINS, histogram
 from tabloom.operators.information import aligned_counts, nmi_matrix
+from tabloom.operators.ordered import quantiles, running
 from tabloom.operators.profile import categorical_columns, numeric_columns, value
 from tabloom.plans.model import TableModel
 
@@ -15,8 +16,8 @@ from tabloom.plans.model import TableModel
 def bars(df: DataFrame, name: str, by_value: bool = True) -> DataFrame:
     """(value, n, place) of a column's values, placed by value or by falling frequency."""
     counts = df.select(F.col(f"`{name}`").cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    order = Window.orderBy("value") if by_value else Window.orderBy(F.desc("n"), "value")
-    return counts.select("value", "n", F.row_number().over(order).cast("long").alias("place"))
+    placed = running(counts.withColumn("one", F.lit(1)), ["value"] if by_value else ["n", "value"], {"place": "one"}, () if by_value else ("n",))
+    return placed.select("value", "n", F.col("place").cast("long").alias("place"))
 
 
 def top(df: DataFrame, name: str, k: int = 20) -> DataFrame:
@@ -47,8 +48,9 @@ def compare_matrices(original: DataFrame, synthetic: DataFrame, names: list[str]
 
 def compare_bars(original: DataFrame, synthetic: DataFrame, name: str) -> DataFrame:
     """(value, original, synthetic): shares of a categorical column, 0 where one has none."""
-    both, all_ = aligned_counts(original, synthetic, name), Window.partitionBy()
-    return both.select("value", F.coalesce(F.try_divide("n_a", F.sum("n_a").over(all_)), F.lit(0.0)).alias("original"), F.coalesce(F.try_divide("n_b", F.sum("n_b").over(all_)), F.lit(0.0)).alias("synthetic"))
+    both = aligned_counts(original, synthetic, name)
+    na, nb = both.agg(F.sum("n_a"), F.sum("n_b")).first()
+    return both.select("value", (F.col("n_a") / float(na or 1)).alias("original"), (F.col("n_b") / float(nb or 1)).alias("synthetic"))
 
 
 def compare_densities(original: DataFrame, synthetic: DataFrame, name: str, logical: str, bins: int = 15) -> DataFrame:
@@ -88,34 +90,40 @@ def charts(df: DataFrame, model: TableModel, few: int = 20) -> dict[str, DataFra
 
 
 def before_after(original: DataFrame, synthetic: DataFrame, model: TableModel) -> dict[str, dict[str, DataFrame]]:
-    """Bars of categorical columns, histograms of the others, and heat maps, of both tables."""
+    """Bars of categorical columns, histograms of the others, and heat maps, of both tables.
+
+    Keys and free text have about as many values as rows, so no matrix of counts would be smaller
+    than the table: the heat maps leave them out.
+    """
     names = set(categorical_columns(model))
     numbers = [c for c in numeric_columns(original) if c not in names]
     both = {"before": original, "after": synthetic}
+    matrix = [c.name for c in model.columns.values() if not c.is_candidate_key and (c.is_categorical or c.data_type != STRING)]
     return {
         "barchart": {f"{side}:{n}": bars(df, n) for side, df in both.items() for n in sorted(names)},
         "histogram": {f"{side}:{n}": histogram_bars(df, n) for side, df in both.items() for n in numbers},
-        "heatmap": {side: heatmap(df) for side, df in both.items()},
+        "heatmap": {side: heatmap(df, matrix) for side, df in both.items()},
     }
 
 
 def rank_points(df: DataFrame, order: str, score: str) -> DataFrame:
-    """(position, score) along an order column: positions within ranges of it, on top of the rows before."""
-    dealt = df.select(F.col(order).alias("o"), F.col(score).alias("score"))
-    lo, hi = dealt.agg(F.min("o"), F.max("o")).first()
-    part = F.floor((F.col("o") - (lo or 0)) / (((hi or 0) - (lo or 0)) or 1) * 255)
-    dealt = dealt.withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = dealt.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
-    return dealt.join(F.broadcast(ahead), "part").select((F.row_number().over(Window.partitionBy("part").orderBy("o")) + F.col("ahead")).alias("position"), "score")
+    """(position, score) along an order column; rows with equal keys take positions one after the other."""
+    dealt = df.select(F.col(order).alias("o"), F.col(score).alias("score")).where("o is not null")
+    counts = dealt.groupBy("o").agg(F.count("*").alias("n"))
+    starts = running(counts, ["o"], {"upto": "n"}).select("o", (F.col("upto") - F.col("n")).alias("ahead"))
+    within = Window.partitionBy("o").orderBy("score")
+    return dealt.join(starts, "o").select((F.row_number().over(within) + F.col("ahead")).alias("position"), "score")
 
 
 def rank_summary(df: DataFrame, order: str, columns: list[str], first: int = 10) -> DataFrame:
     """(attr, top_max, top_median, top_min, all_max, all_median, all_min): the first rows against all."""
     head = df.select(order, *columns).orderBy(order).limit(first)
 
-    def stats(frame: DataFrame, name: str) -> DataFrame:
-        pairs = [F.struct(F.lit(c).alias("attr"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns]
-        return frame.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.attr").agg(F.max("p.x").alias(f"{name}_max"), F.median("p.x").alias(f"{name}_median"), F.min("p.x").alias(f"{name}_min"))
+    def stats(frame: DataFrame, c: str) -> list[float | None]:
+        x = F.col(f"`{c}`").cast("double")
+        high, low = frame.agg(F.max(x), F.min(x)).first()
+        return [high, quantiles(frame, x, [0.5])[0], low]
 
-    return stats(head, "top").join(stats(df, "all"), "attr")
+    rows = [(c, *stats(head, c), *stats(df, c)) for c in columns]
+    names = [f"{side}_{k} double" for side in ("top", "all") for k in ("max", "median", "min")]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["attr string", *names]))

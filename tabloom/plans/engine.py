@@ -63,8 +63,8 @@ def describe(df: DataFrame, config: Config | None = None, **options: object) ->
     try:
         has_missing = {n: model.columns[n].missing_rate > 0 for n in model.network_attributes}
         cards = {n: len(model.columns[n].distribution_bins) + has_missing[n] for n in model.network_attributes}
-        model.network = bayesnet.learn(coded, c.degree, part, c.seed, c.root)
-        model.conditional = cpt.collected(cpt.tables(tuples, model.network, cards, part, c.seed))
+        model.network = bayesnet.learn(coded, c.degree, part, c.seed, c.root, tuples)
+        model.conditional = cpt.fitted(tuples, model.network, cards, part, c.seed)
     finally:
         tuples.unpersist()
     distribution.add_noise(model, df, one, c.seed)

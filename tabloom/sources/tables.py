@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text that stands for no value unless told otherwise.
-NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "#N/A", "<NA>", "-nan", "-NaN", "#NA")
+NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>")
 
 
 def read_csv(spark: SparkSession, path: str, null_values: tuple[str, ...] = (), encoding: str = "UTF-8", schema: T.StructType | None = None) -> DataFrame:
