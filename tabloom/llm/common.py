@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and Spark is local (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
