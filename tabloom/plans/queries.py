@@ -6,6 +6,8 @@ so doubles that come from them are rounded on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,9 @@ from tabloom.operators import bayesnet, cpt, distribution, generate, report
 from tabloom.operators import information as info
 from tabloom.operators.encode import code_of, encode
 from tabloom.operators.profile import binary_columns, categorical_columns, infer_types, meta_frame, missing_rates, numeric_columns, profile, profile_frame
-from tabloom.plans.engine import Config, describe, sample
+from tabloom.plans.engine import Config, describe, run, sample
 from tabloom.plans.model import ColumnModel, TableModel
-from tabloom.sources.tables import empty_columns, preview
+from tabloom.sources.tables import empty_columns, preview, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,7 +247,17 @@ def auto_bin_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "attr string, rule string, bins long")
 
 
-@query()
+@query("""
+WITH v AS (SELECT 'l_extendedprice' AS attr, FALSE AS whole, l_extendedprice AS x FROM lineitem UNION ALL SELECT 'l_quantity', TRUE, l_quantity FROM lineitem),
+s AS (SELECT attr, whole, count(*)::DOUBLE AS n, min(x) AS lo, max(x) - min(x) AS span, avg(x) AS m, stddev_pop(x) AS sd FROM v GROUP BY ALL),
+g AS (SELECT attr, abs(avg(((x - m) / sd) ** 3)) AS g FROM v JOIN s USING (attr) GROUP BY attr),
+d AS (SELECT attr, whole, span, span / (1 + log2(n) + log2(1 + g / sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) AS w FROM s JOIN g USING (attr)),
+c AS (SELECT attr, x, count(*) AS c FROM v GROUP BY ALL),
+k AS (SELECT unnest(range(1, (SELECT greatest(100, floor(sqrt(max(n)))::BIGINT) + 1 FROM s))) AS k),
+t AS (SELECT attr, k, least(floor((x - lo) / span * k), k - 1) AS b, sum(q.c)::DOUBLE AS w FROM c AS q JOIN s USING (attr), k GROUP BY attr, k, b),
+r AS (SELECT attr, k, (2 - (max(n) + 1) * sum((w / n) * (w / n))) / (max(span) / k) AS r FROM t JOIN s USING (attr) GROUP BY attr, k)
+SELECT attr, 'doane' AS rule, ceil(span / CASE WHEN whole THEN greatest(w, 1) ELSE w END)::BIGINT AS bins FROM d UNION ALL SELECT attr, 'stone', arg_min(k, r) FROM r GROUP BY attr
+""")
 def auto_bin_counts_searched(spark: SparkSession, sf: str) -> DataFrame:
     """The two rules that auto_bin_counts leaves out: Doane's and Stone's."""
     df, out = read(spark, sf, "lineitem"), []
@@ -266,6 +278,30 @@ def dist_noisy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(distribution.noisy(dist, 0.01, df.count(), 3, 7, "dist:o_orderpriority"), "p")
 
 
+def _noisy_sql(name: str, inner: str, attr: str, parts: int, epsilon: float, seed: int, n: str) -> str:
+    """CTEs that end in ``name``: (bin_idx, p, ...) with noise, the budget shared by ``parts`` columns."""
+    noise = laplace_sql(uniform_sql(seed, "dist", f"'{attr}'", "bin_idx"), f"2.0::double / ({n}) * {parts} / {epsilon}")
+    return f"""{name}_exact AS ({inner}), {name}_raw AS (SELECT *, greatest(n::DOUBLE / (SELECT sum(n) FROM {name}_exact) + {noise}, 0) AS q FROM {name}_exact),
+    {name} AS (SELECT * EXCLUDE (p, q), CASE WHEN sum(q) OVER () > 0 THEN q / sum(q) OVER () ELSE 1.0::DOUBLE / count(*) OVER () END AS p FROM {name}_raw)"""
+
+
+_ORDER_PARTS = {"o_orderstatus": _categories_sql("o_orderstatus", "orders"), "o_totalprice": _histogram_sql("o_totalprice", "orders"), "o_orderpriority": _categories_sql("o_orderpriority", "orders")}
+
+
+@query(
+    "WITH "
+    + ", ".join(_noisy_sql(f"d{k}", sql, c, 3, 0.05, 4, "SELECT count(*) FROM orders") for k, (c, sql) in enumerate(_ORDER_PARTS.items()))
+    + " "
+    + " UNION ALL ".join(f"SELECT '{c}' AS attr, bin_idx, round(p, 9) AS p FROM d{k}" for k, c in enumerate(_ORDER_PARTS))
+)
+def dist_noise_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise on the distributions of all columns."""
+    df = read(spark, sf, "orders").select(*_ORDER_PARTS)
+    model = distribution.add_noise(_fitted(df), df, 0.05, 4)
+    rows = [(c.name, k, float(p)) for c in model.columns.values() for k, p in enumerate(c.distribution_probabilities)]
+    return rounded(spark.createDataFrame(rows, "attr string, bin_idx long, p double"), "p")
+
+
 @query("""WITH d AS (SELECT r_regionkey, greatest(r_regionkey::DOUBLE - 2, 0) AS p FROM region) SELECT r_regionkey::BIGINT AS k, round(CASE WHEN sum(p) OVER () > 0 THEN p / sum(p) OVER () ELSE 1.0 / count(*) OVER () END, 9) AS p FROM d""")
 def normalize_clip(spark: SparkSession, sf: str) -> DataFrame:
     p = distribution.normalized(F.col("r_regionkey").cast("double") - 2, distribution.Window.partitionBy())
@@ -417,6 +453,27 @@ def bn_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, c, ",".join(p)) for k, (c, p) in enumerate(network)], "pos long, child string, parent string")
 
 
+def _greedy_two_sql() -> str:
+    """The same with two parents: scores of all sets of one and two parents, then the rounds."""
+    sets = [(x,) for x in _NET] + [(x, y) for x in _NET for y in _NET if x < y]
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS o, {list(ps)} AS ps, round((SELECT mi FROM ({_mi_sql(c, list(ps), 'coded')})), 9) AS mi" for i, c in enumerate(_NET) for ps in sets if c not in ps)
+    coded = ", ".join(f"coalesce({c}::VARCHAR, 'nan') AS {c}" for c in _NET)
+    sql = f"WITH coded AS (SELECT {coded} FROM {LABELLED} t), m AS ({parts}), v0 AS (SELECT 0 AS pos, 'lang' AS child, '' AS parent)"
+    for k in (1, 2, 3):
+        known = f"(SELECT list(child) FROM v{k - 1})"
+        place = f"list_transform(ps, lambda p: (SELECT any_value(pos) FROM v{k - 1} WHERE child = p))"
+        names = f"(SELECT string_agg(child, ',' ORDER BY pos DESC) FROM v{k - 1} WHERE list_contains(ps, child))"
+        sql += f", v{k} AS (SELECT * FROM v{k - 1} UNION ALL (SELECT {k}, c, {names} FROM m WHERE NOT list_contains({known}, c) AND list_has_all({known}, ps) AND len(ps) = {min(k, 2)} ORDER BY mi DESC, o LIMIT 1))"
+    return sql + " SELECT pos::BIGINT AS pos, child, parent FROM v3 WHERE pos > 0"
+
+
+@query(_greedy_two_sql())
+def bn_greedy_two_parents(spark: SparkSession, sf: str) -> DataFrame:
+    df = labelled(spark, sf).select(*_NET)
+    network = bayesnet.learn(encode(df, _fitted(df), _NET), k=2, root="lang")
+    return spark.createDataFrame([(k + 1, c, ",".join(p)) for k, (c, p) in enumerate(network)], "pos long, child string, parent string")
+
+
 _FROM_LANG = " UNION ALL ".join(f"SELECT '{x}' AS child, (SELECT mi FROM ({_mi_sql(x, ['lang'], 'coded')})) AS mi" for x in _NET[1:])
 
 
@@ -488,6 +545,36 @@ def cpt_noisy(spark: SparkSession, sf: str) -> DataFrame:
     return _cpt_frame(cpt.tables(tuples, [("role", ["turn"])], cards, epsilon=0.5, seed=5))
 
 
+# A network of two parents: the root and the first two children share a noisy joint table, the third has its own.
+_TWO = [("quality", ["lang"]), ("toxic", ["quality", "lang"]), ("source", ["toxic", "quality"])]
+
+
+def _space_sql(name: str, names: list[str], stream: str) -> str:
+    """CTE ``name``: noisy counts over the full space of some code columns."""
+    noise = laplace_sql(uniform_sql(6, stream, *names), "(4 - 2) / 0.5::double")
+    cells = ", ".join(f"(SELECT unnest(range(0, (SELECT k_{c} FROM cards))) AS {c})" for c in names)
+    return f"{name} AS (SELECT {', '.join(names)}, greatest(coalesce(n, 0)::DOUBLE + {noise}, 0) AS n FROM (SELECT * FROM {cells}) LEFT JOIN (SELECT {', '.join(names)}, count(*) AS n FROM coded GROUP BY ALL) USING ({', '.join(names)}))"
+
+
+def _given_sql(joint: str, child: str, parents: list[str]) -> str:
+    by = ", ".join(parents)
+    over = f"OVER (PARTITION BY {by})" if parents else "OVER ()"
+    shown = f"concat_ws(',', {by})" if parents else "''"
+    return f"SELECT '{child}' AS child, {shown} AS parents, {child} AS code, round(CASE WHEN sum(n) {over} > 0 THEN n / sum(n) {over} ELSE 1.0::DOUBLE / count(*) {over} END, 9) AS p FROM (SELECT {', '.join([*parents, child])}, sum(n) AS n FROM {joint} GROUP BY ALL)"
+
+
+@query(f"""WITH t AS (SELECT * FROM {LABELLED}), known AS (SELECT list_sort(list(DISTINCT lang)) AS ls, list_sort(list(DISTINCT source)) AS ss, list_sort(list(DISTINCT quality) FILTER (quality IS NOT NULL)) AS qs, list_sort(list(DISTINCT toxic) FILTER (toxic IS NOT NULL)) AS ts FROM t),
+coded AS (SELECT list_position(ls, lang) - 1 AS lang, list_position(ss, source) - 1 AS source, coalesce(list_position(qs, quality) - 1, len(qs)) AS quality, coalesce(list_position(ts, toxic) - 1, len(ts)) AS toxic FROM t, known),
+cards AS (SELECT len(ls) AS k_lang, len(ss) AS k_source, len(qs) + 1 AS k_quality, len(ts) + 1 AS k_toxic FROM known),
+{_space_sql("shared", ["lang", "quality", "toxic"], "cpt:lang")}, {_space_sql("own", ["toxic", "quality", "source"], "cpt:source")}
+{_given_sql("shared", "lang", [])} UNION ALL {_given_sql("shared", "quality", ["lang"])} UNION ALL {_given_sql("shared", "toxic", ["quality", "lang"])} UNION ALL {_given_sql("own", "source", ["toxic", "quality"])}""")
+def cpt_two_parents(spark: SparkSession, sf: str) -> DataFrame:
+    df = labelled(spark, sf).select(*_NET)
+    model = _fitted(df)
+    cards = {c: len(model.columns[c].distribution_bins) + (model.columns[c].missing_rate > 0) for c in _NET}
+    return _cpt_frame(cpt.tables(bayesnet.collapsed(encode(df, model, _NET)), _TWO, cards, epsilon=0.5, seed=6))
+
+
 # Generation
 
 _U = lambda stream, seed=3: uniform_sql(seed, stream, "id")
@@ -576,6 +663,15 @@ def gen_indep_text(spark: SparkSession, sf: str) -> DataFrame:
     return _made(spark, _fitted(read(spark, sf, "part").select("p_name")).columns["p_name"])
 
 
+_SSN = "(SELECT c_custkey % 1600 * 600011 + 1 AS ssn FROM customer)"
+_SSN_TEXT = "(SELECT substr(z, 1, 3) || '-' || substr(z, 4, 2) || '-' || substr(z, 6, 4) FROM (SELECT lpad(floor({v})::BIGINT::VARCHAR, 9, '0') AS z))"
+
+
+@query(_bin_sql("ssn", _SSN, "ssn", _SSN_TEXT))
+def gen_indep_ssn(spark: SparkSession, sf: str) -> DataFrame:
+    return _made(spark, _fitted(_with_ssn(spark, sf).select("ssn"), keys={"ssn": False}).columns["ssn"])
+
+
 @query(f"""WITH t AS (SELECT turn, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM conversations GROUP BY turn),
 r AS (SELECT turn, role, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY turn) AS p FROM conversations GROUP BY turn, role),
 tc AS (SELECT turn, sum(p) OVER (ORDER BY turn) AS hi, sum(p) OVER (ORDER BY turn) - p AS lo, turn = max(turn) OVER () AS is_last FROM t),
@@ -618,9 +714,33 @@ def synth_private(spark: SparkSession, sf: str) -> DataFrame:
     return sample(spark, describe(df, Config(epsilon=1, degree=2, seed=1)))
 
 
-@query()
+_LINEITEM_FEW = ("l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def _independent_sql() -> str:
+    """Every column of lineitem drawn from its own noisy distribution."""
+    ctes, columns, joins = [f"rows AS (SELECT unnest(range(0, (SELECT count(*) FROM lineitem))) AS id)"], [], []
+    for k, (c, kind) in enumerate(_TYPES["lineitem"].items()):
+        x = f"epoch({c})" if kind == DATETIME else c
+        if c in _LINEITEM_FEW:
+            inner, value = _categories_sql(c, "lineitem"), "value"
+        else:
+            inner = f"SELECT *, coalesce(lead(bin_lo) OVER (ORDER BY bin_idx), (SELECT max({x}) FROM lineitem)) AS bin_hi FROM ({_histogram_sql(x, 'lineitem').replace('round(e[i + 1], 6)', 'e[i + 1]')})"
+            v = f"(bin_lo + {uniform_sql(0, 'val:' + c, 'id')} * (bin_hi - bin_lo))"
+            value = f"trunc({v})::BIGINT" if kind == DATETIME else f"round_even({v}, 0)::BIGINT" if kind == INTEGER else f"round({v}, 6)"
+        ctes += [_noisy_sql(f"d{k}", inner, c, len(_TYPES["lineitem"]), 0.1, 0, "SELECT count(*) FROM lineitem"), f"c{k} AS (SELECT *, sum(p) OVER (ORDER BY bin_idx) AS hi, sum(p) OVER (ORDER BY bin_idx) - p AS lo, bin_idx = max(bin_idx) OVER () AS is_last FROM d{k})"]
+        u = uniform_sql(0, "gen:" + c, "id")
+        joins.append(f"(SELECT id, {value} AS {c} FROM rows JOIN c{k} ON {u} >= lo AND ({u} < hi OR is_last)) t{k}")
+        columns.append(c)
+    joined = joins[0] + "".join(f" JOIN {j} USING (id)" for j in joins[1:])
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(columns)} FROM {joined}"
+
+
+@query(_independent_sql())
 def synth_independent(spark: SparkSession, sf: str) -> DataFrame:
-    return sample(spark, describe(read(spark, sf, "lineitem"), Config(mode="independent", epsilon=0.1)))
+    """Independent mode from end to end: as many rows as the original, with noise; suppliers are a range at every scale."""
+    made = sample(spark, describe(read(spark, sf, "lineitem"), Config(mode="independent", epsilon=0.1, categorical={"l_suppkey": False})))
+    return rounded(made, "l_extendedprice", digits=6)
 
 
 @query()
@@ -682,3 +802,87 @@ def rank_points(spark: SparkSession, sf: str) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{c}' AS attr, max({c}) FILTER (k <= 10)::DOUBLE AS top_max, median({c}) FILTER (k <= 10)::DOUBLE AS top_median, min({c}) FILTER (k <= 10)::DOUBLE AS top_min, max({c})::DOUBLE AS all_max, median({c})::DOUBLE AS all_median, min({c})::DOUBLE AS all_min FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier)" for c in ("s_acctbal", "s_nationkey")))
 def rank_summary(spark: SparkSession, sf: str) -> DataFrame:
     return report.rank_summary(read(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
+
+
+# Comparisons, bundles and round trips
+
+
+@query(f"""WITH a AS ({_nmi_sql(["lang", "source"], "(SELECT * FROM documents WHERE doc_id % 2 = 0)")}), b AS ({_nmi_sql(["lang", "source"], "(SELECT * FROM documents WHERE doc_id % 2 = 1)")})
+SELECT x, y, a.nmi AS original, b.nmi AS synthetic FROM a FULL JOIN b USING (x, y)""")
+def compare_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    df = read(spark, sf, "documents")
+    return rounded(report.compare_matrices(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), ["lang", "source"]), "original", "synthetic")
+
+
+@query(f"SELECT x, y, nmi AS original, nmi AS synthetic FROM ({_nmi_sql(['c_nationkey', 'c_acctbal', 'c_mktsegment'], 'customer')})")
+def inspect_without_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrices of an inspection: the two keys of the table are left out."""
+    df = read(spark, sf, "customer")
+    return rounded(report.inspect(df, df, profile(df))["nmi"], "original", "synthetic")
+
+
+def _chart_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """Charts of several columns as one table: bars have a value, histograms a left edge."""
+    out = None
+    for name, frame in frames.items():
+        has = "value" in frame.columns
+        rows = frame.select(F.lit(name).alias("attr"), (F.col("value") if has else F.lit(None).cast("string")).alias("value"), (F.lit(None).cast("double") if has else F.round("bin_lo", 6)).alias("bin_lo"), F.col("n").cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_CHARTS = [f"SELECT '{c}' AS attr, NULL::VARCHAR AS value, bin_lo, n FROM ({_histogram_sql(c, 'customer')})" for c in ("c_custkey", "c_nationkey", "c_acctbal")]
+_CHARTS += ["SELECT 'c_mktsegment', c_mktsegment, NULL, count(*) FROM customer GROUP BY ALL", "SELECT * FROM (SELECT 'c_name', c_name, NULL, count(*) AS n FROM customer GROUP BY ALL ORDER BY n DESC, c_name LIMIT 20)"]
+
+
+@query(" UNION ALL ".join(_CHARTS))
+def charts_of_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A chart of each column of a table."""
+    df = read(spark, sf, "customer")
+    return _chart_rows(report.charts(df, profile(df)))
+
+
+_HALVES = [(side, f"(SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = {k})") for k, side in enumerate(("before", "after"))]
+
+
+@query(" UNION ALL ".join([f"SELECT '{s}:lang' AS attr, lang AS value, NULL::DOUBLE AS bin_lo, count(*) AS n FROM {t} GROUP BY ALL" for s, t in _HALVES] + [f"SELECT '{s}:{c}', NULL, bin_lo, n FROM ({_histogram_sql(c, t)})" for s, t in _HALVES for c in ("doc_id", "n_chars")]))
+def charts_before_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars and histograms of two tables beside each other."""
+    df = read(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    both = report.before_after(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), profile(df))
+    return _chart_rows({**both["barchart"], **both["histogram"]})
+
+
+@query(f"""WITH {_draw_sql(_categories_sql("o_orderpriority", "orders"), _U("gen:o_orderpriority"), "d")}, b AS (SELECT value, count(*) AS n FROM d_drawn GROUP BY value)
+SELECT d.value, round(d.n::DOUBLE / (SELECT sum(n) FROM d), 9) AS original, round(coalesce(b.n, 0)::DOUBLE / {MADE}, 9) AS synthetic FROM d LEFT JOIN b USING (value)""")
+def job_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """One job: model, synthetic table and its comparison with the original."""
+    _, _, frames = run(read(spark, sf, "orders").select("o_orderpriority"), Config(mode="independent", epsilon=0, rows=MADE, seed=3))
+    return rounded(frames["o_orderpriority"], "original", "synthetic")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; a local one only where none is named and Spark is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS p_type FROM part")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written as CSV, with a null token in one column, and read again with its types found."""
+    path = _scratch(spark)
+    df = read(spark, sf, "part").withColumn("p_type", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise("1.#QNAN"))
+    write_csv(df, path)
+    return read_csv(spark, path)
+
+
+@query(f"SELECT attr, data_type, is_categorical, is_candidate_key, missing_rate, min, max FROM ({_columns_sql(LABELLED)})")
+def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A model written as JSON and read again."""
+    df = labelled(spark, sf)
+    with tempfile.TemporaryDirectory() as folder:  # of the driver alone: a model is plain data there
+        profile(df).save(f"{folder}/model.json")
+        model = TableModel.load(f"{folder}/model.json")
+    return profile_frame(df, model).drop("n_values")
