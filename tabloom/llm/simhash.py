@@ -11,17 +11,19 @@ with the other's under all flips of up to f bits finds all of them; f follows th
 fingerprints. A pair is reported by the first block that it nearly agrees on.
 
 Null texts are empty; texts without words have fingerprint 0. The next document in descending id is
-found by ranges of ids: each range also gets the first document of the range below it, and the
-lowest the first of all, so texts are shuffled once and each task streams its range in order. Equal
-ids are ordered by text, and null ids come last.
+found by ranges of ids with about as many bytes each: every range also gets the first document of the
+range below it, and the lowest the first of all, so texts are shuffled once and each task streams its
+range in order. Equal ids are ordered by a hash of the text, then by the text, and are cut into ranges
+by that hash where they are many; null ids come last.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 
 #: Sets of word 5-grams 75 % alike in long texts are 14 bits apart on average, as operator 9 links them.
 BITS, RADIUS = 128, 17
-#: Documents of one range of ids, about, and the most ranges.
-RANGE, MOST_RANGES = 4000, 4096
+#: Bytes of the texts of one range of ids, about, the most ranges, and documents of a range that are looked at to cut it.
+RANGE_BYTES, MOST_RANGES, LOOKED_AT = 16_000_000, 20_000, 100
 #: Terms whose bits are unpacked at once.
 SLICE = 200_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -156,23 +158,45 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, flips: in
     return both.where(first).select("query", "match", distance.alias("distance"))
 
 
+def _below(cuts: list[int], key: Column) -> Column:
+    """How many of sorted numbers are below a key; many are searched by the last of each part first."""
+    if len(cuts) <= 128:
+        return F.size(F.filter(F.lit(cuts), lambda c: c < key)) if cuts else F.lit(0)
+    step = math.isqrt(len(cuts))
+    part = F.size(F.filter(F.lit(cuts[step - 1 :: step]), lambda c: c < key))
+    rest = F.get(F.array(*[F.lit(cuts[k : k + step]) for k in range(0, len(cuts), step)]), part)
+    return part * step + F.coalesce(F.when(rest.isNotNull(), F.size(F.filter(rest, lambda c: c < key))), F.lit(0))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Deal (doc_id, text) into sorted ranges of descending id, each with the document that follows it.
 
     Adds ``bucket`` and ``tail``; a row with tail 0 is followed by its next document in its partition.
     """
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, math.ceil(n / RANGE)))
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = F.octet_length("text") + 100
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    ranges = max(1, min(MOST_RANGES, math.ceil(total / RANGE_BYTES)))
     at = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("key", at, 100_000)).first()[0] or [])) if at else []
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("key"))) if cuts else F.lit(0)
+    # A sample in which a document stands by its bytes; only its quantiles come to the driver.
+    looked_at = docs.where(F.xxhash64("key", "tie", F.lit(1)) / float(2**64) + 0.5 < size * (ranges * LOOKED_AT / max(total, 1)))
+    cuts = Counter(looked_at.agg(F.percentile_approx("key", at, 10 * LOOKED_AT * ranges)).first()[0] or []) if at else Counter()
+    known = sorted(cuts)
+    times, before = [cuts[c] for c in known], [0, *accumulate(cuts[c] for c in known)]
+    if known:
+        place = _below(known, F.col("key"))
+        # An id with the bytes of several ranges has several, by the hash of the text.
+        own = F.when(F.get(F.lit(known), place) == F.col("key"), F.get(F.lit(times), place) - 1 - F.floor((F.col("tie") / float(2**64) + 0.5) * F.get(F.lit(times), place)))
+        bucket = (F.get(F.lit(before), place) + F.greatest(F.coalesce(own, F.lit(0)), F.lit(0))).cast("int")
+    else:
+        bucket = F.lit(0)
     docs = docs.withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.key) for r in docs.groupBy("bucket").agg(F.max("key").alias("key")).collect())  # at most MOST_RANGES
-    after = docs.sparkSession.createDataFrame([(key, heads[(k + 1) % len(heads)][0]) for k, (_, key) in enumerate(heads)], "key long, to int")
-    tails = docs.join(F.broadcast(after), "key").select("doc_id", "key", "text", F.col("to").alias("bucket"), F.lit(1).alias("tail"))
+    first = F.max(F.struct("key", F.bitwise_not("tie").alias("down"))).alias("x")  # the largest id, of equals the smallest hash
+    heads = sorted((r.bucket, r.x.key, ~r.x.down) for r in docs.groupBy("bucket").agg(first).collect())  # at most MOST_RANGES
+    after = docs.sparkSession.createDataFrame([(key, tie, heads[(k + 1) % len(heads)][0]) for k, (_, key, tie) in enumerate(heads)], "key long, tie long, to int")
+    tails = docs.join(F.broadcast(after), ["key", "tie"]).dropDuplicates(["to"]).select("doc_id", "key", "text", "tie", F.col("to").alias("bucket"), F.lit(1).alias("tail"))
     both = docs.withColumn("tail", F.lit(0)).unionByName(tails)
-    return both.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
+    return both.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "tie", "text")
 
 
 def near_pairs(docs: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:

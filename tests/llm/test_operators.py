@@ -572,18 +572,30 @@ def test_simhash_next_and_edited(spark, docs):
         assert r.n_near == (near if r.doc_id % 20 == 0 else None)
 
 
-def test_simhash_ranges(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "RANGE", 7)
-    rows = [(i // 2 if i < 60 else None, f"t{i}") for i in range(64)]
+@pytest.mark.parametrize("ranges", [3, 12, 400])
+def test_simhash_ranges(spark, monkeypatch, ranges):
+    import xxhash
+
+    monkeypatch.setattr(simhash, "LOOKED_AT", 10_000)
+    rows = [(i // 2 if i < 160 else None if i < 300 else 500 + i, f"t{i} " + "long " * (i % 7)) for i in range(340)] + [(None, "again")] * 5
+    total = sum(len(t) + 100 for _, t in rows)
+    monkeypatch.setattr(simhash, "RANGE_BYTES", total // ranges)
     dealt = simhash.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
-    order = [t for _, t in sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1]))]
-    got = {}
+
+    def tie(t):
+        return xxhash.xxh64_intdigest(t.encode(), 42) - (2**64 if xxhash.xxh64_intdigest(t.encode(), 42) >= 2**63 else 0)
+
+    order = [t for _, t in sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), tie(r[1]), r[1]))]
+    following = sorted((order[k], order[(k + 1) % len(order)]) for k in range(len(order)))
+    got, used = [], set()
     for part in dealt.rdd.glom().collect():
         for a, b in zip(part, part[1:]):
             if not a.tail:
                 assert a.bucket == b.bucket
-                got[a.text] = b.text
-    assert got == {order[k]: order[(k + 1) % 64] for k in range(64)}
+                used.add(a.bucket)
+                got.append((a.text, b.text))
+    assert sorted(got) == following
+    assert len({r.bucket for r in dealt.where("doc_id is null and tail = 0").select("bucket").distinct().collect()}) >= ranges // 5  # null ids are split
 
 
 def test_search_is_brute_force(spark):
@@ -622,6 +634,13 @@ def test_search_finds_edited_copies(spark):
         assert len(got) == len(real) and set(got) == real
 
 
+def test_simhash_of_odd_tables(spark, odd, none):
+    out = simhash.edited_fingerprints(odd.select("doc_id", "text"))
+    rows = out.collect()
+    assert len(rows) == len(ODD) and sum(r.n_chars == 0 for r in rows) == 2 and [r.fingerprint for r in rows if r.doc_id == 6][0] == [r.fingerprint for r in rows if r.doc_id == 6][1]
+    assert simhash.edited_fingerprints(none.select("doc_id", "text")).count() == 0
+
+
 def test_simhash_odd(odd, none):
     assert simhash.add_fingerprint(odd).where("text is null and fingerprint <> repeat('0', 32)").count() == 0
     assert simhash.add_fingerprint(none).count() == 0 and simhash.with_next(none.select("doc_id", "text")).count() == 0
