@@ -1,14 +1,17 @@
 """Operator 6: toxicity by multiple-instance learning.
 
 A document is a bag of sentences (ended by . ! ? or a line end). A sentence's probability is a
-logistic function of the distinct words in it, hashed into CELLS cells; a document's is their
-noisy-or, 1 - prod(1 - p). Only labels of whole documents are learned from: the fit maximises their
+logistic function of the distinct words in it and of their starts of STARTS letters, which stand for
+a word in all its endings, hashed into CELLS cells; a document's is the noisy-or of its sentences,
+1 - prod(1 - p). Only labels of whole documents are learned from: the fit maximises their
 likelihood under the noisy-or with a leak, a small probability that a document is marked without
 any sentence being the cause, so labels by mistake do not make each long document suspicious. The
 sentence scores then locate the offending sentences.
 
 Training takes at most MAX_DOCS labelled documents of each class, those first by a hash of the id.
-Words are candidates if documents of class 1 hold them far more often than the base rate explains.
+Cells are candidates if documents of class 1 hold them far more often than the base rate explains;
+Spark counts them. To the driver come the candidates, and of each document of the sample the
+sentences that hold one and the number of the others.
 Scores are stretched so that the threshold that is best on the training documents is THRESHOLD.
 
 Null and empty texts have no sentence and score 0. Rows with a null label or id are not learned
@@ -18,7 +21,7 @@ from; of several labels of a document the highest counts. Without both classes a
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, table, with_columns
+from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 from tabloom.llm.langid import id_hash
 
 CELLS = 1 << 20
-MAX_DOCS = 1500
+MAX_DOCS = 3000
+#: Letters of the starts of longer words.
+STARTS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
 #: A candidate word is in so many documents of class 1, and in this share of them, and so many
 #: standard deviations above chance; a group of copies that share a wrong label stays below that.
@@ -43,18 +48,25 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def _cell(word: bytes) -> int:
-    return CELLS if word == _END else xxhash.xxh3_64_intdigest(word) & (CELLS - 1)
+    return xxhash.xxh3_64_intdigest(word) & (CELLS - 1)
 
 
-_CELLS_OF = Cache(_cell)
+def _cells(word: bytes) -> bytes:
+    """The cells of a word and of its starts, packed; CELLS for the end of a sentence."""
+    if word == _END:
+        return np.int32(CELLS).tobytes()
+    letters = word.decode("utf-8", "replace")
+    starts = [_cell(b"^" + letters[:k].encode()) for k in STARTS if k < len(letters)]
+    return np.array([_cell(word), *starts], np.int32).tobytes()
+
+
+_CELLS_OF = Cache(_cells)
 
 
 def sentence_cells(texts: list[str]) -> list[np.ndarray]:
-    """Cells of the words of each text, with CELLS after each sentence."""
+    """Cells of the words of each text and of their starts, with CELLS after each sentence."""
     _CELLS_OF.trim()
-    tokens = [t.lower().encode().translate(_TABLE).replace(_END, b" . ").split() for t in texts]
-    flat = np.fromiter(map(_CELLS_OF.__getitem__, chain.from_iterable(tokens)), np.int32, sum(map(len, tokens)))
-    return np.split(flat, np.cumsum([len(t) for t in tokens])[:-1]) if texts else []
+    return [np.frombuffer(b"".join(map(_CELLS_OF.__getitem__, t.lower().encode().translate(_TABLE).replace(_END, b" . ").split())), np.int32) for t in texts]
 
 
 class Model(NamedTuple):
@@ -68,6 +80,33 @@ class Model(NamedTuple):
         return np.where(raw < self.cut, low, high)
 
 
+def _among(cells: np.ndarray) -> np.ndarray:
+    """A table of all cells that tells which are among some."""
+    out = np.zeros(CELLS + 1, bool)
+    out[cells] = True
+    return out
+
+
+def hit_sentences(bag: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of a document, the sentences that hold one of some cells, with these alone, and the number of the others."""
+    flat = np.append(bag, np.int32(CELLS))
+    end = flat == CELLS
+    sentence, known = np.cumsum(end) - end, _among(cells)[flat]
+    there = np.zeros(int(end.sum()), bool)
+    there[sentence[known]] = True
+    return flat[(known | end) & there[sentence]], int((~there).sum())
+
+
+def candidates(bags: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Cells that documents of class 1 hold far more often than chance explains."""
+    y = labels.astype(float)
+    pairs = np.unique(np.concatenate([i * (CELLS + 1) + np.unique(b[b < CELLS]).astype(np.int64) for i, b in enumerate(bags)]))
+    values, place, counts = np.unique(pairs % (CELLS + 1), return_inverse=True, return_counts=True)
+    found, rate = np.bincount(place, weights=y[pairs // (CELLS + 1)]), y.mean()
+    z = (found - counts * rate) / np.sqrt(counts * rate * (1 - rate))
+    return values[(found >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (z >= LEAST_Z)]
+
+
 def sentence_logits(bags: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Logits of all sentences that have a word, and the bag of each."""
     flat = np.concatenate([np.append(b, np.int32(CELLS)) for b in bags]) if bags else np.zeros(0, np.int64)
@@ -75,7 +114,7 @@ def sentence_logits(bags: list[np.ndarray], model: Model) -> tuple[np.ndarray, n
     end = flat == CELLS
     sentence = np.cumsum(end) - end
     word = ~end
-    known = np.flatnonzero(word & np.isin(flat, model.cells))
+    known = np.flatnonzero(_among(model.cells)[flat])
     pairs = np.unique(sentence[known].astype(np.int64) * (CELLS + 1) + flat[known])
     sums = np.zeros(int(end.sum()))
     np.add.at(sums, pairs // (CELLS + 1), model.weights[np.searchsorted(model.cells, pairs % (CELLS + 1))])
@@ -88,33 +127,28 @@ def noisy_or(logits: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(bag, weights=np.logaddexp(0, logits), minlength=n))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 400) -> Model:
-    """Weights of the candidate words, bias and leak, by gradient ascent on the documents' likelihood."""
+def fit(bags: list[np.ndarray], labels: np.ndarray, cells: np.ndarray | None = None, others: np.ndarray | None = None, rounds: int = 400) -> Model:
+    """Weights of the candidate cells, bias and leak, by gradient ascent on the documents' likelihood.
+
+    ``cells`` are the candidates if they are known; then bags may hold only sentences with one of
+    them, and ``others`` is how many more each document has.
+    """
     none = Model(np.zeros(0, np.int64), np.zeros(0), -30.0, 0.5)
     y, n = labels.astype(float), len(bags)
     if not n or y.min() == y.max():
         return none
-    pairs = np.unique(np.concatenate([i * (CELLS + 1) + np.unique(b[b < CELLS]).astype(np.int64) for i, b in enumerate(bags)]))
-    doc, cell = pairs // (CELLS + 1), pairs % (CELLS + 1)
-    values, place, counts = np.unique(cell, return_inverse=True, return_counts=True)
-    hits, rate = np.bincount(place, weights=y[doc]), y.mean()
-    z = (hits - counts * rate) / np.sqrt(counts * rate * (1 - rate))
-    cells = values[(hits >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (z >= LEAST_Z)]
+    cells = candidates(bags, labels) if cells is None else np.sort(cells)
     if not len(cells):
         return none
+    few = [hit_sentences(b, cells) for b in bags]
+    bags, plain = [b for b, _ in few], np.array([k for _, k in few], float) - (others is not None) + (0 if others is None else others)
     start = Model(cells, np.zeros(len(cells)), 0.0, 0.5)
-    # Sentences with the same words in the same document count as one with a number.
-    flat = np.concatenate([np.append(b, np.int32(CELLS)) for b in bags])
-    bag = np.repeat(np.arange(n, dtype=np.int32), [len(b) + 1 for b in bags])
+    flat, bag = np.concatenate([np.zeros(0, np.int32), *bags]), np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bags])
     end = flat == CELLS
     sentence = np.cumsum(end) - end
-    known = np.flatnonzero(np.isin(flat, cells))
-    own = np.unique(sentence[known].astype(np.int64) * (CELLS + 1) + flat[known])
+    own = np.unique(sentence[~end].astype(np.int64) * (CELLS + 1) + flat[~end])
     of, feature = own // (CELLS + 1), np.searchsorted(cells, own % (CELLS + 1))
-    with_word = np.unique(of)
-    of = np.searchsorted(with_word, of)
-    its_bag = bag[end][with_word]
-    plain = np.bincount(bag[end], minlength=n) - np.bincount(its_bag, minlength=n)
+    with_word, its_bag = np.arange(int(end.sum())), bag[end]
     # weights, bias, logit of the leak
     x = np.r_[np.full(len(cells), 0.5), -6.0, -3.0]
     first, second, penalty = np.zeros(len(x)), np.zeros(len(x)), 0.02
@@ -130,7 +164,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 400) -> Model:
         x = x + 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
         x[-2] = min(x[-2], -4.0)
     model = start._replace(weights=x[:-2], bias=float(x[-2]))
-    raw = noisy_or(*sentence_logits(bags, model), n)
+    logits, of_bag = sentence_logits(bags, model)
+    raw = -np.expm1(-np.bincount(of_bag, weights=np.logaddexp(0, logits), minlength=n) - plain * np.logaddexp(0, model.bias))
     order = np.argsort(-raw, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, n + 1) + y.sum())
@@ -144,14 +179,33 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_docs) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * max_docs rows of two numbers: small enough to send to every task
-    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-
-    def cells(columns: list[pa.Array]) -> list:
+    sample = saved(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    n, ones = sample.agg(F.count("*"), F.sum("y")).first()
+    if not n or not 0 < ones < n:
+        return fit([], np.zeros(0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            held = [np.unique(b[b < CELLS]) for a, z in chunks(texts) for b in sentence_cells(texts[a:z])]
+            values, place, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *held]), return_inverse=True, return_counts=True)
+            found = np.bincount(place, np.repeat(y, [len(h) for h in held]), len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(counts, pa.int64()), pa.array(found.astype(np.int64))], names=["cell", "n", "ones"])
+        forget()
+
+    rate = ones / n
+    z = (F.col("ones") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+    counted = sample.select("text", "y").mapInArrow(count, "cell int, n long, ones long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    found = counted.where((F.col("ones") >= max(LEAST_DOCS, LEAST_SHARE * ones)) & (z >= LEAST_Z)).select("cell").collect()
+    cells = np.sort(np.array([r.cell for r in found], np.int64))  # each is in LEAST_SHARE of the documents of class 1, so they are few
+
+    def reduced(columns: list[pa.Array]) -> list:
         texts = columns[0].to_pylist()
-        return [[b.tobytes() for a, z in chunks(texts) for b in sentence_cells(texts[a:z])]]
+        few = [hit_sentences(b, cells) for a, z in chunks(texts) for b in sentence_cells(texts[a:z])]
+        return [[b.tobytes() for b, _ in few], [k for _, k in few]]
 
-    rows = with_columns(sample, ["text"], [T.StructField("cells", T.BinaryType())], cells).select("id", "y", "cells").toArrow().sort_by("id")
-    return fit([np.frombuffer(b, np.int32) for b in rows["cells"].to_pylist()], rows["y"].to_numpy())
+    rows = with_columns(sample, ["text"], [T.StructField("cells", T.BinaryType()), T.StructField("others", T.LongType())], reduced).select("id", "y", "cells", "others").toArrow().sort_by("id")
+    return fit([np.frombuffer(b, np.int32) for b in rows["cells"].to_pylist()], rows["y"].to_numpy(), cells, rows["others"].to_numpy())
 
 
 def sentence_spans(text: str, model: Model, least: float = 0.5) -> list[dict]:

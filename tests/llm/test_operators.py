@@ -292,7 +292,8 @@ def test_toxicity_is_a_noisy_or():
     def plain(text, weights, bias):
         clean = 1.0
         for sentence in text.split(". "):
-            z = bias + sum(weights.get(toxicity._cell(w.encode()), 0.0) for w in set(sentence.split()))
+            cells = {c for w in sentence.split() for c in np.frombuffer(toxicity._cells(w.encode()), np.int32).tolist()}
+            z = bias + sum(weights.get(c, 0.0) for c in cells)
             clean *= 1 - 1 / (1 + np.exp(-z))
         return 1 - clean
 
@@ -313,6 +314,21 @@ def test_toxicity_is_a_noisy_or():
     assert np.allclose(once.weights, model.weights, atol=1e-6)  # the order of rows, and so ties, change nothing
 
 
+def test_toxicity_knows_words_by_their_starts(spark):
+    rng = random.Random(2)
+    ends = ["a", "el", "on", "ich", "est", "ung", "ar", "is"]
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = [(i, ". ".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(5)) + (f" grumbel{rng.choice(ends)}{rng.choice(ends)}{rng.choice(ends)}" if i % 4 == 0 else "")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    out = toxicity.add_toxicity(docs.where("doc_id >= 500"), model).select("doc_id", "predicted").collect()
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in out)
+    text = dict(rows)
+    whole = toxicity.fit(toxicity.sentence_cells([text[i] for i in range(500)]), np.array([int(i % 4 == 0) for i in range(500)]))
+    assert np.array_equal(whole.cells, model.cells) and np.allclose(whole.weights, model.weights) and abs(whole.cut - model.cut) < 1e-9
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)

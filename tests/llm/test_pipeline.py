@@ -43,10 +43,12 @@ def test_run(spark, docs):
 
 @pytest.mark.parametrize("name,stage", pipeline.STAGES)
 def test_odd_and_empty(spark, name, stage):
-    odd = spark.createDataFrame(ODD, SCHEMA)
+    odd = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("clash") for c in ("__n", "__m", "__id", "m", "n", "k", "size", "digest", "copies", "score", "predicted", "pii", "in_text", "key", "mark", "w")})
     out = stage(spark, odd, DATA)
     rows = out.collect()
     assert rows
+    if name != "sentencepiece":
+        assert out.columns == odd.columns and {r["m"] for r in rows} == {"clash"}
     if name == "near_copies":
         assert len(rows) == len(ODD) - 1
     if name in ("pii", "sentencepiece"):
