@@ -18,48 +18,55 @@ from tabloom.llm.common import saved
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """All columns under names of their own, with which no working name clashes, whatever ``docs`` has."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict 1."""
-    names = docs.columns
-    scored = toxicity.add_toxicity(_aside(docs), toxicity.trained(spark, docs, sf_dir), text_col="__text")
-    return scored.where("predicted = 0").select(*[F.col(f"__{c}").alias(c) for c in names])
+    scored = toxicity.add_toxicity(_aside(docs), toxicity.trained(spark, docs, sf_dir), text_col="in_text")
+    return _back(scored.where("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id (of one id, one row); texts without words stay."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
     groups = saved(jaccard.near_groups(docs.select("doc_id", "text"), marks=True))
     linked = groups.where("key is not null")
     first = linked.groupBy("key").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
-    stay = first.unionByName(groups.where("key is null").select("doc_id", "mark")).distinct().select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    again = saved(linked.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    stay = first.unionByName(groups.where("key is null").select("doc_id", "mark")).distinct()
+    again = saved(linked.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"))
 
     def of(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]) & (rows["__m"] == keys["__mark"]), how)
+        return rows.join(keys, rows["in_doc_id"].eqNullSafe(keys["doc_id"]) & (rows["m"] == keys["mark"]), how)
 
-    kept = of(stay, "left_semi", docs.withColumn("__m", mark))
+    kept = of(stay, "left_semi", _aside(docs).withColumn("m", F.xxhash64(F.coalesce("in_text", F.lit("")))))
     if not again.isEmpty():  # rows that are repeated whole: one of each
-        kept = of(again, "left_anti", kept).unionByName(of(again, "left_semi", kept).dropDuplicates(["doc_id", "__m"]))
-    return kept.select(*docs.columns)
+        kept = of(again, "left_anti", kept).unionByName(of(again, "left_semi", kept).dropDuplicates(["in_doc_id", "m"]))
+    return _back(kept, docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with all spans of personal data replaced by their kind; n_chars follows."""
-    found = pii.redact(pii.find_spans(docs, out_col="__pii"), spans_col="__pii")
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    found = pii.redact(pii.find_spans(_aside(docs), text_col="in_text"), text_col="in_text")
+    return _back(found.withColumn("in_n_chars", F.char_length("in_text").cast("long")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0 and size > 0")
-    taken = saved(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("copy").alias("__copy"), F.col("copies").cast("int").alias("__copies")))
-    rows = docs.select("*", F.md5(F.coalesce("text", F.lit(""))).alias("__m"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__m") == F.col("__digest"))
-    if not taken.where("__copy > 0").isEmpty():  # repeated rows: the k-th of equal rows has the k-th draw
-        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "source", "__m").orderBy(F.lit(1))) - 1)
-        same = same & (F.col("__k") == F.col("__copy"))
+    taken = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0 and size > 0")
+    taken = saved(taken.select("doc_id", "source", "digest", "copy", F.col("copies").cast("int").alias("copies")))
+    rows = _aside(docs).withColumn("m", F.md5(F.coalesce("in_text", F.lit(""))))
+    same = F.col("in_doc_id").eqNullSafe(F.col("doc_id")) & F.col("in_source").eqNullSafe(F.col("source")) & (F.col("m") == F.col("digest"))
+    if not taken.where("copy > 0").isEmpty():  # repeated rows: the k-th of equal rows has the k-th draw
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("in_doc_id", "in_source", "m").orderBy(F.lit(1))) - 1)
+        same = same & (F.col("k") == F.col("copy"))
     joined = rows.join(taken, same)
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return _back(joined.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +75,6 @@ def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "source", sentencepiece_viterbi.packed_length(F.col("ids")).alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
-def _aside(docs: DataFrame) -> DataFrame:
-    """All columns under other names, so that an operator's outputs clash with none."""
-    return docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in docs.columns])
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_copies", drop_near_copies),
