@@ -743,9 +743,15 @@ def synth_independent(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made, "l_extendedprice", digits=6)
 
 
-@query()
+_U0 = lambda c: uniform_sql(0, "gen:" + c, "id")
+
+
+@query(f"""WITH rows AS (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id), known AS (SELECT list_sort(list(DISTINCT o_orderstatus)) AS os, list_sort(list(DISTINCT o_orderpriority)) AS ps FROM orders)
+SELECT id AS o_orderkey, floor({_U0("o_custkey")} * 101)::BIGINT AS o_custkey, os[floor({_U0("o_orderstatus")} * len(os))::BIGINT + 1] AS o_orderstatus, round({_U0("o_totalprice")} * 100, 6) AS o_totalprice,
+floor({_U0("o_orderdate")} * 101)::BIGINT AS o_orderdate, ps[floor({_U0("o_orderpriority")} * len(ps))::BIGINT + 1] AS o_orderpriority FROM rows, known""")
 def synth_random(spark: SparkSession, sf: str) -> DataFrame:
-    return sample(spark, describe(read(spark, sf, "orders"), Config(mode="random")), mode="random")
+    """Random mode from end to end: types and categories alone."""
+    return rounded(sample(spark, describe(read(spark, sf, "orders"), Config(mode="random")), mode="random"), "o_totalprice", digits=6)
 
 
 # Reports
