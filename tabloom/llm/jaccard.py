@@ -9,18 +9,19 @@ similarity is at least ``num / den``.
    share at least l. Each class posts that many, with o the least overlap any partner must have and
    l = n / 8, in blocks of hashes; a class of whose postings too few are posted by others can have
    no partner and leaves here.
-2. Candidates, exactly. The whole sets of the survivors are posted, and each class keeps the rarest
-   of its hashes, as many as needed so that two linked classes share one (the prefix filter, with
-   the true counts as the order). Hashes that only one class has are the rarest of all. A hash
-   that a sample of classes shows to be hot is dealt by class in both steps, so none fills a block;
-   it is known to be shared, and its count in the order is the sample's, the same for all.
+2. Candidates, exactly. The whole sets of the survivors are made anew from one text of each and
+   posted, and each class keeps the rarest of its hashes, as many as needed so that two linked
+   classes share one (the prefix filter, with the true counts as the order). Hashes that only one
+   class has are the rarest of all. A hash that a sample of classes shows to be hot is dealt by class
+   in both steps, so none fills a block; it is known to be shared, and its count in the order is the
+   sample's, the same for all.
 3. Links, by hubs. In each group of classes that share a kept hash, pairs with a few hubs are
    verified first; the links merge components, and a group in one component is done. What is left of
    small groups is verified pair by pair where components differ. Large groups that overlap make
-   clusters, which are cut into blocks; each pair of blocks is a task that joins two tries.
-4. Verification walks tries: the sets around a hub in the global order, so that the overlap along a
-   shared start is counted once, and a subtree is left as soon as the hashes that remain cannot
-   reach the overlap needed.
+   clusters, which are cut into blocks; each pair of blocks is a task that joins sets with a trie.
+4. Verification walks tries. The sets of a block are ranked anew, the hash that most of them have
+   first, so that alike sets share long starts. The overlap with a hub is counted once for each node,
+   and a subtree is left as soon as the hashes that remain cannot reach the overlap needed.
 5. Components come from large-star / small-star rounds over the links, all in tables.
 
 Null and empty texts and texts without words have an empty set, link with nothing and are groups of
