@@ -37,7 +37,7 @@ from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
 #: Sets of word 5-grams 75 % alike in long texts are 14 bits apart on average, as operator 9 links them.
 BITS, RADIUS = 128, 17
 #: Bytes of the texts of one range of ids, about, the most ranges, and documents of a range that are looked at to cut it.
-RANGE_BYTES, MOST_RANGES, LOOKED_AT = 16_000_000, 20_000, 100
+RANGE_BYTES, MOST_RANGES, LOOKED_AT = 4_000_000, 20_000, 100
 #: Terms whose bits are unpacked at once.
 SLICE = 200_000
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -105,6 +105,10 @@ def _long(fingerprint: Column, half: int) -> Column:
     return F.shiftleft(parts[0], 32).bitwiseOR(parts[1])
 
 
+def _digits(name: str) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(f"{name}_{half}"), 16, "0") for half in ("hi", "lo")]))
+
+
 def _flips(radius: int, rows: int) -> int:
     """How many bits to flip in a block: the least probes and candidates of one query among ``rows`` fingerprints."""
 
@@ -138,7 +142,8 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, flips: in
     spans = list(zip(cuts, cuts[1:]))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        only = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct().select(name, _long(F.col(name), 0).alias(f"{name}_hi"), _long(F.col(name), 1).alias(f"{name}_lo"))
+        # Two numbers stand for a fingerprint in the shuffles, not its 32 digits.
+        only = df.where("fingerprint is not null").select(_long(F.col("fingerprint"), 0).alias(f"{name}_hi"), _long(F.col("fingerprint"), 1).alias(f"{name}_lo")).distinct()
         keys = [F.lit(t << 44).bitwiseOR(_bits(F.col(f"{name}_hi"), F.col(f"{name}_lo"), *span)) for t, span in enumerate(spans)]
         return only.select("*", F.posexplode(F.array(*keys)).alias("table", "key"))
 
@@ -155,7 +160,7 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, flips: in
     first = distance <= radius
     for t, span in enumerate(spans[:-1]):
         first = first & ((F.col("table") <= t) | (F.bit_count(_bits(hi, lo, *span)) > flips))
-    return both.where(first).select("query", "match", distance.alias("distance"))
+    return both.where(first).select(_digits("query").alias("query"), _digits("match").alias("match"), distance.alias("distance"))
 
 
 def _below(cuts: list[int], key: Column) -> Column:

@@ -496,6 +496,27 @@ def test_near_groups_of_few_words(spark, texts):
     assert sorted(map(tuple, out.collect())) == brute_groups(rows)
 
 
+def test_near_groups_of_null_ids(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(800):
+        w = list(base)
+        for k in rng.sample(range(120), 2):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    made, sets = [], jaccard._sets
+
+    def counted(docs, named, size):
+        made.append(sets(docs, named, size).count())
+        return sets(docs, named, size)
+
+    monkeypatch.setattr(jaccard, "_sets", counted)
+    out = jaccard.near_groups(spark.createDataFrame([(None, t) for t in texts + texts[:50]] + [(9, texts[0])], "doc_id long, text string"), marks=True).collect()
+    assert len(out) == 851 and len({r.key for r in out}) == 1 and {r.component_id for r in out} == {9}
+    assert made == [len(set(texts))]  # each class once, not once for each row of its id
+
+
 @pytest.mark.parametrize("sample", [1, 3])
 def test_near_groups_with_hot_hashes(spark, monkeypatch, sample):
     monkeypatch.setattr(jaccard, "BLOCK", 320)
