@@ -132,8 +132,10 @@ def measure(texts: list[str]) -> dict[str, list]:
     n, bounds = int(sizes.sum()), np.r_[0, np.cumsum(sizes)]
     numbers = _Numbers()
     ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, n)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    first = np.unique(doc * max(len(numbers), 1) + ids, return_inverse=True)[1] if n else ids
+    del words  # of a long text they are larger than all arrays
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    first = (np.unique(doc * np.int64(max(len(numbers), 1)) + ids, return_inverse=True)[1] if len(texts) > 1 else ids) if n else ids
+    del ids
     repeat = longest_repeats(first, doc)
     three = np.flatnonzero(repeat >= 3)
     in_three = _covered(three, np.full(len(three), 3), n)

@@ -60,7 +60,8 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         words = [t.lower().encode().split() for t in texts[a:b]]
         counts = np.array([len(w) for w in words], np.int64)
         one = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
-        doc = np.repeat(np.arange(b - a), counts)
+        del words  # of a long text they are larger than all arrays
+        doc = np.repeat(np.arange(b - a, dtype=np.int32), counts)
         # A pair of words, unless the text ends between them; a text of one word has that.
         term = _mixed(one, 0)
         term[:-1] += one[1:]
