@@ -155,7 +155,8 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, flips: in
     if flips:
         turned = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks(b - a)]) for a, b in spans])
         probes = probes.withColumn("mask", F.explode(F.get(turned, F.col("table")))).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
-    both = probes.join(blocks(index, "match").drop("table"), "key")
+    # Spark takes the probes for as small as the fingerprints that they are made of, so it is told not to send them to all tasks.
+    both = probes.hint("merge").join(blocks(index, "match").drop("table"), "key")
     hi, lo = F.col("query_hi").bitwiseXOR(F.col("match_hi")), F.col("query_lo").bitwiseXOR(F.col("match_lo"))
     distance = F.bit_count(hi) + F.bit_count(lo)
     first = distance <= radius
