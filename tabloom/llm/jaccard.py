@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, forget, maybe_among, saved, table, with_columns
+from tabloom.llm.common import Cache, chunks, discard, forget, maybe_among, saved, table, with_columns
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -504,7 +504,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        before, now = now, saved(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        discard(before)
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == known:
             break

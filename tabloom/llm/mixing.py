@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import saved, table
+from tabloom.llm.common import discard, saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one range of ranks: about so many in small inputs, more in large ones, where ranges are many.
@@ -104,11 +104,11 @@ def rates(by_weight: DataFrame, most: int = 3) -> DataFrame:
 def pareto_take(rows: DataFrame, fills: int = FILLS) -> DataFrame:
     """Draw one more copy of some rows of each source; adds ``extra``, 1 for those drawn.
 
-    Takes rows of place, block (a range of the rank), RANK, size and lack, the words that the source
-    still needs. The first pass walks by rank to the document that comes nearest; a fill offers the
-    gap to the documents not drawn that fit in it, by rank as well.
+    Takes a saved table, which it deletes, of place, block (a range of the rank), RANK, size and lack,
+    the words that the source still needs. The first pass walks by rank to the document that comes
+    nearest; a fill offers the gap to the documents not drawn that fit in it, by rank as well.
     """
-    out = rows.withColumn("extra", F.lit(0))
+    out, held = rows.withColumn("extra", F.lit(0)), rows
     within = Window.partitionBy("place", "block").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, -1)
     for k in range(fills + 1):
         if k:
@@ -126,6 +126,8 @@ def pareto_take(rows: DataFrame, fills: int = FILLS) -> DataFrame:
             near = near | (after - F.col("gap") < F.col("gap") - F.col("before"))
         drawn = (F.col("offered") > 0) & (F.col("before") < F.col("gap")) & near
         out = saved(out.withColumn("extra", F.col("extra") + F.when(drawn, 1).otherwise(0)).drop("offered", "ahead", "before", "gap"))
+        discard(held)
+        held = out
     return out
 
 
