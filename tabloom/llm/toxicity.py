@@ -21,17 +21,17 @@ from; of several labels of a document the highest counts. Without both classes a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import Cache, chunks, forget, saved, table, with_columns
+from tabloom.llm.common import chunks, forget, saved, table, with_columns
 from tabloom.llm.langid import id_hash
 
 CELLS = 1 << 20
@@ -47,26 +47,36 @@ _END = b"."
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def _cell(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (CELLS - 1)
+def _cells(word: bytes) -> list[int]:
+    """The cells of a word and of its starts."""
+    letters = word if word.isascii() else word.decode("utf-8", "replace")
+    starts = [letters[:k] for k in STARTS if k < len(letters)]
+    return [zlib.crc32(word) & CELLS - 1, *(zlib.crc32(x if isinstance(x, bytes) else x.encode(), 1) & CELLS - 1 for x in starts)]
 
 
-def _cells(word: bytes) -> bytes:
-    """The cells of a word and of its starts, packed; CELLS for the end of a sentence."""
-    if word == _END:
-        return np.int32(CELLS).tobytes()
-    letters = word.decode("utf-8", "replace")
-    starts = [_cell(b"^" + letters[:k].encode()) for k in STARTS if k < len(letters)]
-    return np.array([_cell(word), *starts], np.int32).tobytes()
+class Words(dict):
+    """The packed cells of each word, all or only those among ``known``; CELLS for the end of a sentence."""
 
+    def __init__(self, known: np.ndarray | None = None, most: int = 150_000) -> None:
+        super().__init__()
+        self.known, self.most = None if known is None else frozenset(known.tolist()), most
 
-_CELLS_OF = Cache(_cells)
+    def __missing__(self, word: bytes) -> bytes:
+        cells = [CELLS] if word == _END else _cells(word) if self.known is None else [c for c in _cells(word) if c in self.known]
+        value = self[word] = np.array(cells, np.int32).tobytes() if cells else b""
+        return value
 
 
-def sentence_cells(texts: list[str]) -> list[np.ndarray]:
-    """Cells of the words of each text and of their starts, with CELLS after each sentence."""
-    _CELLS_OF.trim()
-    return [np.frombuffer(b"".join(map(_CELLS_OF.__getitem__, t.lower().encode().translate(_TABLE).replace(_END, b" . ").split())), np.int32) for t in texts]
+def sentence_cells(texts: list[str], words: Words | None = None) -> list[np.ndarray]:
+    """Cells of the words of each text and of their starts, with CELLS after each sentence that has a word."""
+    words = Words() if words is None else words
+    if len(words) > words.most:
+        words.clear()
+    out = []
+    for t in texts:
+        sentences = b" . ".join(filter(None, map(bytes.strip, t.lower().encode().translate(_TABLE).split(_END))))
+        out.append(np.frombuffer(b"".join(map(words.__getitem__, (sentences + b" .").split())) if sentences else b"", np.int32))
+    return out
 
 
 class Model(NamedTuple):
@@ -89,9 +99,8 @@ def _among(cells: np.ndarray) -> np.ndarray:
 
 def hit_sentences(bag: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, int]:
     """Of a document, the sentences that hold one of some cells, with these alone, and the number of the others."""
-    flat = np.append(bag, np.int32(CELLS))
-    end = flat == CELLS
-    sentence, known = np.cumsum(end) - end, _among(cells)[flat]
+    flat, end = bag, bag == CELLS
+    sentence, known = np.cumsum(end) - end, _among(cells)[bag]
     there = np.zeros(int(end.sum()), bool)
     there[sentence[known]] = True
     return flat[(known | end) & there[sentence]], int((~there).sum())
@@ -108,18 +117,16 @@ def candidates(bags: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def sentence_logits(bags: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of all sentences that have a word, and the bag of each."""
-    flat = np.concatenate([np.append(b, np.int32(CELLS)) for b in bags]) if bags else np.zeros(0, np.int64)
-    bag = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) + 1 for b in bags])
+    """Logits of all sentences, and the bag of each."""
+    flat = np.concatenate([np.zeros(0, np.int32), *bags])
+    bag = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
     end = flat == CELLS
     sentence = np.cumsum(end) - end
-    word = ~end
     known = np.flatnonzero(_among(model.cells)[flat])
     pairs = np.unique(sentence[known].astype(np.int64) * (CELLS + 1) + flat[known])
     sums = np.zeros(int(end.sum()))
     np.add.at(sums, pairs // (CELLS + 1), model.weights[np.searchsorted(model.cells, pairs % (CELLS + 1))])
-    filled = np.bincount(sentence[word], minlength=len(sums)) > 0
-    return (sums + model.bias)[filled], bag[end][filled]
+    return sums + model.bias, bag[end]
 
 
 def noisy_or(logits: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
@@ -141,7 +148,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, cells: np.ndarray | None = N
     if not len(cells):
         return none
     few = [hit_sentences(b, cells) for b in bags]
-    bags, plain = [b for b, _ in few], np.array([k for _, k in few], float) - (others is not None) + (0 if others is None else others)
+    bags, plain = [b for b, _ in few], np.array([k for _, k in few], float) + (0 if others is None else others)
     start = Model(cells, np.zeros(len(cells)), 0.0, 0.5)
     flat, bag = np.concatenate([np.zeros(0, np.int32), *bags]), np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in bags])
     end = flat == CELLS
@@ -220,13 +227,15 @@ def sentence_spans(text: str, model: Model, least: float = 0.5) -> list[dict]:
 
 def add_toxicity(df: DataFrame, model: Model, text_col: str = "text", locate: bool = False) -> DataFrame:
     """Add ``score`` and ``predicted``; with ``locate`` also ``toxic_sentences`` of those predicted 1."""
-    shared = df.sparkSession.sparkContext.broadcast(tuple(model))
+    shared, held = df.sparkSession.sparkContext.broadcast(tuple(model)), []  # held: the words of one task
 
     def fn(columns: list[pa.Array]) -> list:
         model, texts = Model(*shared.value), [t or "" for t in columns[0].to_pylist()]
+        if not held:
+            held.append(Words(model.cells))
         scores: list[float] = []
         for a, b in chunks(texts):
-            bags = sentence_cells(texts[a:b])
+            bags = sentence_cells(texts[a:b], held[0])
             scores += model.stretched(noisy_or(*sentence_logits(bags, model), len(bags))).clip(0, 1).tolist()
         made = [scores, [int(s >= THRESHOLD) for s in scores]]
         return [*made, [sentence_spans(t, model) if s >= THRESHOLD else [] for t, s in zip(texts, scores, strict=True)]] if locate else made
