@@ -8,25 +8,27 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.rng import laplace, uniform
 from tabloom.operators.distribution import normalized
 
-#: Cells that one table may have.
-MOST_CELLS = 20_000_000
+#: Cells of a network's tables that a model holds as lists; more stay a table.
+LISTED = 200_000
+#: Cells are numbered by 64 bits.
+MOST_CELLS = 1 << 62
 
 
 def code_space(df: DataFrame, cards: dict[str, int]) -> DataFrame:
-    """All combinations of codes of some columns."""
+    """All combinations of codes of some columns, made in parallel from their numbers."""
     cells = math.prod(cards.values())
     if cells > MOST_CELLS:
-        raise ValueError(f"{cells} cells in the space of {', '.join(cards)}; at most {MOST_CELLS}")
+        raise ValueError(f"{cells} cells in the space of {', '.join(cards)} cannot be numbered")
     out, stride = [], cells
     for name, card in cards.items():
         stride //= card
-        out.append((F.floor(F.col("id") / stride) % card).cast("int").alias(name))
+        out.append((F.expr(f"id div {stride}") % card).cast("int").alias(name))
     return df.sparkSession.range(cells).select(*out)
 
 
@@ -96,3 +98,41 @@ def collected(cpt: DataFrame) -> dict[str, list[tuple[list[int], list[float]]]]:
     for r in rows:
         out.setdefault(r["child"], []).append((list(r["parent_codes"]), [x["p"] for x in r["x"]]))
     return out
+
+
+def cells(network: list[tuple[str, list[str]]], cards: dict[str, int]) -> int:
+    """Cells of all tables of a network, and of the joint table that the first ones share."""
+    k = len(network[-1][1])
+    shared = [network[0][1][0], *[c for c, _ in network[:k]]]
+    return max(math.prod(cards[c] for c in shared), cards[shared[0]] + sum(math.prod(cards[c] for c in (child, *ps)) for child, ps in network))
+
+
+def given(codes: list[Column], cards: list[int]) -> Column:
+    """The number whose digits are some parents' codes."""
+    out = F.lit(0).cast("bigint")
+    for code, card in zip(codes, cards, strict=True):
+        out = out * card + code
+    return out
+
+
+def numbered(cpt: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int]) -> DataFrame:
+    """(place, given, code, p): the tables with columns as places in the order of sampling and parents' codes as one number."""
+    place, number = F.lit(0), F.lit(0).cast("bigint")
+    for k, (child, parents) in enumerate(network):
+        own = F.col("child") == child
+        place = F.when(own, k + 1).otherwise(place)
+        number = F.when(own, given([F.get("parent_codes", i) for i in range(len(parents))], [cards[p] for p in parents])).otherwise(number)
+    return cpt.select(place.cast("int").alias("place"), number.alias("given"), F.col("code").cast("int").alias("code"), "p")
+
+
+def spelled(tables: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int]) -> DataFrame:
+    """(child, parent_codes, code, p): the same with names and codes again."""
+    order = [network[0][1][0], *[c for c, _ in network]]
+    codes = F.expr("cast(array() as array<int>)")
+    for k, (_, parents) in enumerate(network):
+        digits, stride = [], math.prod(cards[p] for p in parents)
+        for p in parents:
+            stride //= cards[p]
+            digits.append((F.expr(f"given div {stride}") % cards[p]).cast("int"))
+        codes = F.when(F.col("place") == k + 1, F.array(*digits)).otherwise(codes)
+    return tables.select(F.get(F.array(*[F.lit(n) for n in order]), F.col("place")).alias("child"), codes.alias("parent_codes"), "code", "p")

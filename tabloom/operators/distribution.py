@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.rng import laplace, uniform
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number
+from tabloom.operators.dictionary import built, kind_of, reweighted
 from tabloom.operators.ordered import quantiles, running
 from tabloom.operators.profile import value
-from tabloom.plans.model import ColumnModel, TableModel
+from tabloom.plans.model import IN_PLAN, ColumnModel, TableModel
 
 BINS = 20
-#: Categories of one column that a model may hold.
-MAX_CATEGORIES = 100_000
 
 
 def edges(lo: float, hi: float, bins: int) -> list[float]:
@@ -156,15 +155,20 @@ def fit(df: DataFrame, model: TableModel, bins: int | str = BINS, domains: dict[
     numbers = [c for c in model.columns.values() if not c.is_categorical and c.min is not None]
     if groups:
         pairs = [F.struct(F.lit(c.name).alias("attr"), category(df, c.name, c.data_type).cast("string").alias("value")) for c in groups]
-        counts = df.select(F.explode(F.array(*pairs)).alias("x")).where("x.value is not null").groupBy("x.attr", "x.value").count()
-        wide = counts.groupBy("attr").count().where(f"count > {MAX_CATEGORIES}").limit(1).collect()
-        if wide:
-            raise ValueError(f"{wide[0]['attr']} has too many categories for a model")
-        found: dict[str, dict] = {c.name: {v: 0 for v in domains.get(c.name, [])} for c in groups}
-        for r in counts.collect():
-            found[r["attr"]][_typed(r["value"], model.columns[r["attr"]].data_type)] = r["count"]
-        for c in groups:
-            _fill(c, sorted(found[c.name].items()))
+        counts = df.select(F.explode(F.array(*pairs)).alias("x")).where("x.value is not null").groupBy("x.attr", "x.value").agg(F.count("*").alias("n")).persist()
+        try:
+            sizes = {r["attr"]: r["count"] for r in counts.groupBy("attr").count().collect()}
+            wide = [c for c in groups if max(sizes.get(c.name, 0), len(domains.get(c.name, []))) > IN_PLAN]
+            for c in wide:
+                _tabulate(c, counts.where(F.col("attr") == c.name), domains.get(c.name))
+            few = [c for c in groups if c not in wide]
+            found: dict[str, dict] = {c.name: {v: 0 for v in domains.get(c.name, [])} for c in few}
+            for r in counts.where(F.col("attr").isin(*found)).collect() if few else []:
+                found[r["attr"]][_typed(r["value"], model.columns[r["attr"]].data_type)] = r["n"]
+            for c in few:
+                _fill(c, sorted(found[c.name].items()))
+        finally:
+            counts.unpersist()
     if numbers:
         lefts = {}
         for c in numbers:
@@ -187,22 +191,40 @@ def uniform_domain(model: TableModel, df: DataFrame, domains: dict[str, list] |
     fit(df, model, 1, domains)
     for c in model.columns.values():
         n = len(c.distribution_bins)
-        c.distribution_probabilities = [1 / n] * n
+        c.distribution_probabilities = [1 / n] * n if n else []
+        if c.dictionary:
+            c.dictionary = reweighted(c.dictionary, F.lit(1.0))
     return model
 
 
 def add_noise(model: TableModel, df: DataFrame, epsilon: float, seed: object) -> TableModel:
     """Noise on the distributions of all columns, the budget shared by the columns a network may hold."""
     rows = [(c.name, k, float(p)) for c in model.columns.values() for k, p in enumerate(c.distribution_probabilities)]
-    if epsilon <= 0 or not rows or not model.num_tuples:
+    if epsilon <= 0 or not model.num_tuples:
+        return model
+    scale = noise_scale(epsilon, model.num_tuples, len(model.network_attributes))
+    for c in model.columns.values():
+        if c.dictionary:
+            c.dictionary = reweighted(c.dictionary, F.col("p") + laplace(uniform(seed, "dist", F.lit(c.name), F.col("code")), scale))
+    if not rows:
         return model
     frame = df.sparkSession.createDataFrame(rows, "attr string, bin_idx int, p double")
-    raw = F.col("p") + laplace(uniform(seed, "dist", F.col("attr"), F.col("bin_idx")), noise_scale(epsilon, model.num_tuples, len(model.network_attributes)))
+    raw = F.col("p") + laplace(uniform(seed, "dist", F.col("attr"), F.col("bin_idx")), scale)
     for r in frame.withColumn("p", normalized(raw, Window.partitionBy("attr"))).collect():
         model.columns[r["attr"]].distribution_probabilities[r["bin_idx"]] = r["p"]
     return model
 
 
+def _tabulate(c: ColumnModel, counts: DataFrame, domain: list | None) -> None:
+    """A dictionary of a column's counted values (value as text, n) and of the declared ones."""
+    kind = kind_of(c.data_type)
+    typed = counts.select(F.col("value").cast(kind).alias("value"), "n")
+    if domain:
+        declared = counts.sparkSession.createDataFrame([(v, 0) for v in domain], f"value {kind}, n bigint")
+        typed = typed.unionByName(declared).groupBy("value").agg(F.sum("n").alias("n"))
+    c.dictionary = built(typed)
+
+
 def _fill(c: ColumnModel, counts: list[tuple]) -> None:
     total = sum(n for _, n in counts)
     c.distribution_bins = [v for v, _ in counts]

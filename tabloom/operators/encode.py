@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.types import STRING, as_number
+from tabloom.operators.dictionary import listed
 from tabloom.operators.distribution import bin_of, category
 from tabloom.operators.profile import value
-from tabloom.plans.model import ColumnModel, TableModel
-
-#: Categories beyond this number are looked up by a join, not in an array in the plan.
-IN_PLAN = 1000
+from tabloom.plans.model import IN_PLAN, ColumnModel, TableModel
 
 
 def code_of(df: DataFrame, c: ColumnModel) -> Column:
     """The code of a column's value; values beyond a range go to the first or last bin, unseen categories are missing."""
-    last = F.lit(len(c.distribution_bins))
+    last = F.lit(c.size)
     if c.is_categorical:
         x = category(df, c.name, c.data_type)
         known = F.array(*[F.lit(v) for v in c.distribution_bins])
@@ -29,15 +27,18 @@ def code_of(df: DataFrame, c: ColumnModel) -> Column:
 
 
 def encode(df: DataFrame, model: TableModel, attributes: list[str] | None = None) -> DataFrame:
-    """The codes of the network's columns (or those named), in one projection."""
+    """The codes of the network's columns (or those named), in one projection and a join for each column of very many categories.
+
+    Such a join is by the value with its own type; Spark sends the dictionary to all tasks if it is small and splits hot values if not.
+    """
     names = attributes if attributes is not None else model.network_attributes
-    large = [n for n in names if model.columns[n].is_categorical and len(model.columns[n].distribution_bins) > IN_PLAN]
-    out = df
-    for n in large:
-        c = model.columns[n]
-        kind = category(df, n, c.data_type)
-        pairs = [(str(v), k) for k, v in enumerate(c.distribution_bins)]
-        known = df.sparkSession.createDataFrame(pairs, "__value string, __code int")
-        out = out.join(known.withColumnRenamed("__code", f"__code_{n}"), kind.cast("string") == F.col("__value"), "left").drop("__value")
-    exprs = [F.coalesce(F.col(f"`__code_{n}`"), F.lit(len(model.columns[n].distribution_bins))).alias(n) if n in large else code_of(df, model.columns[n]).alias(n) for n in names]
-    return out.select(*exprs)
+    models = [model.columns[n] for n in names]
+    large = [k for k, c in enumerate(models) if c.is_categorical and c.size > IN_PLAN]
+    out = df.select(*[(category(df, c.name, c.data_type) if k in large else code_of(df, c)).alias(f"c{k}") for k, c in enumerate(models)])
+    for k in large:
+        c = models[k]
+        known = c.dictionary.table if c.dictionary else listed(df.sparkSession, c.distribution_bins, c.data_type)
+        found = known.select(F.col("value").alias("known"), F.col("code").cast("int").alias("code"))
+        coded = F.coalesce("code", F.lit(c.size)).alias(f"c{k}")
+        out = out.join(found, F.col(f"c{k}") == F.col("known"), "left").select(*[coded if i == k else F.col(f"c{i}") for i in range(len(models))])
+    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])

@@ -1,21 +1,25 @@
 """Sampling of tables: random, independent and correlated, with keys.
 
 Rows are a range of numbers; each value is an expression of the row number and the seed. Random and
-independent tables are one projection. A correlated one adds a join with a small table for each
-child of the network. Results do not depend on partitioning.
+independent tables are one projection, and a join for each column whose categories are a dictionary.
+A correlated one adds a join with a table of probabilities for each child of the network. Results do
+not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from itertools import accumulate
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.rng import letters, uniform, uniform_here
+from tabloom.functions.rng import letters, shuffled, uniform, uniform_here
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, ssn_text
+from tabloom.operators import dictionary
+from tabloom.operators.cpt import given
+from tabloom.operators.ordered import running
 from tabloom.plans.model import ColumnModel, TableModel
 
 #: Numbers in a conditional table that may be sent to every task.
@@ -93,12 +97,6 @@ def as_value(c: ColumnModel, x: Column, seed: object, row: Column, timestamps: b
     return x
 
 
-def coprime(n: int, start: int = 7919) -> int:
-    while math.gcd(start, n) > 1:
-        start += 2
-    return start
-
-
 def key_values(c: ColumnModel, n: int, seed: object, row: Column, timestamps: bool = False) -> Column:
     """Distinct values for rows 0 to n - 1."""
     lo, hi = float(c.min or 0), float(c.max or 0)
@@ -112,7 +110,7 @@ def key_values(c: ColumnModel, n: int, seed: object, row: Column, timestamps: bo
     if c.data_type == SSN:
         if n >= 10**9:
             raise ValueError("there are fewer social security numbers than rows")
-        place = (row * F.lit(coprime(n)) + F.lit(11)) % F.lit(max(n, 1))
+        place = shuffled(row, n, seed, f"key:{c.name}")
         return ssn_text(F.floor(place * F.lit((10**9 - 1) / max(n - 1, 1))))
     length = int(lo + uniform_here(seed, f"key:{c.name}", 0) * (hi - lo + 1)) if hi > lo else int(lo)
     prefix = "".join(chr(97 + int(uniform_here(seed, f"prefix:{c.name}", i) * 26)) for i in range(length))
@@ -140,52 +138,125 @@ def rows_of(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
 
+class Made(NamedTuple):
+    """A column in the making: an expression and, where its dictionary is joined, how: a draw by a uniform number, or a value by its code."""
+
+    column: ColumnModel
+    value: Column
+    how: str | None = None
+    after: Callable[[Column], Column] = lambda v: v
+
+
+def shown(c: ColumnModel, timestamps: bool) -> Callable[[Column], Column]:
+    """How a dictionary's value is put out."""
+    if c.data_type == SSN:
+        return lambda v: ssn_text(v)
+    return (lambda v: F.timestamp_seconds(v)) if c.data_type == DATETIME and timestamps else (lambda v: v)
+
+
+def filled(rows: DataFrame, parts: list[Made]) -> DataFrame:
+    """The table of some columns, from rows with ``id`` and what the expressions read."""
+    out = rows.select("id", *[m.value.alias(f"c{k}") for k, m in enumerate(parts)])
+    for k, m in enumerate(parts):
+        if m.how:
+            out = (dictionary.drawn if m.how == "draw" else dictionary.named)(out, m.column.dictionary, f"c{k}")
+    return out.select(*[m.after(F.col(f"c{k}")).alias(m.column.name) for k, m in enumerate(parts)])
+
+
+def random_value(c: ColumnModel, n: int, minimum: float, maximum: float, seed: object, row: Column, use_domain: bool, timestamps: bool) -> Made:
+    if c.is_candidate_key:
+        return Made(c, key_values(c, n, seed, row, timestamps))
+    if c.dictionary:
+        return Made(c, F.floor(uniform(seed, f"gen:{c.name}", row) * c.size).cast("bigint"), "code", shown(c, timestamps))
+    return Made(c, uniform_values(c, minimum, maximum, seed, row, use_domain, timestamps))
+
+
 def random_mode(rows: DataFrame, n: int, model: TableModel, seed: object = 0, minimum: float = 0, maximum: float = 100, use_domain: bool = False, timestamps: bool = False) -> DataFrame:
     """Types and domains alone; ``rows`` has the row numbers in ``id``, as a table or a stream."""
-    row = F.col("id")
-    return rows.select(*[(key_values(c, n, seed, row, timestamps) if c.is_candidate_key else uniform_values(c, minimum, maximum, seed, row, use_domain, timestamps)).alias(c.name) for c in model.columns.values()])
+    return filled(rows, [random_value(c, n, minimum, maximum, seed, F.col("id"), use_domain, timestamps) for c in model.columns.values()])
 
 
-def independent_value(c: ColumnModel, n: int, seed: object, row: Column, emit_missing: bool, timestamps: bool) -> Column:
+def independent_value(c: ColumnModel, n: int, seed: object, row: Column, emit_missing: bool, timestamps: bool) -> Made:
     if c.is_candidate_key:
-        return key_values(c, n, seed, row, timestamps)
+        return Made(c, key_values(c, n, seed, row, timestamps))
+    stays = uniform(seed, f"missing:{c.name}", row) >= c.missing_rate if emit_missing and c.missing_rate else None
+    if c.dictionary:
+        show = shown(c, timestamps)
+        return Made(c, uniform(seed, f"gen:{c.name}", row), "draw", show if stays is None else lambda v: F.when(stays, show(v)))
     v = decoded(c, sampled_code(c, seed, row), seed, row, timestamps)
-    return F.when(uniform(seed, f"missing:{c.name}", row) >= c.missing_rate, v) if emit_missing and c.missing_rate else v
+    return Made(c, v if stays is None else F.when(stays, v))
 
 
 def independent_mode(rows: DataFrame, n: int, model: TableModel, seed: object = 0, emit_missing: bool = False, timestamps: bool = False) -> DataFrame:
     """Each column from its own distribution; with ``emit_missing`` also as often missing as in the original."""
-    return rows.select(*[independent_value(c, n, seed, F.col("id"), emit_missing, timestamps).alias(c.name) for c in model.columns.values()])
+    return filled(rows, [independent_value(c, n, seed, F.col("id"), emit_missing, timestamps) for c in model.columns.values()])
 
 
-def sampling_order(network: list[tuple[str, list[str]]]) -> list[str]:
-    return [network[0][1][0], *[c for c, _ in network]]
+#: Positions among which a code is drawn from a table of probabilities.
+POSITIONS = 1 << 40
+
+
+def from_table(rows: DataFrame, table: DataFrame, cards: list[int], card: int, parents: list[str], name: str, u: Column) -> DataFrame:
+    """Add column ``name``: codes drawn by u from (given, code, p), as rows of the parents' codes have it.
+
+    The table is joined by its parents' number and the slot of the draw, so that rows of one instance
+    of the parents are spread over slots. An instance that the table lacks draws any code.
+    """
+    weighted = table.where(f"code < {card}").select("given", "code", F.floor(F.col("p") * float(POSITIONS)).cast("bigint").alias("weight"))
+    if parents:
+        within = Window.partitionBy("given").orderBy("code")  # as many rows as the column has codes
+        placed = weighted.withColumn("upto", F.sum("weight").over(within))
+    else:
+        placed = running(weighted, ["code"], {"upto": "weight"})
+    # What rounding leaves over goes to the last code.
+    placed = placed.withColumn("weight", F.col("weight") + F.when(F.col("code") == card - 1, POSITIONS - F.col("upto")).otherwise(0)).withColumn("upto", F.when(F.col("code") == card - 1, POSITIONS).otherwise(F.col("upto")))
+    there, width = dictionary.slots(placed, POSITIONS, card)
+    there = there.select(F.col("given").alias("__there"), "slot", "low", "high", F.col("code").alias("__code"))
+    asked = rows.withColumn("__u", u).withColumn("__at", dictionary.position(F.col("__u"), POSITIONS))
+    asked = asked.withColumn("__given", given([F.col(p) for p in parents], cards)).withColumn("__slot", F.expr(f"__at div {width}"))
+    on = (F.col("__given") == F.col("__there")) & (F.col("__slot") == F.col("slot")) & (F.col("__at") >= F.col("low")) & (F.col("__at") < F.col("high"))
+    code = F.coalesce("__code", F.floor(F.col("__u") * card)).cast("int").alias(name)
+    return asked.join(there, on, "left").select(*rows.columns, code)
 
 
 def sampled_codes(rows: DataFrame, model: TableModel, seed: object = 0) -> DataFrame:
-    """Codes of the network's columns, parents before children.
+    """Codes of the network's columns as ``n0``, ``n1``, ... in the order of sampling, parents before children.
 
     The table of a child is joined on its parents' codes; where it has no such row, the child's own
-    distribution is drawn from. A table is sent to all tasks only if it is small.
+    distribution is drawn from. Lists are sent to all tasks only if they are small; tables are left to Spark.
     """
-    spark, root, row = rows.sparkSession, model.network[0][1][0], F.col("id")
-    out = rows.select("id", draw_of(cumulative(model.conditional[root][0][1]), uniform(seed, f"gen:{root}", row)).cast("int").alias(root))
-    for child, parents in model.network:
+    spark, row = rows.sparkSession, F.col("id")
+    order = model.sampling_order
+    out = rows.select("id")
+    for place, (child, parents) in enumerate([(order[0], []), *model.network]):
+        u, given_by, name = uniform(seed, f"gen:{child}", row), [f"n{order.index(p)}" for p in parents], f"n{place}"
+        if model.tables is not None:
+            own = model.tables.where(F.col("place") == place).select("given", "code", "p")
+            out = from_table(out, own, [model.codes_of(p) for p in parents], model.codes_of(child), given_by, name, u)
+            continue
+        if not parents:
+            out = out.select("id", draw_of(cumulative(model.conditional[child][0][1]), u).cast("int").alias(name))
+            continue
         table = [(*codes, cumulative(p)) for codes, p in model.conditional[child]]
         schema = ", ".join([*[f"__p{k} int" for k in range(len(parents))], "__cum array<double>"])
         known = spark.createDataFrame(table, schema)
         if sum(len(r[-1]) for r in table) <= SENT:
             known = F.broadcast(known)
-        on = [F.col(f"`{p}`") == F.col(f"__p{k}") for k, p in enumerate(parents)]
-        u = uniform(seed, f"gen:{child}", row)
-        own = numbers(cumulative(model.columns[child].distribution_probabilities)) if model.columns[child].distribution_probabilities else F.array(F.lit(1.0))
-        kept = [F.col(f"`{c}`") for c in out.columns]
-        out = out.join(known, on, "left").select(*kept, draw(F.coalesce("__cum", own), u).cast("int").alias(child))
+        on = [F.col(p) == F.col(f"__p{k}") for k, p in enumerate(given_by)]
+        probabilities = model.columns[child].distribution_probabilities
+        rest = numbers(cumulative(probabilities)) if probabilities else F.array(F.lit(1.0))
+        out = out.join(known, on, "left").select(*out.columns, draw(F.coalesce("__cum", rest), u).cast("int").alias(name))
     return out
 
 
 def correlated_mode(rows: DataFrame, n: int, model: TableModel, seed: object = 0, timestamps: bool = False) -> DataFrame:
     """Network columns from sampled codes, keys made, the rest independent."""
-    codes, row = sampled_codes(rows, model, seed), F.col("id")
-    held = set(sampling_order(model.network))
-    return codes.select(*[(decoded(c, F.col(f"`{c.name}`"), seed, row, timestamps) if c.name in held else independent_value(c, n, seed, row, False, timestamps)).alias(c.name) for c in model.columns.values()])
+    row, order = F.col("id"), model.sampling_order
+
+    def value(c: ColumnModel) -> Made:
+        if c.name not in order:
+            return independent_value(c, n, seed, row, False, timestamps)
+        code = F.col(f"n{order.index(c.name)}")
+        return Made(c, code, "code", shown(c, timestamps)) if c.dictionary else Made(c, decoded(c, code, seed, row, timestamps))
+
+    return filled(sampled_codes(rows, model, seed), [value(c) for c in model.columns.values()])

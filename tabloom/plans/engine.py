@@ -10,7 +10,7 @@ from tabloom.operators import bayesnet, cpt, distribution, generate, report
 from tabloom.operators.encode import encode
 from tabloom.operators.profile import THRESHOLD, profile
 from tabloom.plans.model import TableModel
-from tabloom.sources.tables import drop_empty_columns
+from tabloom.sources.tables import drop_empty_columns, kept
 
 MODES = ("random", "independent", "correlated")
 
@@ -61,10 +61,12 @@ def describe(df: DataFrame, config: Config | None = None, **options: object) ->
     coded = encode(df, model)
     tuples = bayesnet.collapsed(coded).persist()
     try:
-        has_missing = {n: model.columns[n].missing_rate > 0 for n in model.network_attributes}
-        cards = {n: len(model.columns[n].distribution_bins) + has_missing[n] for n in model.network_attributes}
+        cards = {n: model.codes_of(n) for n in model.network_attributes}
         model.network = bayesnet.learn(coded, c.degree, part, c.seed, c.root, tuples)
-        model.conditional = cpt.fitted(tuples, model.network, cards, part, c.seed)
+        if cpt.cells(model.network, cards) <= cpt.LISTED:
+            model.conditional = cpt.fitted(tuples, model.network, cards, part, c.seed)
+        else:
+            model.tables = kept(cpt.numbered(cpt.tables(tuples, model.network, cards, part, c.seed), model.network, cards))
     finally:
         tuples.unpersist()
     distribution.add_noise(model, df, one, c.seed)

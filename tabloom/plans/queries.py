@@ -7,13 +7,12 @@ so doubles that come from them are rounded on both sides.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.rng import laplace_sql, letters_sql, uniform_here, uniform_sql
+from tabloom.functions.rng import laplace_sql, letters_sql, shuffled_sql, uniform_here, uniform_sql
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING
 from tabloom.operators import bayesnet, cpt, distribution, generate, report
 from tabloom.operators import information as info
@@ -21,7 +20,8 @@ from tabloom.operators.encode import code_of, encode
 from tabloom.operators.profile import binary_columns, categorical_columns, infer_types, meta_frame, missing_rates, numeric_columns, profile, profile_frame
 from tabloom.plans.engine import Config, describe, run, sample
 from tabloom.plans.model import ColumnModel, TableModel
-from tabloom.sources.tables import empty_columns, preview, read_csv, write_csv
+from tabloom.sources.store import read_model, write_model
+from tabloom.sources.tables import empty_columns, preview, read_csv, scratch, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,6 +339,43 @@ def encode_datetime(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("o_orderkey", code_of(df, _fitted(df.select("o_orderdate")).columns["o_orderdate"]).alias("code"))
 
 
+_MANY = {"key": "o_orderkey", "large": "o_orderkey * 1e7::DOUBLE + 0.5::DOUBLE", "small": "o_orderkey / 1e5::DOUBLE", "day": "o_orderdate", "name": "'order ' || o_orderkey"}
+
+
+def _many(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of thousands of values: numbers near and far from zero, times and text."""
+    key = F.col("o_orderkey")
+    return read(spark, sf, "orders").select(key.alias("key"), (key * F.lit(1e7) + 0.5).alias("large"), (key / F.lit(1e5)).alias("small"), F.col("o_orderdate").alias("day"), F.concat(F.lit("order "), key).alias("name"))
+
+
+def _many_fitted(df: DataFrame) -> TableModel:
+    return _fitted(df, categorical=dict.fromkeys(_MANY, True), keys=dict.fromkeys(_MANY, False), types={"large": FLOAT, "small": FLOAT, "name": STRING, "key": INTEGER})
+
+
+@query("SELECT " + ", ".join(f"(dense_rank() OVER (ORDER BY {x}) - 1)::INT AS {c}" for c, x in _MANY.items()) + " FROM orders")
+def encode_many_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of columns whose categories are dictionaries; each value is found by its own type."""
+    df = _many(spark, sf)
+    return encode(df, _many_fitted(df), list(_MANY))
+
+
+def _many_drawn_sql(c: str, x: str, shown: str) -> str:
+    """A CTE (id, c) of values drawn by exact running counts, as many as the table has rows."""
+    return f"""{c}_c AS (SELECT value, sum(n) OVER (ORDER BY value) - n AS low FROM (SELECT {x} AS value, count(*) AS n FROM orders GROUP BY 1)),
+    {c}_r AS (SELECT id, least(floor({uniform_sql(8, f"gen:{c}", "id")} * n), n - 1)::BIGINT AS at FROM rows, s),
+    {c}_d AS (SELECT r.id, {shown} AS {c} FROM {c}_r r ASOF JOIN {c}_c d ON r.at >= d.low)"""
+
+
+@query("WITH s AS (SELECT count(*) AS n FROM orders), rows AS (SELECT range AS id FROM range((SELECT n FROM s))), "
+    + ", ".join(_many_drawn_sql(c, x, "epoch(d.value)::BIGINT" if c == "day" else "round(d.value, 6)" if c in ("large", "small") else "d.value") for c, x in _MANY.items())
+    + " SELECT " + ", ".join(_MANY) + " FROM rows " + " ".join(f"JOIN {c}_d USING (id)" for c in _MANY))
+def gen_many_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Values drawn from dictionaries."""
+    df = _many(spark, sf)
+    model = _many_fitted(df)
+    return rounded(generate.independent_mode(spark.range(model.num_tuples), model.num_tuples, model, seed=8), "large", "small", digits=6)
+
+
 # Information
 
 
@@ -427,10 +464,18 @@ def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame([(n, bayesnet.sensitivity(n, two, [False, False]), two) for two in (True, False)], "n long, sensitivity double, is_binary boolean"), "sensitivity", digits=12)
 
 
-@query("SELECT * FROM (VALUES (7, 32561, 3), (3, 1000, 1), (20, 1000, 3), (10, 200000, 3), (5, 3000, 2), (10, 8000, 2)) t(attributes, n, k)")
+_SIZED = ("customer", "supplier", "part", "orders", "lineitem", "conversations", "events")
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tab, (SELECT count(*) FROM (DESCRIBE {t})) AS d, (SELECT count(*) FROM {t}) AS n" for t in _SIZED) + """),
+u AS (SELECT tab, d, n, k, n * 0.1::DOUBLE / ((d - k) * 2.0::DOUBLE ** (k + 3)) AS useful FROM s, range(-49, 64) t(k) WHERE k <= d - 2 OR (k = 3 AND d > 3)),
+f AS (SELECT tab, d, n, coalesce(max(useful) FILTER (k = 3), 0) AS three, min(k) FILTER (useful < 4) AS k FROM u GROUP BY ALL)
+SELECT tab, d::INT AS attributes, n, (CASE WHEN three > 4 OR k IS NULL OR k < 1 THEN 3 ELSE k END)::INT AS k FROM f""")
 def degree_k(spark: SparkSession, sf: str) -> DataFrame:
-    cases = [(7, 32561), (3, 1000), (20, 1000), (10, 200000), (5, 3000), (10, 8000)]
-    return spark.createDataFrame([(d, n, bayesnet.degree(d, n)) for d, n in cases], "attributes int, n int, k int")
+    """The number of parents that each table can afford."""
+    tables = {t: read(spark, sf, t) for t in _SIZED}
+    sizes = [(t, len(df.columns), df.count()) for t, df in tables.items()]
+    return spark.createDataFrame([(t, d, n, bayesnet.degree(d, n)) for t, d, n in sizes], "tab string, attributes int, n long, k int")
 
 
 _NET = ["lang", "source", "quality", "toxic"]
@@ -597,17 +642,24 @@ def gen_key_float(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_made(spark, profile(read(spark, sf, "customer")).columns["c_acctbal"], key=True), "value")
 
 
-_PREFIX = "".join(chr(97 + int(uniform_here(3, "prefix:code", i) * 26)) for i in range(int(3 + uniform_here(3, "key:code", 0) * 7)))
+def _keys_of(spark: SparkSession, model: TableModel, name: str) -> DataFrame:
+    """As many keys of a column as its table has rows."""
+    n = model.num_tuples
+    return spark.range(n).select("id", generate.key_values(model.columns[name], n, 3, F.col("id")).alias("value"))
 
 
-@query(f"SELECT id, '{_PREFIX}' || id AS value FROM {_ROWS}")
+@query(f"""WITH s AS (SELECT count(*) AS n, min(length(c_name)) AS lo, max(length(c_name)) AS hi FROM customer),
+p AS (SELECT n, array_to_string(list_transform(range(0, floor(lo + CASE WHEN hi > lo THEN {uniform_sql(3, "key:c_name", "0")} * (hi - lo + 1) ELSE 0 END)::BIGINT), lambda i: chr(97 + floor({uniform_sql(3, "prefix:c_name", "i")} * 26)::INT)), '') AS prefix FROM s)
+SELECT range AS id, prefix || range AS value FROM p, range((SELECT n FROM s))""")
 def gen_key_string(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, ColumnModel("code", STRING, False, True, min=3, max=9), key=True)
+    return _keys_of(spark, profile(read(spark, sf, "customer").select("c_name"), keys={"c_name": True}), "c_name")
 
 
-@query(f"SELECT id, substr(z, 1, 3) || '-' || substr(z, 4, 2) || '-' || substr(z, 6, 4) AS value FROM (SELECT id, lpad(floor(((id * {generate.coprime(MADE)} + 11) % {MADE}) * {(10**9 - 1) / (MADE - 1)!r}::DOUBLE)::BIGINT::VARCHAR, 9, '0') AS z FROM {_ROWS})")
+@query(f"""WITH s AS (SELECT count(*) AS n FROM customer), k AS ({shuffled_sql("range", "SELECT count(*) FROM customer", "range((SELECT count(*) FROM customer))", 3, "key:ssn")})
+SELECT id, substr(z, 1, 3) || '-' || substr(z, 4, 2) || '-' || substr(z, 6, 4) AS value FROM (SELECT id, lpad(floor(place * (999999999::DOUBLE / greatest(n - 1, 1)))::BIGINT::VARCHAR, 9, '0') AS z FROM k, s)""")
 def gen_key_ssn(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, ColumnModel("ssn", SSN, False, True, min=1, max=999_999_999), key=True)
+    """Numbers spread over the whole range, in an order that the seed picks."""
+    return _keys_of(spark, profile(_with_ssn(spark, sf).select("ssn"), keys={"ssn": True}), "ssn")
 
 
 @query(f"SELECT id, floor(lo + id * ((hi - lo) / {MADE}))::BIGINT AS value FROM {_ROWS}, (SELECT min(epoch(o_orderdate))::DOUBLE AS lo, max(epoch(o_orderdate))::DOUBLE AS hi FROM orders)")
@@ -700,6 +752,52 @@ def gen_correlated_missing(spark: SparkSession, sf: str) -> DataFrame:
     return generate.correlated_mode(generate.rows_of(spark, MADE), MADE, model, seed=3).select("id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
 
 
+def _stored(spark: SparkSession, sf: str) -> TableModel:
+    """A network with a parent of thousands of codes, written to the shared folder and opened again."""
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
+    model = _fitted(df, categorical={"l_orderkey": True}, keys={"l_orderkey": False})
+    model.network = [("l_returnflag", ["l_orderkey"])]
+    cards = {c: model.codes_of(c) for c in ("l_orderkey", "l_returnflag")}
+    tuples = bayesnet.collapsed(encode(df, model, list(cards)))
+    model.tables = cpt.numbered(cpt.tables(tuples, model.network, cards), model.network, cards)
+    folder = scratch(spark)
+    write_model(spark, model, folder)
+    return read_model(spark, folder)
+
+
+_LINES = """c AS (SELECT l_orderkey, l_returnflag, dense_rank() OVER (ORDER BY l_orderkey) - 1 AS u, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS e FROM lineitem),
+cells AS (SELECT u, e, l_orderkey, l_returnflag FROM (SELECT DISTINCT u, l_orderkey FROM c), (SELECT DISTINCT e, l_returnflag FROM c)),
+j AS (SELECT u, e, any_value(cells.l_orderkey) AS l_orderkey, any_value(cells.l_returnflag) AS l_returnflag, count(c.u)::DOUBLE AS n FROM cells LEFT JOIN c USING (u, e) GROUP BY u, e),
+root AS (SELECT u, any_value(l_orderkey) AS l_orderkey, sum(n) / (SELECT sum(n) FROM j) AS p FROM j GROUP BY u),
+child AS (SELECT u, e, l_returnflag, n / sum(n) OVER (PARTITION BY u) AS p FROM j)"""
+
+
+@query(f"WITH {_LINES} SELECT 'l_orderkey' AS child, '' AS parents, u::INT AS code, round(p, 12) AS p FROM root UNION ALL SELECT 'l_returnflag', u::VARCHAR, e::INT, round(p, 12) FROM child")
+def model_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The conditional tables of a stored model, joined from where they lie."""
+    model = _stored(spark, sf)
+    cards = {c: model.codes_of(c) for c in model.sampling_order}
+    found = cpt.spelled(model.tables, model.network, cards)
+    return rounded(found.select("child", F.concat_ws(",", F.col("parent_codes").cast("array<string>")).alias("parents"), "code", "p"), "p", digits=12)
+
+
+def _at_sql(stream: str) -> str:
+    return f"least(floor({uniform_sql(9, stream, 'id')} * {generate.POSITIONS}), {generate.POSITIONS - 1})::BIGINT"
+
+
+@query(f"""WITH {_LINES}, rows AS (SELECT range AS id FROM range((SELECT count(*) FROM lineitem))),
+r AS (SELECT l_orderkey, u, sum(w) OVER (ORDER BY u) - w AS low FROM (SELECT *, floor(p * {generate.POSITIONS})::BIGINT AS w FROM root) WHERE w > 0),
+k AS (SELECT u, l_returnflag, low FROM (SELECT *, sum(w) OVER (PARTITION BY u ORDER BY e) - w AS low, e = max(e) OVER (PARTITION BY u) AS is_last FROM (SELECT *, floor(p * {generate.POSITIONS})::BIGINT AS w FROM child)) WHERE w > 0 OR (is_last AND low < {generate.POSITIONS})),
+a AS (SELECT id, {_at_sql("gen:l_orderkey")} AS at, {_at_sql("gen:l_returnflag")} AS then_at FROM rows),
+b AS (SELECT id, then_at, l_orderkey, u FROM a ASOF JOIN r ON a.at >= r.low)
+SELECT id, l_orderkey::BIGINT AS l_orderkey, l_returnflag FROM b ASOF JOIN k ON b.u = k.u AND b.then_at >= k.low""")
+def synth_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a stored model: codes drawn by joins with its tables, values by joins with its dictionaries."""
+    model = _stored(spark, sf)
+    model.columns = {"id": ColumnModel("id", INTEGER, False, True), **model.columns}
+    return sample(spark, model, seed=9)
+
+
 @query()
 def synth_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Correlated mode from end to end: as many rows as the original, without noise."""
@@ -867,18 +965,10 @@ def job_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames["o_orderpriority"], "original", "synthetic")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a local one only where none is named and Spark is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-
-
 @query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS p_type FROM part")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A table written as CSV, with a null token in one column, and read again with its types found."""
-    path = _scratch(spark)
+    path = scratch(spark)
     df = read(spark, sf, "part").withColumn("p_type", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise("1.#QNAN"))
     write_csv(df, path)
     return read_csv(spark, path)

@@ -144,6 +144,99 @@ def test_many_categories_are_joined(spark):
     assert coded.select("x").distinct().count() == 1500 and coded.agg(F.max("x")).first()[0] == 1499
 
 
+def test_dictionaries_lose_nothing(spark):
+    """Doubles far from and near to zero, times, text and missing values, with 1,500 and 60,000 categories each."""
+    for n in (900, 1500, 60_000):
+        x = F.col("id") % n
+        df = spark.range(2 * n).select((x * F.lit(1e7) + 0.5).alias("large"), (x / 1e5).alias("small"), F.timestamp_seconds(x * 977).alias("time"), F.when(x % 10 > 0, F.concat(F.lit("v"), x)).alias("text"), (F.col("id") % 2).alias("y"))
+        model = distribution.fit(df, profile(df, categorical=dict.fromkeys(("large", "small", "time", "text"), True)))
+        sizes = {c: model.columns[c].size for c in df.columns}
+        assert sizes == {"large": n, "small": n, "time": n, "text": n - n // 10, "y": 2}
+        assert (model.columns["large"].dictionary is not None) == (n > 1000)
+        coded = encode(df, model, df.columns)
+        found = coded.agg(*[F.count_distinct(c) for c in df.columns], *[F.max(c) for c in df.columns]).first()
+        assert list(found)[:5] == [n, n, n, n - n // 10 + 1, 2] and list(found)[5:] == [n - 1, n - 1, n - 1, n - n // 10, 1]
+        made = sample(spark, model, 500, "independent", seed=3, emit_missing=True, timestamps=True)
+        for c in df.columns:
+            assert made.select(c).where(f"{c} is not null").join(df.select(c).distinct(), c, "left_anti").count() == 0
+        assert 20 < made.where("text is null").count() < 90 and dict(made.dtypes)["time"] == "timestamp"
+        flat = sample(spark, distribution.uniform_domain(model, df), 300, "random")
+        assert flat.where("small is null").count() == 0 and flat.select("small").distinct().count() > 200
+
+
+def test_lists_and_dictionaries_agree(spark, monkeypatch):
+    df = spark.range(4000).select(((F.col("id") * 37) % 40 / 8).alias("x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), F.col("id") % 17)).alias("c"), F.lit("clash").alias("value"))
+    kinds = {"categorical": dict.fromkeys(("x", "c", "value"), True)}
+    by_list = distribution.fit(df, profile(df, **kinds), domains={"c": ["zz", "n3"]})
+    codes = sorted(rows(encode(df, by_list)), key=str)
+    for module in ("tabloom.operators.distribution", "tabloom.operators.encode"):
+        monkeypatch.setattr(f"{module}.IN_PLAN", 2)
+    assert sorted(rows(encode(df, by_list)), key=str) == codes  # long lists of an old model are joined too
+    by_table = distribution.fit(df, profile(df, **kinds), domains={"c": ["zz", "n3"]})
+    assert [c.dictionary is not None for c in by_table.columns.values()] == [True, True, False]
+    assert sorted(rows(encode(df, by_table)), key=str) == codes
+    a, b = (distribution.add_noise(m, df, 0.5, 3) for m in (by_list, by_table))
+    for name in ("x", "c"):
+        table = a.columns[name]
+        got = {r.value: r.p for r in b.columns[name].dictionary.table.collect()}
+        assert got == pytest.approx(dict(zip(table.distribution_bins, table.distribution_probabilities, strict=True)))
+    made = [sample(spark, m, 2000, "independent", seed=4) for m in (a, b)]
+    assert sorted(rows(made[0]), key=str) == sorted(rows(made[1]), key=str)
+
+
+def test_networks_as_tables_and_lists_agree(spark, docs, monkeypatch, tmp_path):
+    from tabloom.sources.store import read_model, write_model
+
+    options = {"epsilon": 1, "degree": 2, "root": "lang", "seed": 4}
+    listed = describe(docs, Config(**options))
+    monkeypatch.setattr(cpt, "LISTED", 0)
+    tabled = describe(docs, Config(**options))
+    assert listed.tables is None and not tabled.conditional and tabled.network == listed.network
+    want = sorted(rows(sample(spark, listed, 2000, seed=5)), key=str)
+    assert sorted(rows(sample(spark, tabled, 2000, seed=5)), key=str) == want
+    with pytest.raises(ValueError):
+        tabled.save(str(tmp_path / "no.json"))
+    for k, model in enumerate((listed, tabled)):
+        write_model(spark, model, str(tmp_path / f"model{k}"))
+        again = read_model(spark, str(tmp_path / f"model{k}"))
+        assert sorted(rows(sample(spark, again, 2000, seed=5)), key=str) == want
+        cards = {c: again.codes_of(c) for c in again.sampling_order}
+        got = {(r.child, tuple(r.parent_codes), r.code): r.p for r in cpt.spelled(again.tables, again.network, cards).collect()}
+        assert got == {(c, tuple(codes), i): p for c, table in listed.conditional.items() for codes, ps in table for i, p in enumerate(ps)}
+
+
+def test_a_network_of_millions_of_cells(spark, tmp_path):
+    from tabloom.sources.store import read_model, write_model
+
+    n = 3000  # two parents of 3,000 and 1,000 codes and a binary child: six million cells, never on the driver
+    df = spark.range(6000).select((F.col("id") % n * 1.5).alias("a"), (F.col("id") % 1000).alias("b"), F.when(F.col("id") % 7 < 3, "x").otherwise("y").alias("c"))
+    model = distribution.fit(df, profile(df, categorical=dict.fromkeys("abc", True)))
+    model.network = [("b", ["a"]), ("c", ["b", "a"])]
+    cards = {k: model.codes_of(k) for k in "abc"}
+    assert cpt.cells(model.network, cards) == 3000 + 3_000_000 + 6_000_000
+    tuples = bayesnet.collapsed(encode(df, model, ["a", "b", "c"]))
+    model.tables = cpt.numbered(cpt.tables(tuples, model.network, cards), model.network, cards)
+    write_model(spark, model, str(tmp_path / "m"))
+    again = read_model(spark, str(tmp_path / "m"))
+    assert again.tables.count() == 9_003_000
+    made = sample(spark, again, 3000, seed=2)
+    # Every instance that was seen has one outcome, so all rows made are rows of the table.
+    assert made.count() == 3000 and made.join(df.distinct(), ["a", "b"], "left_anti").count() == 0
+    assert made.select("a").distinct().count() > 1500
+
+
+def test_permutations(spark):
+    from tabloom.functions.rng import shuffled
+
+    for n in [*range(1, 40), 1000, 4097]:
+        got = [r[0] for r in spark.range(n).select(shuffled(F.col("id"), n, 5, "t")).collect()]
+        assert sorted(got) == list(range(n))
+    n = 1_000_000
+    both = spark.range(n).select(F.col("id"), shuffled(F.col("id"), n, 1, "t").alias("a"), shuffled(F.col("id"), n, 2, "t").alias("b"))
+    found = both.agg(F.count_distinct("a"), F.count_distinct("b"), F.min("a"), F.max("b"), F.sum((F.col("a") == F.col("b")).cast("int")), F.corr("a", "b"), F.corr("id", "a")).first()
+    assert list(found)[:4] == [n, n, 0, n - 1] and found[4] < 20 and abs(found[5]) < 0.01 and abs(found[6]) < 0.01
+
+
 def test_kl_and_ks(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, None)], "c string, v double")
     b = spark.createDataFrame([("x", 1.0), ("z", 3.0)], "c string, v double")
@@ -161,7 +254,7 @@ def test_degree():
 
 def test_space_is_bounded(spark):
     with pytest.raises(ValueError):
-        cpt.code_space(spark.range(1), {f"c{i}": 100 for i in range(5)})
+        cpt.code_space(spark.range(1), {f"c{i}": 100 for i in range(10)})
 
 
 def test_keys(spark):
