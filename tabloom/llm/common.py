@@ -48,6 +48,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits of the map of keys in ``maybe_among``: 64 in a row, so 2**19 rows and about 8 MB at most.
 KEY_BITS = 1 << 25
 

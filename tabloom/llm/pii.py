@@ -10,7 +10,9 @@ prefix sums over both by doubling steps, so a text with very many matches costs
 no shuffle, and a row stays a row. The patterns are the contract's with possessive quantifiers and
 anchors that skip starts that cannot match, so that a long run of letters or digits is read once.
 
-A null text is an empty one and has no spans. Positions are code points, from 0, ends exclusive.
+A null text is an empty one and has no spans. Positions are code points, from 0, ends exclusive. Of
+equal starts no two spans of a kind exist, as matches do not overlap. Repeated rows and ids are
+independent. All columns of the input stay, whatever their names, but for one named like the output.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table
+from tabloom.llm.common import free_names, table
 
 KEEP = 0.6
 #: Code points before and after a span that are searched for its context words.
@@ -111,30 +113,32 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     """Add ``out_col``: an array of (kind, start, end, score), by kind in the order of KINDS, then start."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
-    found = df.withColumns({f"__found_{k.name}": F.when(text.rlike(k.hint), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in KINDS})
-    each = [F.when(F.size(f"__found_{k.name}") > 0, _spans(text, k, F.col(f"__found_{k.name}"))).otherwise(F.expr(_EMPTY)) for k in KINDS]
-    return found.withColumn(out_col, F.concat(*each)).drop(*[f"__found_{k.name}" for k in KINDS])
+    names = free_names(df, [f"__found_{k.name}" for k in KINDS])
+    found = df.withColumns({n: F.when(text.rlike(k.hint), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for n, k in zip(names, KINDS, strict=True)})
+    each = [F.when(F.size(n) > 0, _spans(text, k, F.col(n))).otherwise(F.expr(_EMPTY)) for n, k in zip(names, KINDS, strict=True)]
+    return found.withColumn(out_col, F.concat(*each)).drop(*names)
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
     """Replace all spans in the text by ``[KIND]``; spans that overlap are replaced as one, by the first's kind."""
-    text, n = F.col(f"`{text_col}`"), F.size("__s")
-    out = df.withColumn("__s", F.array_sort(F.transform(spans_col, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))))
-    out = out.withColumn("__m", scan(F.transform("__s", lambda s: -s["back"]), n, lambda a, b: F.greatest(a, F.coalesce(b, F.lit(0).cast("long")))))
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("__s", i)["start"] >= F.get("__m", i - 1)))
-    out = out.withColumn("__f", F.when(n > 0, first).otherwise(F.expr("cast(array() as array<int>)")))
+    sorted_, merged, first_ = free_names(df, ["__s", "__m", "__f"])
+    text, n = F.col(f"`{text_col}`"), F.size(sorted_)
+    out = df.withColumn(sorted_, F.array_sort(F.transform(F.col(f"`{spans_col}`"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))))
+    out = out.withColumn(merged, scan(F.transform(sorted_, lambda s: -s["back"]), n, lambda a, b: F.greatest(a, F.coalesce(b, F.lit(0).cast("long")))))
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_, i)["start"] >= F.get(merged, i - 1)))
+    out = out.withColumn(first_, F.when(n > 0, first).otherwise(F.expr("cast(array() as array<int>)")))
 
     def until(j: Column) -> Column:
         """The end of the j-th merged span."""
-        return F.get("__m", F.coalesce(F.get("__f", j + 1), n) - 1)
+        return F.get(merged, F.coalesce(F.get(first_, j + 1), n) - 1)
 
     def piece(i: Column, j: Column) -> Column:
-        start, before = F.get("__s", i)["start"], F.when(j > 0, until(j - 1)).otherwise(F.lit(0).cast("long"))
-        return F.concat(F.substring(text, (before + 1).cast("int"), (start - before).cast("int")), F.lit("["), F.upper(F.get("__s", i)["kind"]), F.lit("]"))
+        start, before = F.get(sorted_, i)["start"], F.when(j > 0, until(j - 1)).otherwise(F.lit(0).cast("long"))
+        return F.concat(F.substring(text, (before + 1).cast("int"), (start - before).cast("int")), F.lit("["), F.upper(F.get(sorted_, i)["kind"]), F.lit("]"))
 
-    rest = F.substring(text, (until(F.size("__f") - 1) + 1).cast("int"), F.lit(2**31 - 1))
-    made = F.when(F.size("__f") > 0, F.concat(F.array_join(F.transform("__f", piece), ""), rest)).otherwise(text)
-    return out.withColumn(text_col, made).drop("__s", "__m", "__f")
+    rest = F.substring(text, (until(F.size(first_) - 1) + 1).cast("int"), F.lit(2**31 - 1))
+    made = F.when(F.size(first_) > 0, F.concat(F.array_join(F.transform(first_, piece), ""), rest)).otherwise(text)
+    return out.withColumn(text_col, made).drop(sorted_, merged, first_)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
