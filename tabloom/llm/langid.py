@@ -1,6 +1,6 @@
 """Operator 7: language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training takes, of each language, documents drawn by a hash of their id, PER_LANG of them in
+Training takes, of each language, documents drawn by a hash of id and text, PER_LANG of them in
 expectation (all, if there are fewer): a bound on the training rows, not on what is scored. Their
 n-grams of 1 to 3 code points of the lower-cased text are hashed into CELLS cells and counted by
 Spark for each language and cell. The smoothed log-probability matrix, CELLS by languages, is
@@ -8,7 +8,9 @@ broadcast, and batches of texts are scored sparsely in numpy: only the rows of c
 are read, and summed over each whole text.
 
 Null texts and texts without a letter give ``und`` with score 0; so does everything where no
-document has a language. Null languages are not learned; a null id hashes as the empty string.
+document has a language. Null languages are not learned; a null id is like any other, as the draw
+hangs on the text too: rows that are equal in both are drawn or left together. Languages have equal
+prior odds; of equally likely ones the first in order is taken. Texts are scored whole, at any length.
 """
 
 from __future__ import annotations
@@ -59,19 +61,19 @@ def ngram_cells(texts: list[str], cells: int = CELLS) -> tuple[list[np.ndarray],
     return out, starts
 
 
-def training_sample(docs: DataFrame, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
+def training_sample(docs: DataFrame, lang_col: str, id_col: str, text_col: str, per_lang: int) -> DataFrame:
     """Documents of each language whose hash is under the share that gives ``per_lang`` of them."""
     counts = docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()  # a row for each language, as the matrix has a column
     if len(counts) > MOST_LANGS:
         raise ValueError(f"{len(counts)} languages; at most {MOST_LANGS}")
     shares = docs.sparkSession.createDataFrame([(r[0], per_lang / r[1]) for r in counts], "__lang string, __share double")
-    u = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.lit("train"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     return docs.join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).where(u < F.col("__share")).drop("__lang", "__share")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, cells: int = CELLS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their log-probabilities with a last row of zeros for no n-gram."""
-    sample = training_sample(docs.select(F.col(id_col), F.col(lang_col), F.col(text_col)), lang_col, id_col, per_lang)
+    sample = training_sample(docs.select(F.col(id_col), F.col(lang_col), F.col(text_col)), lang_col, id_col, text_col, per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
