@@ -48,6 +48,8 @@ from tabloom.llm.common import Cache, chunks, discard, forget, maybe_among, save
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Postings of one block of hashes, about.
 BLOCK = 2_000_000
+#: Bits of a posted start.
+SHORT = 32
 #: Members walked around a hub at once, and of a block of a cluster, about, and hashes of their sets together.
 AROUND, SIDE, HASHES = 512, 256, 1_000_000
 #: One class in so many shows which hashes are hot: those posted about BLOCK / 16 times and more.
@@ -157,7 +159,7 @@ class Deal:
     """Which block a posting goes to: one by its hash, or, if the hash is hot, one of as many more by its class."""
 
     def __init__(self, postings: int, hot: tuple[np.ndarray, np.ndarray]) -> None:
-        self.blocks = max(1, -(-postings // BLOCK))
+        self.blocks, self.short = max(1, -(-postings // BLOCK)), SHORT
         self.hot, self.held = hot
 
     @property
@@ -183,28 +185,40 @@ def _range(x: np.ndarray, parts: int) -> np.ndarray:
 _POSTED = "block long, hashes binary, runs binary, classes binary, sizes binary"
 
 
+def _merged(flat: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """Of each owner, how many of its short hashes equal another of its own and will be counted as one."""
+    order = np.lexsort((flat, owner))
+    same = (flat[order][1:] == flat[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    return np.bincount(owner[order][1:][same], minlength=owners)
+
+
 def _packed(hashes: list[np.ndarray], classes: list[int], sizes: list[int], deal: Deal, short: bool = False) -> pa.RecordBatch:
-    """Postings of some classes as one row for each block of hashes that they reach; ``short`` ones have 32 bits of a hash."""
+    """Postings of some classes as one row for each block of hashes that they reach.
+
+    ``short`` ones have SHORT bits of a hash, and beside the size of a class, in its upper half, how many of its hashes these bits merge.
+    """
     counts = [len(h) for h in hashes]
     flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
-    names, of_size = np.array(classes, np.int64), np.array(sizes, np.int32)
+    names, of_size = np.array(classes, np.int64), np.array(sizes, np.int64 if short else np.int32)
     block = deal.block(flat, names[owner])
     order = np.argsort(block, kind="stable")
     flat, owner, block = flat[order], owner[order], block[order]
-    flat = flat.astype(np.uint32) if short else flat
+    flat = (flat & np.uint64((1 << deal.short) - 1)).astype(np.uint32) if short else flat
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     rows = []
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
         of, runs = np.unique(owner[lo:hi], return_counts=True)  # owners rise within a block
-        rows.append((int(block[lo]), flat[lo:hi].tobytes(), runs.astype(np.int32).tobytes(), names[of].tobytes(), of_size[of].tobytes()))
+        held = of_size[of] + (_merged(flat[lo:hi], np.repeat(np.arange(len(of)), runs), len(of)) << 32) if short else of_size[of]
+        rows.append((int(block[lo]), flat[lo:hi].tobytes(), runs.astype(np.int32).tobytes(), names[of].tobytes(), held.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["block", "hashes", "runs", "classes", "sizes"])
 
 
 def _post_starts(docs: DataFrame, size: int, bounds: Bounds, deal: Deal) -> DataFrame:
     """The first hashes of each class, once for each batch that holds it.
 
-    They only count what is shared, and 32 bits of two hashes within a block are seldom equal by
-    chance; a class that survives by that is found to have no partner later.
+    They only count what is shared, by SHORT bits of a hash within a block. Hashes of two classes that
+    agree in these by chance let a class survive that is found to have no partner later; those of one
+    class would count once, so their number goes along and is added to what is shared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +264,7 @@ def _shared(posted: DataFrame, deal: Deal, counts_only: bool) -> DataFrame:
                     yield from shared(got, now >= deal.blocks)
                     got = []
                 now, runs = block, np.frombuffer(r, np.int32)
-                got.append((np.frombuffer(h, np.uint32 if counts_only else np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int32), runs)))
+                got.append((np.frombuffer(h, np.uint32 if counts_only else np.uint64), np.repeat(np.frombuffer(c, np.int64), runs), np.repeat(np.frombuffer(s, np.int64 if counts_only else np.int32), runs)))
         if got:
             yield from shared(got, now >= deal.blocks)
 
@@ -279,7 +293,7 @@ def _shared(posted: DataFrame, deal: Deal, counts_only: bool) -> DataFrame:
         cuts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
         ends = np.r_[cuts[1:], len(classes)]
         if counts_only:
-            names, of_size, number = classes[cuts], sizes[cuts], (ends - cuts).astype(np.int32)
+            names, of_size, number = classes[cuts], (sizes[cuts] & 0xFFFFFFFF).astype(np.int32), (ends - cuts + (sizes[cuts] >> 32)).astype(np.int32)
             part = _range(_mixed(names.view(np.uint64)), deal.blocks)
             order = np.argsort(part, kind="stable")
             names, of_size, number, part = names[order], of_size[order], number[order], part[order]
