@@ -15,7 +15,9 @@ sentences that hold one and the number of the others.
 Scores are stretched so that the threshold that is best on the training documents is THRESHOLD.
 
 Null and empty texts have no sentence and score 0. Rows with a null label or id are not learned
-from; of several labels of a document the highest counts. Without both classes all scores are 0.
+from; of several labels of a document the highest counts, and of several texts the smallest. Ties of
+the hash go by the id, so reruns learn the same. Without both classes all scores are 0. Texts are
+scored whole, at any length; columns of the input stay but for those named like an output.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ MAX_DOCS = 3000
 #: Letters of the starts of longer words.
 STARTS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
-#: A candidate word is in so many documents of class 1, and in this share of them, and so many
-#: standard deviations above chance; a group of copies that share a wrong label stays below that.
-LEAST_DOCS, LEAST_SHARE, LEAST_Z = 4, 0.04, 5.0
+#: A candidate word is in so many documents of class 1, and so many standard deviations above
+#: chance; a small group of copies that share a wrong label stays below that.
+LEAST_DOCS, LEAST_Z = 12, 5.0
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 46 if c in b".!?\n" else 32 for c in range(256))
 _END = b"."
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -113,7 +115,7 @@ def candidates(bags: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     values, place, counts = np.unique(pairs % (CELLS + 1), return_inverse=True, return_counts=True)
     found, rate = np.bincount(place, weights=y[pairs // (CELLS + 1)]), y.mean()
     z = (found - counts * rate) / np.sqrt(counts * rate * (1 - rate))
-    return values[(found >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (z >= LEAST_Z)]
+    return values[(found >= LEAST_DOCS) & (z >= LEAST_Z)]
 
 
 def sentence_logits(bags: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rate = ones / n
     z = (F.col("ones") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     counted = sample.select("text", "y").mapInArrow(count, "cell int, n long, ones long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    found = counted.where((F.col("ones") >= max(LEAST_DOCS, LEAST_SHARE * ones)) & (z >= LEAST_Z)).select("cell").collect()
-    cells = np.sort(np.array([r.cell for r in found], np.int64))  # each is in LEAST_SHARE of the documents of class 1, so they are few
+    found = counted.where((F.col("ones") >= LEAST_DOCS) & (z >= LEAST_Z)).select("cell").collect()
+    cells = np.sort(np.array([r.cell for r in found], np.int64))  # CELLS at most, each in LEAST_DOCS of the sample
 
     def reduced(columns: list[pa.Array]) -> list:
         texts = columns[0].to_pylist()

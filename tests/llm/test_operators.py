@@ -166,6 +166,17 @@ def test_pii_redaction(spark):
     assert [r.text for r in pii.redact(pii.find_spans(df)).collect()] == ["x [EMAIL] y [PHONE] z", None, "plain"]
 
 
+def test_pii_keeps_columns_of_its_own_names(spark):
+    names = ["doc_id", "__found_email", "__FOUND_ip", "__s", "__m", "__f", "__s_", "a.b"]
+    df = spark.createDataFrame([(k, *names[1:], "mail a@b.cd or 10.2.3.4") for k in (1, 1, None)], [*names, "text"])
+    found = pii.find_spans(df)
+    hidden = pii.redact(found)
+    assert found.columns == [*df.columns, "pii"] == hidden.columns
+    assert [tuple(r)[1:9] for r in hidden.collect()] == [(*names[1:], "mail [EMAIL] or [IP]")] * 3
+    ours = pii.redact(pii.find_spans(df, out_col="a.c"), spans_col="a.c")
+    assert ours.columns == [*df.columns, "a.c"] and {r.text for r in ours.collect()} == {"mail [EMAIL] or [IP]"}
+
+
 def test_pii_is_native(docs):
     plan = pii.find_spans(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -314,6 +325,16 @@ def test_toxicity_is_a_noisy_or():
     assert np.allclose(once.weights, model.weights, atol=1e-6)  # the order of rows, and so ties, change nothing
 
 
+def test_toxicity_learns_rare_words():
+    # A word in 1 % of the documents of class 1 is a candidate, one in a few copies with a wrong label is not.
+    texts = [f"plain words of document {i}" + " zorgle" * (i < 15) + " common" * (i < 700) + " copied" * (1500 <= i < 1520 or 15 <= i < 25) for i in range(3000)]
+    labels = np.array([1] * 1500 + [0] * 1500)
+    found = set(toxicity.candidates(toxicity.sentence_cells(texts), labels).tolist())
+    assert not set(toxicity._cells(b"copied")) & found and toxicity._cells(b"common")[0] in found
+    more = set(toxicity.candidates(toxicity.sentence_cells([t + " zorgle" * (i < 45) for i, t in enumerate(texts)]), labels).tolist())
+    assert toxicity._cells(b"zorgle")[0] in more
+
+
 def test_toxicity_knows_words_by_their_starts(spark):
     rng = random.Random(2)
     ends = ["a", "el", "on", "ich", "est", "ung", "ar", "is"]
@@ -384,6 +405,15 @@ def test_language_is_naive_bayes(spark):
     assert langid.classify(["abc"], langs, tied) == (["de"], [pytest.approx(1 / 3)])  # of equals the first
 
 
+def test_language_draws_by_id_and_text(spark):
+    rows = [(k % 3 == 0 and 7 or None, f"a text of number {k}", "en") for k in range(4000)] + [(7, f"un texte {k}", "fr") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = {r.lang: r["count"] for r in langid.training_sample(docs, "lang", "doc_id", "text", 400).groupBy("lang").count().collect()}
+    assert 320 < drawn["en"] < 480 and drawn["fr"] == 40
+    held = docs.withColumns({"__lang": F.lit("x"), "__share": F.lit(9)})
+    assert langid.train(held, per_lang=400)[0] == ["en", "fr"]
+
+
 def test_language_odd(odd, none):
     langs, logs = langid.train(odd.select("doc_id", "text", "lang"))
     out = langid.add_language(odd, langs, logs).select("text", "lang_pred", "score").collect()
@@ -526,6 +556,17 @@ def test_near_groups_with_hot_hashes(spark, monkeypatch, sample):
     assert sorted(map(tuple, jaccard.near_groups(df).collect())) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("bits", [3, 9])
+def test_near_groups_when_short_hashes_meet(spark, monkeypatch, bits):
+    # Hashes of one class that agree in the bits sent are counted as many, so none of its partners is lost.
+    monkeypatch.setattr(jaccard, "SHORT", bits)
+    rows = near_rows(seed=8, n=160)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.near_groups(df).collect())) == brute_groups(rows)
+    flat, owner = np.array([5, 5, 5, 7, 5, 9], np.uint32), np.array([0, 0, 1, 1, 1, 2])
+    assert jaccard._merged(flat, owner, 4).tolist() == [1, 1, 0, 0]
+
+
 def test_no_block_gets_all_of_a_hot_hash():
     rng = np.random.default_rng(1)
     hot = np.sort(rng.integers(0, 2**63, 30, dtype=np.uint64))
