@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tabloom.functions.rng import laplace, uniform
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number
 from tabloom.operators.dictionary import built, kind_of, reweighted
-from tabloom.operators.ordered import quantiles, running
+from tabloom.operators.ordered import quantiles_of, running
 from tabloom.operators.profile import value
 from tabloom.plans.model import IN_PLAN, ColumnModel, TableModel
+from tabloom.sources.tables import kept
 
 BINS = 20
 
@@ -45,6 +46,7 @@ def categorical_distribution(df: DataFrame, name: str, logical: str = STRING, do
     if domain is not None:
         declared = df.sparkSession.createDataFrame([(v,) for v in domain], counts.select("value").schema)
         counts = counts.join(declared, "value", "full_outer").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = kept(counts)
     total = counts.agg(F.sum("n")).first()[0]
     placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one"})
     return placed.select((F.col("place") - 1).cast("long").alias("bin_idx"), "value", F.col("n").cast("long").alias("n"), (F.col("n") / float(total or 1)).alias("p"))
@@ -90,42 +92,54 @@ def bin_count(rule: str, n: int, lo: float, hi: float, q1: float, q3: float, std
     return max(1, math.ceil(span / (max(width, 1) if whole else width)))
 
 
-def statistics(df: DataFrame, x: Column) -> dict:
-    x = x.cast("double")
-    names = {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "std": F.stddev_pop(x), "skew": F.skewness(x), "whole": F.bool_and(x == F.floor(x))}
-    r = df.agg(*[e.alias(k) for k, e in names.items()]).first()
-    q1, q3 = quantiles(df, x, [0.25, 0.75])
-    return {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "q1": q1 or 0.0, "q3": q3 or 0.0, "std": r["std"] or 0.0, "skew": r["skew"] or 0.0, "whole": bool(r["whole"])}
+def statistics_of(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
+    """What the rules need of each column, all in three scans."""
+    xs = {n: x.cast("double") for n, x in columns.items()}
+    more = {}
+    for n, x in xs.items():
+        more |= {(n, "n"): F.count(x), (n, "lo"): F.min(x), (n, "hi"): F.max(x), (n, "std"): F.stddev_pop(x), (n, "skew"): F.skewness(x), (n, "whole"): F.bool_and(x == F.floor(x))}
+    q, r = quantiles_of(df, xs, [0.25, 0.75], more)
+    return {n: {"n": r[n, "n"], "lo": r[n, "lo"], "hi": r[n, "hi"], "q1": q[n][0] or 0.0, "q3": q[n][1] or 0.0, "std": r[n, "std"] or 0.0, "skew": r[n, "skew"] or 0.0, "whole": bool(r[n, "whole"])} for n in xs}
 
 
-#: Bin counts that Stone's rule tries in one job, over the distinct values.
-STONE_STEP = 100
+def statistics(df: DataFrame, x: Column) -> dict:
+    return statistics_of(df, {"x": x})["x"]
 
 
 def stone_bins(df: DataFrame, x: Column, stats: dict, most: int | None = None) -> int:
     """Stone's rule: the bin count with the least estimated risk, of 1 to max(100, sqrt(n)) or ``most``.
 
-    The table is read once, into its distinct values with their counts; counts to try go in steps.
+    The table is read once, into its distinct values with their counts. The inner edges of all bin
+    counts, about n / 2 with the default, are merged with them in one order: the running count at an
+    edge is what lies below it, and a bin holds the difference of its edges.
     """
     n, span = stats["n"], (stats["hi"] or 0) - (stats["lo"] or 0)
     if n <= 1 or span <= 0:
         return 1
     most = most or max(100, int(math.sqrt(n)))
-    values = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("c")).persist()
-    bin_ = F.least(F.floor((F.col("x") - stats["lo"]) / span * F.col("k")), F.col("k") - 1)
-    risk = {}
-    for first in range(1, most + 1, STONE_STEP):
-        ks = F.sequence(F.lit(first), F.lit(min(first + STONE_STEP - 1, most)))
-        tried = values.withColumn("k", F.explode(ks)).groupBy("k", bin_.alias("b")).agg(F.sum("c").alias("c"))
-        risks = tried.groupBy("k").agg(F.sum((F.col("c") / n) * (F.col("c") / n)).alias("s")).collect()
-        risk |= {r.k: (2 - (n + 1) * r.s) / (span / r.k) for r in risks}
-    values.unpersist()
-    return min(risk, key=lambda k: (risk[k], k))
+    lo = F.lit(float(stats["lo"]))
+    none = F.lit(0)
+    values = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("c"))
+    edges_ = df.sparkSession.range(2, most + 1).select(F.col("id").cast("int").alias("k")).select("k", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("j"))
+    placed = edges_.select((F.col("j") * (F.lit(float(span)) / F.col("k")) + lo).alias("x"), none.alias("kind"), "k", "j", none.cast("bigint").alias("c"))  # before equal values, which lie in the bin that starts here
+    both = kept(values.select("x", F.lit(1).alias("kind"), none.alias("k"), none.alias("j"), "c").unionByName(placed))
+    below = running(both, ["x", "kind", "k", "j"], {"upto": "c"}).where("kind = 0").select("k", "j", "upto")
+    along = Window.partitionBy("k").orderBy("j")  # fewer rows than there are bin counts
+    inner = below.select("k", "upto", (F.col("upto") - F.lag("upto", 1, 0).over(along)).cast("double").alias("held"))
+    squares = inner.groupBy("k").agg((F.sum(F.col("held") / n * F.col("held") / n) + F.pow((n - F.max("upto")) / F.lit(float(n)), 2)).alias("s"))
+    squares = squares.unionByName(df.sparkSession.createDataFrame([(1, 1.0)], "k int, s double"))
+    risk = (2 - (n + 1) * F.col("s")) / (F.lit(float(span)) / F.col("k"))
+    return squares.select("k", risk.alias("risk")).orderBy("risk", "k").first()["k"]
+
+
+def auto_bins_of(df: DataFrame, columns: dict[str, Column], rule: str = "auto") -> dict[str, int]:
+    """The bin count of each column by a named rule."""
+    stats = statistics_of(df, columns)
+    return {n: stone_bins(df, x, stats[n]) if rule == "stone" else bin_count(rule, **stats[n]) for n, x in columns.items()}
 
 
 def auto_bins(df: DataFrame, x: Column, rule: str = "auto") -> int:
-    stats = statistics(df, x)
-    return stone_bins(df, x, stats) if rule == "stone" else bin_count(rule, **stats)
+    return auto_bins_of(df, {"x": x}, rule)["x"]
 
 
 def normalized(p: Column, over: Window) -> Column:
@@ -170,10 +184,11 @@ def fit(df: DataFrame, model: TableModel, bins: int | str = BINS, domains: dict[
         finally:
             counts.unpersist()
     if numbers:
+        xs = {c.name: as_number(value(df, c.name), df.schema[c.name].dataType, c.data_type) for c in numbers}
+        counts = auto_bins_of(df, xs, bins) if isinstance(bins, str) else dict.fromkeys(xs, bins)
         lefts = {}
         for c in numbers:
-            count = auto_bins(df, as_number(value(df, c.name), df.schema[c.name].dataType, c.data_type), bins) if isinstance(bins, str) else bins
-            lefts[c.name] = edges(float(c.min), float(c.max), count)
+            lefts[c.name] = edges(float(c.min), float(c.max), counts[c.name])
         pairs = []
         for c in numbers:
             x = as_number(value(df, c.name), df.schema[c.name].dataType, c.data_type).cast("double")

@@ -1,7 +1,8 @@
 """Running sums and quantiles along an order, by ranges of the order, so that no task has all rows.
 
 Ranges are cut at a bounded sample of the keys, those with the smallest hashes: the sample is the
-same for the same rows, and keys that repeat are cut between, never within.
+same for the same rows, and keys that repeat are cut between, never within. What is passed in is
+read up to three times; callers hand in counts that are written already.
 """
 
 from __future__ import annotations
@@ -10,23 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ranges, and keys on the driver to cut them at.
-RANGES, SAMPLE = 256, 10_000
+from tabloom.sources.tables import kept
+
+#: Ranges, keys on the driver to cut them at, and the letters of a text that a cut has.
+RANGES, SAMPLE, LETTERS = 256, 10_000, 200
 
 
 def range_of(df: DataFrame, key: Column) -> Column:
     """The number of a key's range, rising with the key; keys may be structs."""
-    found = df.select(key.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    kind = df.select(key.alias("k")).schema["k"].dataType
+
+    def short(x: Column, t: T.DataType) -> Column:
+        return F.substring(x, 1, LETTERS) if isinstance(t, T.StringType) else x
+
+    cut = F.struct(*[short(F.col("k")[f.name], f.dataType).alias(f.name) for f in kind]) if isinstance(kind, T.StructType) else short(F.col("k"), kind)
+    found = df.select(key.alias("k")).where("k is not null").select(cut.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     keys = sorted(r["k"] for r in found.collect())
-    cuts = keys[:: max(1, len(keys) // RANGES)][1:]
-    if not cuts:
+    if len(keys) < SAMPLE // 20:  # these are all, as cuts, and few rows need no ranges
         return F.lit(0)
+    cuts = keys[:: max(1, len(keys) // RANGES)][1:]
 
     def literal(k: object) -> Column:
         return F.struct(*[F.lit(v) for v in k]) if isinstance(k, tuple) else F.lit(k)
 
-    kind = T.ArrayType(df.select(key.alias("k")).schema["k"].dataType)
-    return F.size(F.filter(F.array(*[literal(c) for c in cuts]).cast(kind), lambda c: c <= key))
+    return F.size(F.filter(F.array(*[literal(c) for c in cuts]).cast(T.ArrayType(kind)), lambda c: c <= key))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, str], falling: tuple[str, ...] = ()) -> DataFrame:
@@ -44,16 +52,69 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str], falling: tupl
     return dealt.join(F.broadcast(ahead), "__part").select(*df.columns, *added)
 
 
-def quantiles(df: DataFrame, x: Column, shares: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours; nulls do not count."""
-    counts = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return [None] * len(shares)
-    at = [s * (total - 1) for s in shares]
-    found = running(counts, ["x"], {"upto": "n"}).agg(*[F.min(F.when(F.col("upto") > int(p) + k, F.col("x"))).alias(f"v{i}_{k}") for i, p in enumerate(at) for k in (0, 1)]).first()
-    out = []
-    for i, p in enumerate(at):
+#: Ranks in a sketch of a column's order, and rows up to which all values are counted in place of a bracket.
+RANKS, FEW = 10_000, 100_000
+#: Of a column and share, the values between which the rank that is sought lies.
+Bracket = tuple[float, float]
+ALL: Bracket = (float("-inf"), float("inf"))
+
+
+def _selected(df: DataFrame, xs: dict[tuple[str, float], Column], brackets: dict[tuple[str, float], Bracket], ranks: dict[tuple[str, float], int]) -> dict[tuple[str, float], list[float | None] | None]:
+    """The values at each rank and the next, from those within a bracket; None where the bracket misses one of them."""
+    asked = list(xs)
+    narrow = [k for k in asked if brackets[k] != ALL]
+    below = df.agg(*[F.count(F.when(xs[k] < brackets[k][0], 1)).alias(str(i)) for i, k in enumerate(narrow)]).first() if narrow else []
+    under = dict.fromkeys(asked, 0) | dict(zip(narrow, below, strict=True))
+    within = [F.when(xs[k].between(*brackets[k]), F.struct(F.lit(i).alias("i"), xs[k].alias("x"))) for i, k in enumerate(asked)]
+    counts = kept(df.select(F.explode(F.array_compact(F.array(*within))).alias("v")).groupBy("v.i", "v.x").agg(F.count("*").alias("n")))
+    held = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row for each column and share
+    ahead, start = {}, 0
+    for i in range(len(asked)):
+        ahead[i], start = start, start + held.get(i, 0)
+    places = [(i, k, r) for i, k in enumerate(asked) for r in (0, 1)]
+    found = running(counts, ["i", "x"], {"upto": "n"}).agg(*[F.min(F.when((F.col("i") == i) & (F.col("upto") > ahead[i] + ranks[k] - under[k] + r), F.col("x"))).alias(f"v{i}_{r}") for i, k, r in places]).first()
+    out = {}
+    for i, k in enumerate(asked):
         low, high = found[f"v{i}_0"], found[f"v{i}_1"]
-        out.append(low if high is None else low + (high - low) * (p - int(p)))
+        # The next value may be missing only if the bracket has no end.
+        out[k] = None if under[k] > ranks[k] or low is None or (high is None and brackets[k][1] != ALL[1]) else [low, low if high is None else high]
     return out
+
+
+def quantiles_of(df: DataFrame, columns: dict[str, Column], shares: list[float], more: dict[str, Column] | None = None) -> tuple[dict[str, list[float | None]], dict]:
+    """Exact quantiles of all columns, with linear interpolation between neighbours, and ``more`` aggregates; nulls and NaN do not count.
+
+    Three scans for any number of columns: a sketch of each order gives a bracket around each rank,
+    one counts what is below, and one counts the values inside, which alone are sorted: some
+    thousandths of the rows. A bracket that misses its rank is replaced by all values.
+    """
+    xs = {n: F.when(~F.isnan(x.cast("double")), x.cast("double")) for n, x in columns.items()}
+    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-3 / RANKS, 3 / RANKS)]
+    aggs = [e.alias(f"m{i}") for i, e in enumerate((more or {}).values())]
+    for i, x in enumerate(xs.values()):
+        aggs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, ends, RANKS).alias(f"q{i}")]
+    first = df.agg(*aggs).first()
+    extra = {name: first[f"m{i}"] for i, name in enumerate(more or {})}
+    brackets, at, ranks = {}, {}, {}
+    for i, name in enumerate(xs):
+        n = first[f"n{i}"]
+        for j, s in enumerate(shares if n else []):
+            at[name, s] = s * (n - 1)
+            ranks[name, s] = int(at[name, s])
+            q = first[f"q{i}"][2 * j : 2 * j + 2]
+            brackets[name, s] = ALL if n <= FEW else (ALL[0] if ends[2 * j] == 0 else q[0], ALL[1] if ends[2 * j + 1] == 1 else q[1])
+    values: dict[tuple[str, float], list | None] = {}
+    while missing := [k for k in ranks if values.get(k) is None]:
+        brackets |= {k: ALL for k in missing if k in values}
+        values |= _selected(df, {k: xs[k[0]] for k in missing}, brackets, ranks)
+
+    def between(k: tuple[str, float]) -> float:
+        low, high = values[k]
+        return low + (high - low) * (at[k] - ranks[k])
+
+    return {name: [between((name, s)) if (name, s) in values else None for s in shares] for name in xs}, extra
+
+
+def quantiles(df: DataFrame, x: Column, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of one column."""
+    return quantiles_of(df, {"x": x}, shares)[0]["x"]

@@ -2,17 +2,20 @@
 
 Two aggregations read the whole table; none expands rows by column. Distinct counts are approximate
 first, and exact where a decision hangs on them: small ones by a set for each column (map-side
-combined, and bounded, as the count is small), possible keys by a search for one repeated value.
+combined, and bounded, as the count is small), possible keys by one search for repeated values of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number, is_datetime, is_numeric, is_ssn, is_time, reject_nested
 from tabloom.plans.model import ColumnModel, TableModel
+from tabloom.sources.tables import kept
 
 THRESHOLD = 20
 
@@ -65,8 +68,39 @@ def exact_distinct(df: DataFrame, name: str) -> int:
     return df.select(value(df, name).alias("x")).where("x is not null").distinct().count()
 
 
-def has_repeats(df: DataFrame, name: str) -> bool:
-    return not df.select(value(df, name).alias("x")).where("x is not null").groupBy("x").count().where("count > 1").limit(1).isEmpty()
+#: One value in so many, by its hash, is looked at first when keys are sought.
+FIRST = 64
+
+
+def with_repeats(df: DataFrame, names: list[str]) -> set[str]:
+    """Those columns of whole numbers or text that have a value twice, of all named ones together.
+
+    A part of the values, picked by their hash, shows nearly all such columns at once. For the rest, one
+    shuffle of a hash for each value proves that hashes differ, and so values; equal hashes are compared
+    by value, for the columns that have any. Nulls do not count.
+    """
+
+    def values(asked: list[str], keep: Callable[[Column], Column], *more: Callable[[Column], Column]) -> DataFrame:
+        each = [F.when(x.isNotNull() & keep(F.xxhash64(x)), F.struct(F.lit(names.index(c)).alias("k"), F.xxhash64(x).alias("h"), *[m(x) for m in more])) for c in asked for x in [value(df, c)]]
+        return df.select(F.explode(F.array_compact(F.array(*each))).alias("v")).select("v.*")
+
+    def repeated(found: DataFrame, by: list[str]) -> set[str]:
+        return {names[r["k"]] for r in found.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select("k").distinct().collect()}
+
+    def text(x: Column) -> Column:
+        return x.cast("string").alias("x")
+
+    if not names:
+        return set()
+    out = repeated(values(names, lambda h: F.pmod(h, F.lit(FIRST)) == 0, text), ["k", "x"])
+    rest = [c for c in names if c not in out]
+    if not rest:
+        return out
+    same = kept(values(rest, lambda h: F.lit(True)).groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 1").select("k", "h"))
+    unsure = sorted(names[r["k"]] for r in same.select("k").distinct().collect())
+    if not unsure:
+        return out
+    return out | repeated(values(unsure, lambda h: F.lit(True), text).join(same, ["k", "h"], "left_semi"), ["k", "x"])
 
 
 def profile(df: DataFrame, threshold: int = THRESHOLD, types: dict[str, str] | None = None, categorical: dict[str, bool] | None = None, keys: dict[str, bool] | None = None, ranges: dict[str, tuple] | None = None) -> TableModel:
@@ -85,6 +119,8 @@ def profile(df: DataFrame, threshold: int = THRESHOLD, types: dict[str, str] | N
     found = df.agg(*aggs).first()
     near = [k for k in range(len(df.columns)) if found[f"d{k}"] <= 3 * threshold + 50]
     exact = df.agg(*[F.size(F.collect_set(value(df, df.columns[k]))).alias(f"d{k}") for k in near]).first() if near else {}
+    open_ = [c for k, c in enumerate(df.columns) if c not in keys and k not in near and kinds[c] not in (FLOAT, DATETIME) and found[f"v{k}"] and found["n"] - found[f"v{k}"] <= 1 and found[f"d{k}"] >= 0.7 * found[f"v{k}"]]
+    repeats = with_repeats(df, open_)
     columns = {}
     for k, c in enumerate(df.columns):
         present, distinct = found[f"v{k}"], exact[f"d{k}"] if k in near else found[f"d{k}"]
@@ -95,7 +131,7 @@ def profile(df: DataFrame, threshold: int = THRESHOLD, types: dict[str, str] | N
         elif k in near:
             key = distinct == present
         else:
-            key = distinct >= 0.7 * present and not has_repeats(df, c)
+            key = c in open_ and c not in repeats
         distinct = present if key and c not in keys else distinct
         lo, hi = ranges.get(c, (found[f"lo{k}"], found[f"hi{k}"])) if kinds[c] != STRING else (found[f"lo{k}"], found[f"hi{k}"])
         columns[c] = ColumnModel(c, kinds[c], categorical.get(c, distinct <= threshold), key, int(distinct), int(present), (found["n"] - present) / (found["n"] or 1), lo, hi)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.types import DATETIME, STRING, as_number
 from tabloom.operators.distribution import BINS, histogram
 from tabloom.operators.information import aligned_counts, nmi_matrix
-from tabloom.operators.ordered import quantiles, running
+from tabloom.operators.ordered import quantiles_of, running
 from tabloom.operators.profile import categorical_columns, numeric_columns, value
 from tabloom.plans.model import TableModel
 
@@ -117,13 +119,12 @@ def rank_points(df: DataFrame, order: str, score: str) -> DataFrame:
 
 def rank_summary(df: DataFrame, order: str, columns: list[str], first: int = 10) -> DataFrame:
     """(attr, top_max, top_median, top_min, all_max, all_median, all_min): the first rows against all."""
-    head = df.select(order, *columns).orderBy(order).limit(first)
-
-    def stats(frame: DataFrame, c: str) -> list[float | None]:
-        x = F.col(f"`{c}`").cast("double")
-        high, low = frame.agg(F.max(x), F.min(x)).first()
-        return [high, quantiles(frame, x, [0.5])[0], low]
-
-    rows = [(c, *stats(head, c), *stats(df, c)) for c in columns]
+    head = df.select(F.col(f"`{order}`"), *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).orderBy(F.col(f"`{order}`")).limit(first).collect()
+    xs = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    middle, ends = quantiles_of(df, xs, [0.5], {(c, k): f(x) for c, x in xs.items() for k, f in (("max", F.max), ("min", F.min))})
+    rows = []
+    for k, c in enumerate(columns):
+        some = [r[f"x{k}"] for r in head if r[f"x{k}"] is not None]
+        rows.append((c, max(some, default=None), median(some) if some else None, min(some, default=None), ends[c, "max"], middle[c][0], ends[c, "min"]))
     names = [f"{side}_{k} double" for side in ("top", "all") for k in ("max", "median", "min")]
     return df.sparkSession.createDataFrame(rows, ", ".join(["attr string", *names]))

@@ -241,8 +241,7 @@ SELECT attr, r.rule AS rule, ceil(span / CASE WHEN whole THEN greatest(r.w, 1) E
 """)
 def auto_bin_counts(spark: SparkSession, sf: str) -> DataFrame:
     df, out = read(spark, sf, "lineitem"), []
-    for attr in ("l_extendedprice", "l_quantity"):
-        stats = distribution.statistics(df, F.col(attr))
+    for attr, stats in distribution.statistics_of(df, {c: F.col(c) for c in ("l_extendedprice", "l_quantity")}).items():
         out += [(attr, rule, distribution.bin_count(rule, **stats)) for rule in ("auto", "fd", "sturges", "sqrt", "rice", "scott")]
     return spark.createDataFrame(out, "attr string, rule string, bins long")
 
@@ -261,8 +260,7 @@ SELECT attr, 'doane' AS rule, ceil(span / CASE WHEN whole THEN greatest(w, 1) EL
 def auto_bin_counts_searched(spark: SparkSession, sf: str) -> DataFrame:
     """The two rules that auto_bin_counts leaves out: Doane's and Stone's."""
     df, out = read(spark, sf, "lineitem"), []
-    for attr in ("l_extendedprice", "l_quantity"):
-        stats = distribution.statistics(df, F.col(attr))
+    for attr, stats in distribution.statistics_of(df, {c: F.col(c) for c in ("l_extendedprice", "l_quantity")}).items():
         out += [(attr, "doane", distribution.bin_count("doane", **stats)), (attr, "stone", distribution.stone_bins(df, F.col(attr), stats))]
     return spark.createDataFrame(out, "attr string, rule string, bins long")
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,6 +323,72 @@ def test_running_and_quantiles(spark):
     assert got == sorted(((r.n, r.value) for r in counts.collect()), key=lambda t: (-t[0], t[1]))
 
 
+def test_quantiles_of_many_columns(spark, monkeypatch):
+    import numpy as np
+
+    from tabloom.operators import ordered
+
+    n = 60_000
+    df = spark.range(n).select(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)) / 7).alias(f"x{k}") for k, m in enumerate((10**9, 1000, 3))], F.when(F.col("id") % 2 > 0, F.lit(5.0)).otherwise(F.lit(float("nan"))).alias("x3"), F.lit(None).cast("double").alias("x4"), F.when(F.col("id") < 3, F.col("id")).alias("x5")).repartition(6).cache()
+    table = df.toPandas()
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    names = [f"x{k}" for k in range(6)]
+    want = {c: [np.quantile(table[c].dropna(), s) for s in shares] if table[c].notna().any() else [None] * 5 for c in names}
+    for few in (100_000, 100):  # all values, and those within brackets
+        monkeypatch.setattr(ordered, "FEW", few)
+        got, more = ordered.quantiles_of(df, {c: F.col(c) for c in names}, shares, {"most": F.max("x1")})
+        assert {c: got[c] for c in names if c != "x4"} == {c: pytest.approx(want[c], rel=1e-12) for c in names if c != "x4"}
+        assert got["x4"] == [None] * 5 and more["most"] == table.x1.max()
+    calls = []
+    selected = ordered._selected
+
+    def misses(df, xs, brackets, ranks):
+        calls.append(len(xs))
+        return selected(df, xs, {k: (b[1], b[1]) if len(calls) == 1 and b[1] != float("inf") else b for k, b in brackets.items()}, ranks)
+
+    monkeypatch.setattr(ordered, "_selected", misses)
+    assert ordered.quantiles_of(df, {"x0": F.col("x0")}, [0.5])[0]["x0"] == pytest.approx([want["x0"][2]]) and calls == [1, 1]  # a bracket that misses is widened
+
+
+def jobs(spark, run):
+    """How many jobs of Spark something takes."""
+    tracker, group = spark.sparkContext.statusTracker(), uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    df = spark.range(3000).select(*[((F.col("id") * (2 * k + 1)) % 2999 / 3).alias(f"x{k}") for k in range(12)], F.col("id").alias("o")).cache()
+    df.count()
+    few, many = (jobs(spark, lambda m=m: report.rank_summary(df, "o", [f"x{k}" for k in range(m)]).collect()) for m in (2, 12))
+    assert many == few
+    few, many = (jobs(spark, lambda m=m: distribution.auto_bins_of(df, {f"x{k}": F.col(f"x{k}") for k in range(m)})) for m in (2, 12))
+    assert many == few
+
+
+def test_keys_of_many_columns(spark):
+    from tabloom.operators.profile import with_repeats
+
+    n = 20_000
+    df = spark.range(n).select(*[(F.when(F.col("id") == 5 + k, 6 + k).otherwise(F.col("id")) if k % 3 == 0 else F.concat(F.lit("v"), F.col("id") if k % 3 == 1 else F.floor(F.col("id") / 2)) if k % 3 else F.col("id")).alias(f"c{k}") for k in range(30)])
+    assert with_repeats(df, df.columns) == {f"c{k}" for k in range(30) if k % 3 != 1}
+    columns = profile(df, threshold=20).columns
+    assert [c for c, m in columns.items() if m.is_candidate_key] == [f"c{k}" for k in range(30) if k % 3 == 1]
+    assert with_repeats(df.limit(0), df.columns) == set() and with_repeats(df, []) == set()
+
+
+def test_stone_rule_is_the_library(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=40_000), rng.integers(0, 500, 3000).astype(float) / 8, np.r_[np.zeros(900), rng.exponential(size=4100)]):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        stats = distribution.statistics(df, F.col("x"))
+        assert distribution.stone_bins(df, F.col("x"), stats) == len(np.histogram_bin_edges(values, "stone")) - 1
+
+
 def test_draws_of_many(spark):
     p = [1 / 300] * 300
     u = uniform(1, "t", F.col("id"))
