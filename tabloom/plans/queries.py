@@ -963,6 +963,16 @@ def job_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(frames["o_orderpriority"], "original", "synthetic")
 
 
+@query(f"""WITH m AS ({ORACLES["gen_correlated"]}), o AS (SELECT 'turn' AS attr, turn::VARCHAR AS value, count(*) AS n FROM conversations GROUP BY ALL UNION ALL SELECT 'role', role, count(*) FROM conversations GROUP BY ALL),
+s AS (SELECT 'turn' AS attr, turn::VARCHAR AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'role', role, count(*) FROM m GROUP BY ALL)
+SELECT attr, value, round(o.n::DOUBLE / (SELECT count(*) FROM conversations), 9) AS original, round(coalesce(s.n, 0)::DOUBLE / {MADE}, 9) AS synthetic FROM o LEFT JOIN s USING (attr, value)""")
+def job_correlated(spark: SparkSession, sf: str) -> DataFrame:
+    """One job with a network: model, synthetic table and the comparison of each column."""
+    _, _, frames = run(read(spark, sf, "conversations").select("turn", "role"), Config(epsilon=0, degree=1, root="turn", rows=MADE, seed=3))
+    parts = [frames[c].select(F.lit(c).alias("attr"), "value", "original", "synthetic") for c in ("turn", "role")]
+    return rounded(parts[0].unionByName(parts[1]), "original", "synthetic")
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS p_type FROM part")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A table written as CSV, with a null token in one column, and read again with its types found."""

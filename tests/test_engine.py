@@ -368,6 +368,69 @@ def test_jobs_do_not_grow_with_columns(spark):
     assert many == few
 
 
+def test_reports_take_the_same_jobs_for_any_columns(spark):
+    df = spark.range(500).select(*[(F.col("id") * (k + 3) % 97 / 3).alias(f"x{k}") for k in range(6)], *[F.concat(F.lit("v"), F.col("id") % (k + 2)).alias(f"c{k}") for k in range(6)]).cache()
+    df.count()
+    taken = []
+    for m in (1, 6):
+        part = df.select(*[f"x{k}" for k in range(m)], *[f"c{k}" for k in range(m)])
+        model = profile(part)
+        taken.append([jobs(spark, f) for f in (lambda p=part, x=model: report.charts(p, x), lambda p=part, x=model: report.inspect(p, p, x), lambda p=part, x=model: report.before_after(p, p, x))])
+    assert taken[0] == taken[1]
+
+
+def test_reports_of_all_are_those_of_each(spark, docs):
+    df = docs.withColumn("side", F.lit("clash")).withColumn("free", F.concat("lang", "n_chars")).withColumn("none", F.lit(None).cast("double"))
+    other = df.where("n_chars > 500 and lang <> 'fr'")
+    model = profile(df)
+    got = report.inspect(df, other, model)
+    assert set(got) == {"lang", "source", "n_chars", "quality", "toxic", "side", "none", "nmi"}
+    key = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    same = lambda a, b: sorted(map(key, rows(a)), key=str) == sorted(map(key, rows(b)), key=str)
+    assert same(got["lang"], report.compare_bars(df, other, "lang")) and same(got["quality"], report.compare_bars(df, other, "quality"))
+    assert same(got["n_chars"], report.compare_densities(df, other, "n_chars", "Integer")) and got["none"].count() == len({*rows(got["none"])}) == 0 or model.columns["none"].is_categorical
+    assert "free" not in {r.x for r in got["nmi"].collect()}
+    made = report.charts(df, model)
+    assert same(made["lang"], report.bars(df, "lang", by_value=False)) and same(made["n_chars"], report.histogram_bars(df, "n_chars")) and same(made["free"], report.top(df, "free"))
+    both = report.before_after(df, other, model)
+    assert same(both["barchart"]["after:lang"], report.bars(other, "lang")) and same(both["histogram"]["after:n_chars"], report.histogram_bars(other, "n_chars"))
+
+
+def test_printed_models(docs, capsys, tmp_path):
+    from tabloom.sources.tables import read_domains
+
+    model = describe(docs, Config(epsilon=0, degree=1, root="lang"))
+    model.show()
+    assert json.loads(capsys.readouterr().out)["meta"] == model.meta()
+    model.show_network()
+    assert [tuple(x.split()) for x in capsys.readouterr().out.splitlines()] == [(c, "<-", *p) for c, p in model.network]
+    (tmp_path / "domains.json").write_text('{"lang": ["en", "zz"], "quality": [0, 1, 7]}')
+    declared = read_domains(str(tmp_path / "domains.json"))
+    known = describe(docs, Config(mode="independent", epsilon=0, domains=declared)).columns
+    assert "zz" in known["lang"].distribution_bins and known["quality"].distribution_bins == [0, 1, 7]
+
+
+def test_two_valued_columns_are_less_sensitive(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("two"), (F.col("id") % 5).cast("int").alias("five"), (F.col("id") % 3).cast("int").alias("three"))
+    seen = []
+    monkeypatch.setattr(bayesnet, "choose", lambda mi, scales, seed, n: seen.append(scales) or 0)
+    bayesnet.learn(df, k=1, epsilon=1.0, root="five")
+    low, high = (bayesnet.scale(3, bayesnet.sensitivity(400, two, [False]), 1.0) for two in (True, False))
+    assert seen[0] == [low, high] and low < high  # two given five, three given five
+    assert seen[1] == [high, low]  # three given five, and given two
+
+
+def test_stream_of_codes(spark, docs, tmp_path):
+    from tabloom.streaming.generate import encode_stream
+
+    model = describe(docs, Config(epsilon=0, degree=1, root="lang"))
+    docs.write.parquet(str(tmp_path / "rows"))
+    q = encode_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "rows")), model).writeStream.format("memory").queryName("codes").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(rows(spark.table("codes"))) == sorted(rows(encode(docs, model)))
+
+
 def test_keys_of_many_columns(spark):
     from tabloom.operators.profile import with_repeats
 
