@@ -15,31 +15,54 @@ DAYS_AND_MONTHS = (
     "jan", "january", "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august",
     "sep", "sept", "september", "oct", "october", "nov", "november", "dec", "december",
 )
-_YMD, _TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}"
-#: Formats of dates in text, each with the pattern that a value must match before it is parsed: a
-#: failing parse is an exception inside, which is slow. Of an ambiguous day and month the month is first.
-DATE_FORMATS = {
-    "yyyy-MM-dd": f"{_YMD}",
-    "yyyy-MM-dd HH:mm:ss": f"{_YMD} {_TIME}:[0-9]{{2}}",
-    "yyyy-MM-dd'T'HH:mm:ss": f"{_YMD}T{_TIME}:[0-9]{{2}}",
-    "yyyy-MM-dd HH:mm": f"{_YMD} {_TIME}",
-    "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSS]": f"{_YMD} {_TIME}:[0-9]{{2}}[.]([0-9]{{3}}|[0-9]{{6}})",
-    "yyyy/M/d": "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
-    "M/d/yyyy": "(0?[1-9]|1[0-2])/[0-9]{1,2}/[0-9]{4}",
-    "M/d/yyyy H:mm": f"(0?[1-9]|1[0-2])/[0-9]{{1,2}}/[0-9]{{4}} [0-9]{{1,2}}:[0-9]{{2}}",
-    "d/M/yyyy": "(1[3-9]|2[0-9]|3[01])/[0-9]{1,2}/[0-9]{4}",
-    "d.M.yyyy": "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}",
-    "d MMM yyyy": "[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}",
-    "d-MMM-yyyy": "[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}",
-    "d MMMM yyyy": "[0-9]{1,2} [A-Z][a-z]{3,8} [0-9]{4}",
-    "MMM d, yyyy": "[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}",
-    "MMMM d, yyyy": "[A-Z][a-z]{3,8} [0-9]{1,2}, [0-9]{4}",
-}
-
-
-def parsed_date(x: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
-    """The time of a text in one of the formats, else null."""
-    return F.coalesce(*[F.when(x.rlike(f"^{p}$"), F.try_to_timestamp(x, F.lit(f))) for f, p in formats.items()])
+# Months by the letters that tell them apart, and the first year of two digits that is 19xx.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+CENTURY = 69
+
+_SEP, _NAME = "[-/. ]", "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_LEAD = "(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]? +)?"
+_TIME = "(?:[t ,] *([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:[.,][0-9]{1,6})?)[0-9]*)? *(am|pm)? *(?:z|utc|gmt|([+-][0-9]{2}):?([0-9]{2}))?)?"
+#: How a date may be written, in lower case: its pattern, and where in that year, month and day are. A time may follow.
+DATE_FORMS = (
+    (f"([0-9]{{4}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{1,2}})", (1, 2, 3)),
+    (f"([0-9]{{1,2}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{4}}|[0-9]{{2}})", (3, 1, 2)),
+    (f"([0-9]{{1,2}})(?:st|nd|rd|th)?[-/. ,]*{_NAME}[-/. ,]*([0-9]{{4}}|[0-9]{{2}})", (3, 2, 1)),
+    (f"{_NAME}[-/. ]*([0-9]{{1,2}})(?:st|nd|rd|th)?[-/. ,]+([0-9]{{4}})", (3, 1, 2)),
+    (f"([0-9]{{4}})[-/. ,]*{_NAME}[-/. ,]*([0-9]{{1,2}})", (1, 2, 3)),
+)
+
+
+def _moment(parts: Column) -> Column:
+    """The time that (year, month, day, hour, minute, second, half, hours and minutes of the zone) tell, as texts; null if there is none."""
+
+    def number(k: int) -> Column:
+        return F.get(parts, k).try_cast("int")
+
+    name, year = F.get(parts, 1), number(0)
+    year = F.when(F.length(F.get(parts, 0)) == 4, year).when(year < CENTURY, year + 2000).otherwise(year + 1900)
+    month = F.coalesce(name.try_cast("int"), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int"))
+    swapped = name.rlike("^[0-9]+$") & (month > 12)  # the month comes first unless it cannot
+    month, day = F.when(swapped, number(2)).otherwise(month), F.when(swapped, month).otherwise(number(2))
+    hour, half = F.coalesce(number(3), F.lit(0)), F.get(parts, 6)
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    second = F.coalesce(F.replace(F.get(parts, 5), F.lit(","), F.lit(".")).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    east = number(7) * 60 + F.when(F.get(parts, 7).startswith("-"), -number(8)).otherwise(number(8))
+    local = F.try_make_timestamp(year, month, day, hour, F.coalesce(number(4), F.lit(0)), second)
+    return F.when(east.isNull(), local).otherwise(F.timestamp_micros(F.unix_micros(local) - F.coalesce(east, F.lit(0)).cast("bigint") * 60_000_000))
+
+
+def parsed_date(x: Column) -> Column:
+    """The time of a text that is a date in one of the forms, else null.
+
+    A text is parsed only where the pattern of a form matches it as a whole.
+    """
+    low = F.lower(F.trim(x))
+    found = []
+    for form, (y, m, d) in DATE_FORMS:
+        whole = f"^{_LEAD}{form}{_TIME}$"
+        order = "|".join(f"${k}" for k in (y, m, d, 4, 5, 6, 7, 8, 9))
+        found.append(F.when(low.rlike(whole), _moment(F.split(F.regexp_replace(low, whole, order), "[|]", -1))))
+    return F.coalesce(*found)
 
 
 def is_datetime(x: Column) -> Column:

@@ -1,21 +1,27 @@
 """Structure of a Bayesian network over coded columns, greedy by mutual information.
 
-The coded table is collapsed once to distinct tuples with counts. Each round scores all candidates
-that were not scored before in one job over those tuples; only their scores come to the driver.
+The coded table is collapsed once to distinct tuples with counts. A round with few candidates scores
+those that were not scored before in one job over the tuples; only their scores come to the driver. A
+round with many is searched by branch and bound: entropies of all pairs of columns bound what a
+candidate can reach, candidates are scored in falling order of their bounds, and the search ends when
+no bound is above the best score. The choice is that of scoring all, ties and noise included: the noise
+of the exponential mechanism belongs to a candidate's place and is added to its bound.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.rng import uniform_here
 
-#: Candidates of one job, and of one round.
-BATCH, MOST = 500, 200_000
+#: Candidates of one job, those of a round that are all scored, the first ones that a search scores, and candidates of one round.
+BATCH, WHOLE, START, MOST = 500, 500, 32, 5_000_000
 
 
 def sensitivity(n: int, child_binary: bool, parents_binary: list[bool]) -> float:
@@ -84,12 +90,60 @@ def collapsed(coded: DataFrame) -> DataFrame:
     return coded.groupBy(*[F.col(f"`{c}`") for c in coded.columns]).agg(F.count("*").alias("n"))
 
 
+def pair_entropies(tuples: DataFrame, names: list[str]) -> np.ndarray:
+    """Entropies of all pairs of columns, in nats; of a column with itself its own."""
+    n = len(names)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    out = np.zeros((n, n))
+    for a in range(0, len(pairs), BATCH):
+        part = pairs[a : a + BATCH]
+        cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{names[i]}`").cast("int").alias("x"), F.col(f"`{names[j]}`").cast("int").alias("y")) for k, (i, j) in enumerate(part)]
+        joint = tuples.select(F.explode(F.array(*cells)).alias("c"), "n").groupBy("c.k", "c.x", "c.y").agg(F.sum("n").alias("n"))
+        total = F.sum("n")
+        for r in joint.groupBy("k").agg((F.ln(total.cast("double")) - F.sum(F.col("n") * F.ln(F.col("n").cast("double"))) / total).alias("h")).collect():
+            i, j = part[r["k"]]
+            out[i, j] = out[j, i] = max(r["h"], 0.0)
+    return out
+
+
+def bounds(h: np.ndarray, child: int, parents: np.ndarray) -> np.ndarray:
+    """What the information of a child with each set of parents (a row of their numbers) cannot exceed.
+
+    It is at most the child's entropy, and for any parent p at most I(x; p) and what the others add beside p: sum H(q | p).
+    """
+    own = np.diag(h)
+    with_one = own[child] + own - h[child]
+    beside = h - own[None, :]  # [q, p]: H(q | p)
+    best = np.full(len(parents), own[child])
+    for k in range(parents.shape[1]):
+        p = parents[:, k]
+        others = sum((beside[parents[:, m], p] for m in range(parents.shape[1]) if m != k), np.zeros(len(parents)))
+        best = np.minimum(best, with_one[p] + others)
+    return best + 1e-9  # the sums are of rounded numbers
+
+
+def searched(limits: np.ndarray, factors: np.ndarray, noise: np.ndarray, score: Callable[[list[int]], list[float]]) -> int:
+    """The place with the largest score * factor + noise, earliest of equals, scoring as few as the limits of the scores allow."""
+    most = limits * factors + noise
+    order = np.lexsort((np.arange(len(most)), -most))
+    best, at, step = (-math.inf, 0), 0, START
+    while at < len(order) and (most[order[at]], -int(order[at])) > best:
+        part = [int(i) for i in order[at : at + step] if (most[i], -int(i)) > best]
+        best = max(best, *((s * factors[i] + noise[i], -i) for i, s in zip(part, score(part), strict=True)))
+        at, step = at + step, min(2 * step, BATCH)
+    return -best[1]
+
+
 def choose(mi: list[float], scales: list[float] | None, seed: object, round_: int) -> int:
     """The best candidate, earliest of equals; with scales, a draw of the exponential mechanism (Gumbel-max)."""
     if scales is None:
         return max(range(len(mi)), key=lambda i: (mi[i], -i))
-    noise = [-math.log(-math.log(uniform_here(seed, f"bn:{round_}", i))) for i in range(len(mi))]
-    return max(range(len(mi)), key=lambda i: (mi[i] / (2 * scales[i]) + noise[i], -i))
+    return max(range(len(mi)), key=lambda i: (mi[i] / (2 * scales[i]) + gumbel(seed, round_, i), -i))
+
+
+def gumbel(seed: object, round_: int, i: int) -> float:
+    """The noise of the i-th candidate of a round."""
+    return -math.log(-math.log(uniform_here(seed, f"bn:{round_}", i)))
 
 
 def probabilities(mi: list[float], scales: list[float]) -> list[float]:
@@ -115,18 +169,40 @@ def learn(coded: DataFrame, k: int | None = None, epsilon: float = 0.0, seed: ob
         n, binary = int(stats["n"] or 0), {c: stats[f"d{i}"] <= 2 for i, c in enumerate(names)}
         k = k or degree(len(names), n)
         root = root or names[int(uniform_here(seed, "bn:root", 0) * len(names))]
-        chosen, rest, network, known = [root], [c for c in names if c != root], [], {}
-        while rest:
-            options = [(child, parents) for child in rest for parents in parent_sets(chosen, min(len(chosen), k))]
-            if len(options) > MOST:
-                raise ValueError(f"{len(options)} candidates in one round; use fewer columns or a lower degree")
-            new = [o for o in options if (o[0], frozenset(o[1])) not in known]
+        chosen, rest, network, known, h = [root], [c for c in names if c != root], [], {}, None
+
+        def score(asked: list[tuple[str, list[str]]]) -> list[float]:
+            new = [o for o in asked if (o[0], frozenset(o[1])) not in known]
             known.update(zip(((c, frozenset(p)) for c, p in new), scores(tuples, new), strict=True))
-            scales = [scale(len(names), sensitivity(n, binary[c], [binary[p] for p in ps]), epsilon) for c, ps in options] if epsilon else None
-            best = choose([known[c, frozenset(p)] for c, p in options], scales, seed, len(chosen))
-            network.append(options[best])
-            chosen.append(options[best][0])
-            rest.remove(options[best][0])
+            return [known[c, frozenset(p)] for c, p in asked]
+
+        def scale_of(child: str, parents: list[str]) -> float:
+            return scale(len(names), sensitivity(n, binary[child], [binary[p] for p in parents]), epsilon)
+
+        while rest:
+            sets = parent_sets(chosen, min(len(chosen), k))
+            many = len(rest) * len(sets)
+            if many > MOST:
+                raise ValueError(f"{many} candidates in one round; use fewer columns or a lower degree")
+
+            def option(i: int, sets: list[list[str]] = sets) -> tuple[str, list[str]]:
+                return rest[i // len(sets)], sets[i % len(sets)]
+
+            if many <= WHOLE:
+                options = [option(i) for i in range(many)]
+                best = choose(score(options), [scale_of(c, ps) for c, ps in options] if epsilon else None, seed, len(chosen))
+            else:
+                h = pair_entropies(tuples, names) if h is None else h
+                numbers = np.array([[names.index(p) for p in ps] for ps in sets])
+                limits = np.concatenate([bounds(h, names.index(c), numbers) for c in rest])
+                factors, noise = np.ones(many), np.zeros(many)
+                if epsilon:
+                    factors = np.array([1 / (2 * scale_of(*option(i))) for i in range(many)])
+                    noise = np.array([gumbel(seed, len(chosen), i) for i in range(many)])
+                best = searched(limits, factors, noise, lambda places: score([option(i) for i in places]))
+            network.append(option(best))
+            chosen.append(network[-1][0])
+            rest.remove(network[-1][0])
         return network
     finally:
         if not held:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.rng import laplace_sql, letters_sql, shuffled_sql, uniform_here, uniform_sql
-from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING
+from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number
 from tabloom.operators import bayesnet, cpt, distribution, generate, report
 from tabloom.operators import information as info
 from tabloom.operators.encode import code_of, encode
@@ -137,6 +137,21 @@ def infer_types_of_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(infer_types(_with_ssn(spark, sf)).items()), "attr string, data_type string")
 
 
+# Text of dates: a name, Spark's pattern and DuckDB's.
+_FORMS = {"iso": ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), "us": ("M/d/yyyy h:mm a", "%-m/%-d/%Y %-I:%M %p"), "dots": ("MM.dd.yyyy", "%m.%d.%Y"), "spoken": ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y"), "short": ("d-MMM-yy HH:mm", "%-d-%b-%y %H:%M"), "reversed": ("yyyy MMM dd", "%Y %b %d")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS attr, 'DateTime' AS data_type, min(x)::DOUBLE AS min, max(x)::DOUBLE AS max, sum(x::HUGEINT)::BIGINT AS total FROM (SELECT epoch(strptime(strftime(to_timestamp(epoch(o_orderdate) + o_orderkey % 86400) AT TIME ZONE 'UTC', '{f}'), '{f}'))::BIGINT AS x FROM orders)" for c, (_, f) in _FORMS.items()))
+def dates_in_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates written in six ways: their types, ranges and sums of seconds."""
+    t = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    df = read(spark, sf, "orders").select(*[F.date_format(t, f).alias(c) for c, (f, _) in _FORMS.items()])
+    model = profile(df).columns
+    sums = df.agg(*[F.sum(as_number(F.col(c), df.schema[c].dataType, DATETIME)).alias(c) for c in _FORMS]).first()
+    rows = [(c, m.data_type, float(m.min), float(m.max), sums[c]) for c, m in model.items()]
+    return spark.createDataFrame(rows, "attr string, data_type string, min double, max double, total long")
+
+
 @query("SELECT attr FROM (VALUES ('c_custkey'), ('c_nationkey'), ('c_acctbal')) t(attr)")
 def numeric_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in numeric_columns(read(spark, sf, "customer"))], "attr string")

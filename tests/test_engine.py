@@ -308,6 +308,20 @@ def test_dates_in_text(spark):
     assert [columns[c].min for c in "abde"] == [1577923200] * 4 and columns["c"].min == 1609372800 and columns["f"].min == 1577934245
 
 
+def test_dates_in_free_form(spark):
+    from datetime import datetime
+
+    from tabloom.functions.types import parsed_date
+
+    t = datetime(2020, 3, 4)
+    same = ["2020-03-04", "2020/3/4", "2020.03.04", "3/4/2020", "03-04-2020", "3.4.2020", "3/4/20", "4 Mar 2020", "4th of".replace("th of", "th") + " March, 2020", "4-MAR-2020", "04mar2020", "March 4, 2020", "mar. 4 2020", "March 4th, 2020", "Wed, 4 Mar 2020", "Wednesday 4 March 2020", "2020 Mar 4", "2020-Mar-04", " 2020-03-04 ", "2020-03-04T00:00:00Z", "2020-03-04 12:00 am", "2020-03-04T01:30+01:30", "2020-03-03 22:00:00 -0200"]
+    times = {"2020-03-04 05:06:07.125": datetime(2020, 3, 4, 5, 6, 7, 125000), "3/4/2020 5:06 PM": datetime(2020, 3, 4, 17, 6), "13/4/1999": datetime(1999, 4, 13), "4/13/99": datetime(1999, 4, 13), "2020-13-01": datetime(2020, 1, 13), "29 Feb 2020, 12:30pm": datetime(2020, 2, 29, 12, 30), "2020-03-04 05:06:07,5": datetime(2020, 3, 4, 5, 6, 7, 500000)}
+    none = ["2020-02-30", "13/13/2020", "123-45-6789", "20200304", "1.2", "1.2.3.4", "4 mars", "2020-03-04 25:00", "2020-03-04 13:00 am", "12:30", "march", "x 3/4/2020", "3/4/2020 y", "", "99", "v1-2-3"]
+    cases = [(x, t) for x in same] + list(times.items()) + [(x, None) for x in none] + [(None, None)]
+    got = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "k int, x string").select("k", F.date_format(parsed_date(F.col("x")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"))
+    assert {cases[r.k][0]: r.t for r in got.collect()} == {x: w and w.strftime("%Y-%m-%d %H:%M:%S.%f") for x, w in cases}
+
+
 def test_running_and_quantiles(spark):
     import statistics
 
@@ -410,6 +424,40 @@ def test_printed_models(docs, capsys, tmp_path):
     assert "zz" in known["lang"].distribution_bins and known["quality"].distribution_bins == [0, 1, 7]
 
 
+@pytest.mark.parametrize("k,epsilon", [(2, 0), (3, 0), (2, 50.0), (2, 2000.0)])
+def test_bounded_search_is_the_full_one(spark, monkeypatch, k, epsilon):
+    # Columns that depend on each other in part, copies of a column (ties), and a constant.
+    noise = lambda i, m: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(m))
+    a, b = noise(0, 6), noise(1, 3)
+    columns = [a, b, (a + noise(2, 2)) % 6, (a * 2 + b) % 5, F.when(noise(3, 4) == 0, b).otherwise(a), a, noise(4, 7), F.lit(0), (b + noise(5, 3)) % 3]
+    df = spark.range(3000).select(*[c.cast("int").alias(f"c{i}") for i, c in enumerate(columns)])
+    tuples = bayesnet.collapsed(df).cache()
+    full = bayesnet.learn(df, k=k, epsilon=epsilon, seed=3, root="c1", tuples=tuples)
+    asked = []
+    scores = bayesnet.scores
+    monkeypatch.setattr(bayesnet, "scores", lambda t, c: asked.extend(c) or scores(t, c))
+    monkeypatch.setattr(bayesnet, "WHOLE", 0)
+    monkeypatch.setattr(bayesnet, "START", 4)
+    assert bayesnet.learn(df, k=k, epsilon=epsilon, seed=3, root="c1", tuples=tuples) == full
+    if not epsilon:
+        assert len(asked) < 0.6 * sum((9 - m) * math.comb(m, min(m, k)) for m in range(1, 9))
+
+
+def test_bounds_hold(spark):
+    import numpy as np
+
+    df = spark.range(500).select(*[F.pmod(F.xxhash64(F.floor(F.col("id") / (i + 1)), F.lit(i % 3)), F.lit(i + 2)).cast("int").alias(f"c{i}") for i in range(5)])
+    tuples, names = bayesnet.collapsed(df).cache(), df.columns
+    h = bayesnet.pair_entropies(tuples, names)
+    for size in (1, 2, 3):
+        sets = bayesnet.parent_sets(names[1:], size)
+        top = bayesnet.bounds(h, 0, np.array([[names.index(p) for p in ps] for ps in sets]))
+        mi = bayesnet.scores(tuples, [("c0", ps) for ps in sets])
+        assert all(m <= t for m, t in zip(mi, top, strict=True))
+        if size == 1:
+            assert mi == pytest.approx(top, abs=1e-8)
+
+
 def test_two_valued_columns_are_less_sensitive(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 2).cast("int").alias("two"), (F.col("id") % 5).cast("int").alias("five"), (F.col("id") % 3).cast("int").alias("three"))
     seen = []
