@@ -36,16 +36,17 @@ def _moment(parts: Column) -> Column:
     """The time that (year, month, day, hour, minute, second, half, hours and minutes of the zone) tell, as texts; null if there is none."""
 
     def number(k: int) -> Column:
-        return F.get(parts, k).try_cast("int")
+        return F.when(F.length(F.get(parts, k)) > 0, F.get(parts, k).cast("int"))  # digits, or nothing: a failing cast is slow
 
     name, year = F.get(parts, 1), number(0)
+    digits = name.rlike("^[0-9]+$")
     year = F.when(F.length(F.get(parts, 0)) == 4, year).when(year < CENTURY, year + 2000).otherwise(year + 1900)
-    month = F.coalesce(name.try_cast("int"), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int"))
-    swapped = name.rlike("^[0-9]+$") & (month > 12)  # the month comes first unless it cannot
+    month = F.when(digits, name.cast("int")).otherwise(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int"))
+    swapped = digits & (month > 12)  # the month comes first unless it cannot
     month, day = F.when(swapped, number(2)).otherwise(month), F.when(swapped, month).otherwise(number(2))
     hour, half = F.coalesce(number(3), F.lit(0)), F.get(parts, 6)
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    second = F.coalesce(F.replace(F.get(parts, 5), F.lit(","), F.lit(".")).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    second = F.when(F.length(F.get(parts, 5)) > 0, F.replace(F.get(parts, 5), F.lit(","), F.lit(".")).cast("decimal(8,6)")).otherwise(F.lit(0).cast("decimal(8,6)"))
     east = number(7) * 60 + F.when(F.get(parts, 7).startswith("-"), -number(8)).otherwise(number(8))
     local = F.try_make_timestamp(year, month, day, hour, F.coalesce(number(4), F.lit(0)), second)
     return F.when(east.isNull(), local).otherwise(F.timestamp_micros(F.unix_micros(local) - F.coalesce(east, F.lit(0)).cast("bigint") * 60_000_000))
@@ -56,13 +57,17 @@ def parsed_date(x: Column) -> Column:
 
     A text is parsed only where the pattern of a form matches it as a whole.
     """
-    low = F.lower(F.trim(x))
-    found = []
-    for form, (y, m, d) in DATE_FORMS:
-        whole = f"^{_LEAD}{form}{_TIME}$"
-        order = "|".join(f"${k}" for k in (y, m, d, 4, 5, 6, 7, 8, 9))
-        found.append(F.when(low.rlike(whole), _moment(F.split(F.regexp_replace(low, whole, order), "[|]", -1))))
-    return F.coalesce(*found)
+    def parts(low: Column) -> Column:
+        found = []
+        for form, (y, m, d) in DATE_FORMS:
+            whole = f"^{_LEAD}{form}{_TIME}$"
+            order = "|".join(f"${k}" for k in (y, m, d, 4, 5, 6, 7, 8, 9))
+            found.append(F.when(low.rlike(whole), F.split(F.regexp_replace(low, whole, order), "[|]", -1)))
+        return F.coalesce(*found)
+
+    # As arguments of lambdas the text and its parts are computed once each.
+    split = F.transform(F.array(F.lower(F.trim(x))), parts)
+    return F.get(F.transform(split, lambda p: F.when(p.isNotNull(), _moment(p))), 0)
 
 
 def is_datetime(x: Column) -> Column:

@@ -45,7 +45,7 @@ def built(counts: DataFrame) -> Dictionary:
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not total:
         counts, total = counts.withColumn("n", F.lit(1).cast("bigint")), size
-    placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one", "upto": "n"})
+    placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one", "upto": "n"}, rows=size)
     p = F.col("n") / F.lit(float(total or 1))
     return Dictionary(kept(placed.select((F.col("place") - 1).cast("bigint").alias("code"), "value", p.alias("p"), F.col("n").cast("bigint").alias("weight"), F.col("upto").cast("bigint").alias("upto"))), size, int(total))
 
@@ -56,7 +56,7 @@ def reweighted(known: Dictionary, p: Column) -> Dictionary:
     total = raw.agg(F.sum("p")).first()[0]
     p = F.col("p") / F.lit(total) if total else F.lit(1.0 / max(known.size, 1))
     weighted = raw.select("code", "value", p.alias("p"), F.floor(p * float(WEIGHT)).cast("bigint").alias("weight"))
-    table = kept(running(weighted, ["code"], {"upto": "weight"}).select("code", "value", "p", "weight", F.col("upto").cast("bigint").alias("upto")))
+    table = kept(running(weighted, ["code"], {"upto": "weight"}, rows=known.size).select("code", "value", "p", "weight", F.col("upto").cast("bigint").alias("upto")))
     return Dictionary(table, known.size, int(table.agg(F.max("upto")).first()[0] or 0))
 
 

@@ -47,8 +47,8 @@ def categorical_distribution(df: DataFrame, name: str, logical: str = STRING, do
         declared = df.sparkSession.createDataFrame([(v,) for v in domain], counts.select("value").schema)
         counts = counts.join(declared, "value", "full_outer").select("value", F.coalesce("n", F.lit(0)).alias("n"))
     counts = kept(counts)
-    total = counts.agg(F.sum("n")).first()[0]
-    placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one"})
+    total, size = counts.agg(F.sum("n"), F.count("*")).first()
+    placed = running(counts.withColumn("one", F.lit(1)), ["value"], {"place": "one"}, rows=size)
     return placed.select((F.col("place") - 1).cast("long").alias("bin_idx"), "value", F.col("n").cast("long").alias("n"), (F.col("n") / float(total or 1)).alias("p"))
 
 

@@ -207,7 +207,7 @@ def from_table(rows: DataFrame, table: DataFrame, cards: list[int], card: int, p
         within = Window.partitionBy("given").orderBy("code")  # as many rows as the column has codes
         placed = weighted.withColumn("upto", F.sum("weight").over(within))
     else:
-        placed = running(weighted, ["code"], {"upto": "weight"})
+        placed = running(weighted, ["code"], {"upto": "weight"}, rows=card)
     # What rounding leaves over goes to the last code.
     placed = placed.withColumn("weight", F.col("weight") + F.when(F.col("code") == card - 1, POSITIONS - F.col("upto")).otherwise(0)).withColumn("upto", F.when(F.col("code") == card - 1, POSITIONS).otherwise(F.col("upto")))
     there, width = dictionary.slots(placed, POSITIONS, card)

@@ -96,9 +96,9 @@ def ks_statistic(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     x = F.col(f"`{name}`").cast("double")
     counts = a.select(x.alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(x.alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
     counts = kept(counts.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    na, nb = counts.agg(F.sum("a"), F.sum("b")).first()
+    na, nb, size = counts.agg(F.sum("a"), F.sum("b"), F.count("*")).first()
     far = F.abs(F.col("upto_a") / float(na or 1) - F.col("upto_b") / float(nb or 1))
-    return running(counts, ["x"], {"upto_a": "a", "upto_b": "b"}).agg(F.max(far).alias("ks"))
+    return running(counts, ["x"], {"upto_a": "a", "upto_b": "b"}, rows=size).agg(F.max(far).alias("ks"))
 
 
 def rounded(column: Column, digits: int = 9) -> Column:

@@ -1,53 +1,36 @@
 """Running sums and quantiles along an order, by ranges of the order, so that no task has all rows.
 
-Ranges are cut at a bounded sample of the keys, those with the smallest hashes: the sample is the
-same for the same rows, and keys that repeat are cut between, never within. What is passed in is
-read up to three times; callers hand in counts that are written already.
+Spark deals the rows to ranges of the order and they are written with the number of their range, so
+each range is summed once, the sums of the ranges before it are sent to it, and nothing of the
+keys comes to the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.sources.tables import kept
 
-#: Ranges, keys on the driver to cut them at, and the letters of a text that a cut has.
-RANGES, SAMPLE, LETTERS = 256, 10_000, 200
 
+#: Rows that one task may order.
+ONE_TASK = 10_000
 
-def range_of(df: DataFrame, key: Column) -> Column:
-    """The number of a key's range, rising with the key; keys may be structs."""
-    kind = df.select(key.alias("k")).schema["k"].dataType
 
-    def short(x: Column, t: T.DataType) -> Column:
-        return F.substring(x, 1, LETTERS) if isinstance(t, T.StringType) else x
-
-    cut = F.struct(*[short(F.col("k")[f.name], f.dataType).alias(f.name) for f in kind]) if isinstance(kind, T.StructType) else short(F.col("k"), kind)
-    found = df.select(key.alias("k")).where("k is not null").select(cut.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    keys = sorted(r["k"] for r in found.collect())
-    if len(keys) < SAMPLE // 20:  # these are all, as cuts, and few rows need no ranges
-        return F.lit(0)
-    cuts = keys[:: max(1, len(keys) // RANGES)][1:]
-
-    def literal(k: object) -> Column:
-        return F.struct(*[F.lit(v) for v in k]) if isinstance(k, tuple) else F.lit(k)
-
-    return F.size(F.filter(F.array(*[literal(c) for c in cuts]).cast(T.ArrayType(kind)), lambda c: c <= key))
-
-
-def running(df: DataFrame, order: list[str], sums: dict[str, str], falling: tuple[str, ...] = ()) -> DataFrame:
+def running(df: DataFrame, order: list[str], sums: dict[str, str], falling: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """Add ``sums`` (new name: column): sums up to and with each row along ``order``, whose keys are distinct and not null.
 
-    Columns in ``falling`` are numbers that count down.
+    Columns in ``falling`` count down. A caller that knows the number of rows gives it: few need no ranges.
     """
-    keys = [(-F.col(c) if c in falling else F.col(c)).alias(c) for c in order]
-    dealt = df.withColumn("__part", range_of(df, F.struct(*keys) if len(keys) > 1 else keys[0]))
-    parts = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])  # at most RANGES + 1 rows
+    keys = [F.desc(c) if c in falling else F.asc(c) for c in order]
+    if rows is not None and rows <= ONE_TASK:
+        over = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(c).over(over).alias(n) for n, c in sums.items()])
+    dealt = kept(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))  # ranges rise with their number
+    parts = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])  # a row for each range
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = parts.select("__part", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    within = Window.partitionBy("__part").orderBy(*[F.desc(c) if c in falling else F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     added = [(F.sum(c).over(within) + F.col(f"__{n}")).alias(n) for n, c in sums.items()]
     return dealt.join(F.broadcast(ahead), "__part").select(*df.columns, *added)
 
@@ -67,12 +50,13 @@ def _selected(df: DataFrame, xs: dict[tuple[str, float], Column], brackets: dict
     under = dict.fromkeys(asked, 0) | dict(zip(narrow, below, strict=True))
     within = [F.when(xs[k].between(*brackets[k]), F.struct(F.lit(i).alias("i"), xs[k].alias("x"))) for i, k in enumerate(asked)]
     counts = kept(df.select(F.explode(F.array_compact(F.array(*within))).alias("v")).groupBy("v.i", "v.x").agg(F.count("*").alias("n")))
-    held = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row for each column and share
+    sizes = counts.groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()  # a row for each column and share
+    held = {r["i"]: r["n"] for r in sizes}
     ahead, start = {}, 0
     for i in range(len(asked)):
         ahead[i], start = start, start + held.get(i, 0)
     places = [(i, k, r) for i, k in enumerate(asked) for r in (0, 1)]
-    found = running(counts, ["i", "x"], {"upto": "n"}).agg(*[F.min(F.when((F.col("i") == i) & (F.col("upto") > ahead[i] + ranks[k] - under[k] + r), F.col("x"))).alias(f"v{i}_{r}") for i, k, r in places]).first()
+    found = running(counts, ["i", "x"], {"upto": "n"}, rows=sum(r[1] for r in sizes)).agg(*[F.min(F.when((F.col("i") == i) & (F.col("upto") > ahead[i] + ranks[k] - under[k] + r), F.col("x"))).alias(f"v{i}_{r}") for i, k, r in places]).first()
     out = {}
     for i, k in enumerate(asked):
         low, high = found[f"v{i}_0"], found[f"v{i}_1"]

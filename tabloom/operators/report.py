@@ -25,7 +25,8 @@ from tabloom.sources.tables import kept
 def bars(df: DataFrame, name: str, by_value: bool = True) -> DataFrame:
     """(value, n, place) of a column's values, placed by value or by falling frequency."""
     counts = df.select(F.col(f"`{name}`").cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    placed = running(kept(counts).withColumn("one", F.lit(1)), ["value"] if by_value else ["n", "value"], {"place": "one"}, () if by_value else ("n",))
+    counts = kept(counts)
+    placed = running(counts.withColumn("one", F.lit(1)), ["value"] if by_value else ["n", "value"], {"place": "one"}, () if by_value else ("n",), counts.count())
     return placed.select("value", "n", F.col("place").cast("long").alias("place"))
 
 
@@ -109,7 +110,7 @@ class ChartCounts:
         """(side, attr, value, n, place): all values in order within their column and side, all placed in one go."""
         order = ["side", "attr", "value"] if by_value else ["side", "attr", "n", "value"]
         values = self.table.where("value is not null")
-        placed = running(values.withColumn("one", F.lit(1)), order, {"upto": "one"}, () if by_value else ("n",))
+        placed = running(values.withColumn("one", F.lit(1)), order, {"upto": "one"}, () if by_value else ("n",), sum(k for k, _ in self.sizes.values()))
         starts, ahead = [], 0
         for side in sorted({x for x, _ in self.sizes}):
             for k, name in enumerate(self.names):
