@@ -644,3 +644,20 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles are 75 % alike, over all whole documents."""
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB: the overlaps of all classes of equal sets that share a shingle, and what their links reach.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id::BIGINT AS doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT i, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE} + 2, least(len(w) + 1, 2))), lambda k: array_to_string(w[k:k + {SHINGLE - 1}], ' '))) AS g FROM d),
+of AS (SELECT i, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS c FROM s GROUP BY i),
+one AS (SELECT c, any_value(n) AS n, min(i) AS i FROM of GROUP BY c),
+g AS (SELECT one.c, one.n, s.g FROM one JOIN s USING (i)),
+pairs AS (SELECT a.c AS x, b.c AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.c < b.c AND {DEN} * least(a.n, b.n) >= {NUM} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE {DEN} * o >= {NUM} * (nx + ny - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT c, c AS r FROM one UNION SELECT reach.c, edges.y FROM reach JOIN edges ON reach.r = edges.x),
+named AS (SELECT reach.c, min(d.doc_id) AS component_id FROM reach JOIN of ON of.c = reach.r JOIN d USING (i) GROUP BY reach.c)
+SELECT d.doc_id, coalesce(of.n, 0)::BIGINT AS n_shingles, CASE WHEN of.c IS NULL THEN d.doc_id ELSE named.component_id END AS component_id FROM d LEFT JOIN of USING (i) LEFT JOIN named USING (c)
+"""

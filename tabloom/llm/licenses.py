@@ -157,3 +157,31 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates: list = TEMPL
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every whole document."""
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "places")
+
+
+def licenses_oracle(templates: list = TEMPLATES, matched: float = MATCHED) -> str:
+    """The same in DuckDB, without an index: all words of a text against all places of all templates."""
+
+    def text(words: list[bytes]) -> str:
+        return " ".join(w.decode() for w in words)
+
+    split = [(label, words_of(words), keys) for label, words, keys in templates]
+    rows = ",\n".join(f"({t}, '{label}', '{text(words)}', {math.ceil(matched * len(words))}, {[text(words_of(k)) for k in keys]}::VARCHAR[])" for t, (label, words, keys) in enumerate(split))
+    phrases = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in PHRASES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+template(t, label, words, need, keys) AS (VALUES {rows}),
+phrase(label, p) AS (VALUES {phrases}),
+base AS (SELECT i, label, unnest(list_filter(range(1, len(w) + 1), lambda k: w[k] = p[1] AND w[k:k + len(p) - 1] = p)) - 1 AS start FROM d, phrase),
+places AS (SELECT t, unnest(string_split(words, ' ')) AS word, unnest(range(len(string_split(words, ' ')))) AS k FROM template),
+words AS (SELECT i, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+hits AS (SELECT i, t, pos - k AS start, count(*) AS n FROM words JOIN places USING (word) GROUP BY ALL),
+near AS (SELECT i, label, keys, hits.n / len(string_split(words, ' ')) AS share, ' ' || array_to_string(w[greatest(start - 2, 0) + 1:start + len(string_split(words, ' ')) + 2], ' ') || ' ' AS around
+  FROM hits JOIN template USING (t) JOIN d USING (i) WHERE hits.n >= need),
+found AS (SELECT i, label, share FROM near WHERE len(list_filter(keys, lambda x: NOT contains(around, ' ' || x || ' '))) = 0),
+b AS (SELECT i, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY i),
+f AS (SELECT i, max(share) AS share FROM found GROUP BY i),
+l AS (SELECT i, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT i, label FROM base UNION ALL SELECT i, label FROM found) GROUP BY i)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score FROM d LEFT JOIN b USING (i) LEFT JOIN f USING (i) LEFT JOIN l USING (i)
+"""

@@ -22,6 +22,9 @@ ORACLES = {
     "op2_chat": chat.ORACLE,
     "op3_pii": pii.pii_oracle(),
     "op4_mixing": mixing.mixing_oracle(),
+    "op5_repetition": repetition.ORACLE,
+    "op8_licenses": licenses.licenses_oracle(),
+    "op9_jaccard": jaccard.ORACLE,
     "op11_collocations": collocations.collocations_oracle(),
     "op12_exact_dedup": exact_dedup.ORACLE,
     "op13_ball_kmeans": ball_kmeans.kmeans_oracle(),

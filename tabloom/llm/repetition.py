@@ -194,3 +194,37 @@ def add_repetition(df: DataFrame, text_col: str = "text", max_covered: float = M
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of every whole document."""
     return add_repetition(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "repeat_spans")
+
+
+#: The same in DuckDB, without a suffix array: windows of 1, 2, 4, ... words are ranked by prefix doubling, and the longest
+#: repeat of a text lies between the last length with a repeated window and twice that, where it is searched by halves.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT i, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+level AS (
+  SELECT 0 AS k, i, pos, r, count(*) OVER (PARTITION BY i, r) AS held FROM (SELECT i, pos, dense_rank() OVER (PARTITION BY i ORDER BY word) AS r FROM words)
+  UNION ALL
+  SELECT k, i, pos, r, count(*) OVER (PARTITION BY i, r) FROM (
+    SELECT k + 1 AS k, i, pos, dense_rank() OVER (PARTITION BY i ORDER BY r, after) AS r FROM (
+      SELECT k, i, pos, r, coalesce(lead(r, 1 << k) OVER (PARTITION BY i ORDER BY pos), 0) AS after, max(held) OVER (PARTITION BY i) AS most FROM level) WHERE most > 1)),
+top AS (SELECT i, max(k) FILTER (held > 1) AS k FROM level GROUP BY i),
+ranked AS (SELECT l.i, l.pos, l.r, l.k FROM level l JOIN top ON l.i = top.i AND l.k = top.k),
+halved AS (
+  SELECT i, (1 << k)::BIGINT AS base, 0::BIGINT AS more, (1 << k)::BIGINT // 2 AS step FROM top WHERE k IS NOT NULL
+  UNION ALL
+  SELECT i, base, more + CASE WHEN most > 1 THEN step ELSE 0 END, step // 2 FROM (
+    SELECT i, base, more, step, max(n) AS most FROM (
+      SELECT h.i, base, more, step, count(b.r) AS n FROM halved h JOIN ranked a ON a.i = h.i LEFT JOIN ranked b ON b.i = a.i AND b.pos = a.pos + h.more + h.step
+      WHERE step > 0 GROUP BY h.i, base, more, step, a.r, b.r) GROUP BY i, base, more, step)),
+longest AS (SELECT i, base + more AS longest_repeat FROM halved WHERE step = 0),
+triples AS (SELECT i, pos, word AS a, lead(word) OVER w AS b, lead(word, 2) OVER w AS c FROM words WINDOW w AS (PARTITION BY i ORDER BY pos)),
+three AS (SELECT i, pos FROM (SELECT i, pos, count(*) OVER (PARTITION BY i, a, b, c) AS held FROM triples WHERE c IS NOT NULL) WHERE held > 1),
+in_three AS (SELECT i, count(DISTINCT pos + j) AS n FROM three, range(3) t(j) GROUP BY i),
+in_long AS (SELECT i, count(DISTINCT pos + j) AS n FROM level, range({MIN_WORDS}) t(j) WHERE level.k = {MIN_WORDS.bit_length() - 1} AND held > 1 GROUP BY i),
+lines AS (SELECT i, count(*) - count(DISTINCT line) AS n FROM (SELECT i, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY i),
+found AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(in_three.n, 0)::BIGINT AS n_repeat_words, coalesce(in_long.n, 0)::BIGINT AS n_covered_words, coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN lines USING (i) LEFT JOIN in_three USING (i) LEFT JOIN in_long USING (i) LEFT JOIN longest USING (i)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found)
+SELECT *, NOT base_failed AND n_covered_words <= {MAX_COVERED}::DOUBLE * n_words AND longest_repeat <= {MAX_LONGEST} AS kept FROM judged
+"""
