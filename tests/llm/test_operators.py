@@ -47,6 +47,25 @@ def test_same_as_sql(name, same):
     assert same(QUERIES[name], ORACLES[name])
 
 
+@pytest.mark.parametrize("empty", (False, True))
+@pytest.mark.parametrize("name", ("op5_repetition", "op8_licenses", "op9_jaccard"))
+def test_odd_same_as_sql(name, empty, spark, tmp_path):
+    import duckdb
+
+    words = " ".join(f"w{k % 7}" for k in range(130))
+    more = [(7, "Apache License, version\n" * 3 + words, "en", "s", 0), (8, "apache\u00e9 license CC-BY cc by", None, None, 0), (9, " ".join(f"v{k}" for k in range(61)) * 2, "en", "s", 0)]
+    rows = spark.createDataFrame([] if empty else ODD + more, SCHEMA)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(ORACLES[name])
+    names = [c[0] for c in result.description]
+    assert sorted(found.columns) == sorted(names)
+    ours = sorted((tuple(r[c] for c in names) for r in found.collect()), key=repr)
+    assert ours == sorted(result.fetchall(), key=repr) and len(ours) == rows.count()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_whole_table(name, spark, docs):
     made = QUERIES[name](spark, DATA)

@@ -1,10 +1,12 @@
 """The pipeline: each stage against what it should keep, on clean, repeated, odd and empty documents."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tabloom.llm import toxicity
+from tabloom.llm.queries import ORACLES
 from tests.conftest import DATA
 from tests.llm.test_operators import ODD, SCHEMA, brute_groups
 
@@ -18,7 +20,27 @@ def test_stages():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_copies", "pii", "mixing", "sentencepiece"]
 
 
-def test_stages_against_brute_force(spark, docs):
+def in_duckdb(frame, path, sql):
+    """Rows of SQL over a frame as documents, as dicts."""
+    frame.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    result = con.execute(sql)
+    names = [c[0] for c in result.description]
+    return [dict(zip(names, row, strict=True)) for row in result.fetchall()]
+
+
+def plainly_redacted(text, spans):
+    """The text with its spans (kind:start:end) replaced, overlapping ones as one by the first's kind."""
+    out, end = [], 0
+    for start, back, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
+        if start >= end:
+            out += [text[end:start], f"[{kind.upper()}]"]
+        end = max(end, -back)
+    return "".join(out) + text[end:]
+
+
+def test_stages_against_brute_force(spark, docs, tmp_path):
     sf, names = "/root/testdata/sf0.01", docs.columns
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
     clean = pipeline.drop_toxic(spark, docs, sf).cache()
@@ -30,7 +52,13 @@ def test_stages_against_brute_force(spark, docs):
     assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in groups}) and single.columns == names
     hidden = pipeline.redact_pii(spark, single, sf).cache()
     assert hidden.count() == single.count() and hidden.columns == names and hidden.where("n_chars <> char_length(text)").count() == 0
-    mixed = pipeline.mix_sources(spark, hidden, sf)
+    texts = {r.doc_id: r.text for r in single.collect()}
+    spans = {r["doc_id"]: r["spans"] for r in in_duckdb(single, f"{tmp_path}/single", ORACLES["op3_pii"])}
+    assert {r.doc_id: r.text for r in hidden.collect()} == {i: plainly_redacted(t or "", spans[i]) for i, t in texts.items()} and any(spans.values())
+    mixed = pipeline.mix_sources(spark, hidden, sf).cache()
+    mix = in_duckdb(hidden, f"{tmp_path}/hidden", ORACLES["op4_mixing"])
+    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {r["doc_id"]: r["taken"] // r["size"] for r in mix if r["taken"]}
+    assert mixed.distinct().count() == mixed.select("doc_id").distinct().count() and mixed.join(hidden, hidden.columns, "left_anti").isEmpty()
     assert mixed.columns == names and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     last = pipeline.to_ids(spark, mixed, sf)
     assert last.count() == mixed.count() and last.where("not round_trip").count() == 0
