@@ -26,8 +26,6 @@ from tabloom.sources.tables import empty_columns, preview, read_csv, scratch, wr
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Rows that the generating queries make.
-MADE = 20_000
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -636,96 +634,95 @@ def cpt_two_parents(spark: SparkSession, sf: str) -> DataFrame:
 # Generation
 
 _U = lambda stream, seed=3: uniform_sql(seed, stream, "id")
-_ROWS = f"(SELECT range AS id FROM range({MADE}))"
 
 
-def _made(spark: SparkSession, c: ColumnModel, key: bool = False) -> DataFrame:
-    row = F.col("id")
-    v = generate.key_values(c, MADE, 3, row) if key else generate.decoded(c, generate.sampled_code(c, 3, row), 3, row)
-    return spark.range(MADE).select("id", v.alias("value"))
+def _rows_sql(table: str) -> str:
+    """As many row numbers as a table has rows."""
+    return f"(SELECT unnest(range(0, (SELECT count(*) FROM {table}))) AS id)"
 
 
-@query(f"SELECT id, id AS value FROM {_ROWS}")
-def gen_key_int(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, profile(read(spark, sf, "part")).columns["p_partkey"], key=True)
+def _made(spark: SparkSession, model: TableModel, name: str, key: bool = False) -> DataFrame:
+    """As many values of a column as its table has rows."""
+    c, n, row = model.columns[name], model.num_tuples, F.col("id")
+    v = generate.key_values(c, n, 3, row) if key else generate.decoded(c, generate.sampled_code(c, 3, row), 3, row)
+    return spark.range(n).select("id", v.alias("value"))
 
 
-@query(f"SELECT id, round(lo + id * ((hi - lo) / {MADE}), 9) AS value FROM {_ROWS}, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
-def gen_key_float(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_made(spark, profile(read(spark, sf, "customer")).columns["c_acctbal"], key=True), "value")
+@query(f"SELECT id, id AS value FROM {_rows_sql('part')}")
+def gen_key_int(spark: SparkSession, sf: str) -> DataFrame:
+    return _made(spark, profile(read(spark, sf, "part")), "p_partkey", key=True)
 
 
-def _keys_of(spark: SparkSession, model: TableModel, name: str) -> DataFrame:
-    """As many keys of a column as its table has rows."""
-    n = model.num_tuples
-    return spark.range(n).select("id", generate.key_values(model.columns[name], n, 3, F.col("id")).alias("value"))
+@query(f"SELECT id, round(lo + id * ((hi - lo) / n), 9) AS value FROM {_rows_sql('customer')}, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS n FROM customer)")
+def gen_key_float(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_made(spark, profile(read(spark, sf, "customer")), "c_acctbal", key=True), "value")
 
 
 @query(f"""WITH s AS (SELECT count(*) AS n, min(length(c_name)) AS lo, max(length(c_name)) AS hi FROM customer),
 p AS (SELECT n, array_to_string(list_transform(range(0, floor(lo + CASE WHEN hi > lo THEN {uniform_sql(3, "key:c_name", "0")} * (hi - lo + 1) ELSE 0 END)::BIGINT), lambda i: chr(97 + floor({uniform_sql(3, "prefix:c_name", "i")} * 26)::INT)), '') AS prefix FROM s)
 SELECT range AS id, prefix || range AS value FROM p, range((SELECT n FROM s))""")
 def gen_key_string(spark: SparkSession, sf: str) -> DataFrame:
-    return _keys_of(spark, profile(read(spark, sf, "customer").select("c_name"), keys={"c_name": True}), "c_name")
+    return _made(spark, profile(read(spark, sf, "customer").select("c_name"), keys={"c_name": True}), "c_name", key=True)
 
 
 @query(f"""WITH s AS (SELECT count(*) AS n FROM customer), k AS ({shuffled_sql("range", "SELECT count(*) FROM customer", "range((SELECT count(*) FROM customer))", 3, "key:ssn")})
 SELECT id, substr(z, 1, 3) || '-' || substr(z, 4, 2) || '-' || substr(z, 6, 4) AS value FROM (SELECT id, lpad(floor(place * (999999999::DOUBLE / greatest(n - 1, 1)))::BIGINT::VARCHAR, 9, '0') AS z FROM k, s)""")
 def gen_key_ssn(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers spread over the whole range, in an order that the seed picks."""
-    return _keys_of(spark, profile(_with_ssn(spark, sf).select("ssn"), keys={"ssn": True}), "ssn")
+    return _made(spark, profile(_with_ssn(spark, sf).select("ssn"), keys={"ssn": True}), "ssn", key=True)
 
 
-@query(f"SELECT id, floor(lo + id * ((hi - lo) / {MADE}))::BIGINT AS value FROM {_ROWS}, (SELECT min(epoch(o_orderdate))::DOUBLE AS lo, max(epoch(o_orderdate))::DOUBLE AS hi FROM orders)")
+@query(f"SELECT id, floor(lo + id * ((hi - lo) / n))::BIGINT AS value FROM {_rows_sql('orders')}, (SELECT min(epoch(o_orderdate))::DOUBLE AS lo, max(epoch(o_orderdate))::DOUBLE AS hi, count(*) AS n FROM orders)")
 def gen_key_datetime(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, profile(read(spark, sf, "orders").select("o_orderdate")).columns["o_orderdate"], key=True)
+    return _made(spark, profile(read(spark, sf, "orders").select("o_orderdate")), "o_orderdate", key=True)
 
 
 @query(f"""SELECT id, ps[floor({_U("gen:o_orderpriority")} * len(ps))::BIGINT + 1] AS o_orderpriority, floor({_U("gen:o_custkey")} * 101)::BIGINT AS o_custkey, round({_U("gen:o_totalprice")} * 100, 6) AS o_totalprice,
-{letters_sql(3, "text:note", "id", str(int(4 + uniform_here(3, "len:note", 0) * 6)))} AS note FROM {_ROWS}, (SELECT list_sort(list(DISTINCT o_orderpriority)) AS ps FROM orders)""")
+{letters_sql(3, "text:note", "id", str(int(4 + uniform_here(3, "len:note", 0) * 6)))} AS note FROM {_rows_sql("orders")}, (SELECT list_sort(list(DISTINCT o_orderpriority)) AS ps FROM orders)""")
 def gen_random(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
     model = distribution.uniform_domain(profile(df, types={"o_custkey": INTEGER}, categorical={"o_custkey": False}, keys={"o_custkey": False}), df)
     model.columns["note"] = ColumnModel("note", STRING, False, False, min=4, max=9)
     names = list(model.columns)
-    made = generate.random_mode(spark.range(MADE), MADE, TableModel(MADE, {"id": ColumnModel("id", INTEGER, False, True), **model.columns}), seed=3)
+    made = generate.random_mode(spark.range(model.num_tuples), model.num_tuples, TableModel(model.num_tuples, {"id": ColumnModel("id", INTEGER, False, True), **model.columns}), seed=3)
     return rounded(made.select("id", *names), "o_totalprice", digits=6)
 
 
-def _draw_sql(inner: str, u: str, name: str) -> str:
+def _draw_sql(inner: str, u: str, name: str, table: str) -> str:
     """The row of (bin_idx, p, ...) whose range of cumulative probability holds u."""
     return f"""{name} AS (SELECT *, sum(p) OVER (ORDER BY bin_idx) AS hi, sum(p) OVER (ORDER BY bin_idx) - p AS lo, bin_idx = max(bin_idx) OVER () AS is_last FROM ({inner})),
-    {name}_drawn AS (SELECT r.id, d.* FROM {_ROWS} r JOIN {name} d ON {u} >= d.lo AND ({u} < d.hi OR d.is_last))"""
+    {name}_drawn AS (SELECT r.id, d.* FROM {_rows_sql(table)} r JOIN {name} d ON {u} >= d.lo AND ({u} < d.hi OR d.is_last))"""
 
 
-@query(f"WITH {_draw_sql(_categories_sql('o_orderpriority', 'orders'), _U('gen:o_orderpriority'), 'd')} SELECT id, value FROM d_drawn")
+@query(f"WITH {_draw_sql(_categories_sql('o_orderpriority', 'orders'), _U('gen:o_orderpriority'), 'd', 'orders')} SELECT id, value FROM d_drawn")
 def gen_indep_categorical(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, _fitted(read(spark, sf, "orders").select("o_orderpriority")).columns["o_orderpriority"])
+    return _made(spark, _fitted(read(spark, sf, "orders").select("o_orderpriority")), "o_orderpriority")
 
 
 def _bin_sql(x: str, table: str, column: str, value: str) -> str:
     wide = f"SELECT *, coalesce(lead(bin_lo) OVER (ORDER BY bin_idx), (SELECT max({x}) FROM {table})) AS bin_hi FROM ({_histogram_sql(x, table).replace('round(e[i + 1], 6)', 'e[i + 1]')})"
     drawn = f"bin_lo + {_U('val:' + column)} * (bin_hi - bin_lo)"
-    return f"WITH {_draw_sql(wide, _U('gen:' + column), 'd')} SELECT id, {value.replace('{v}', '(' + drawn + ')')} AS value FROM d_drawn"
+    return f"WITH {_draw_sql(wide, _U('gen:' + column), 'd', table)} SELECT id, {value.replace('{v}', '(' + drawn + ')')} AS value FROM d_drawn"
 
 
 @query(_bin_sql("l_extendedprice", "lineitem", "l_extendedprice", "round({v}, 6)"))
 def gen_indep_float(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_made(spark, _fitted(read(spark, sf, "lineitem").select("l_extendedprice")).columns["l_extendedprice"]), "value", digits=6)
+    return rounded(_made(spark, _fitted(read(spark, sf, "lineitem").select("l_extendedprice")), "l_extendedprice"), "value", digits=6)
 
 
 @query(_bin_sql("l_quantity", "lineitem", "l_quantity", "round_even({v}, 0)::BIGINT"))
 def gen_indep_int(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, _fitted(read(spark, sf, "lineitem").select("l_quantity")).columns["l_quantity"])
+    return _made(spark, _fitted(read(spark, sf, "lineitem").select("l_quantity")), "l_quantity")
 
 
 @query(_bin_sql("epoch(o_orderdate)", "orders", "o_orderdate", "trunc({v})::BIGINT"))
 def gen_indep_datetime(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, _fitted(read(spark, sf, "orders").select("o_orderdate")).columns["o_orderdate"])
+    return _made(spark, _fitted(read(spark, sf, "orders").select("o_orderdate")), "o_orderdate")
 
 
 @query(_bin_sql("length(p_name)", "part", "p_name", letters_sql(3, "text:p_name", "id", "trunc({v})")))
 def gen_indep_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, _fitted(read(spark, sf, "part").select("p_name")).columns["p_name"])
+    return _made(spark, _fitted(read(spark, sf, "part").select("p_name")), "p_name")
 
 
 _SSN = "(SELECT c_custkey % 1600 * 600011 + 1 AS ssn FROM customer)"
@@ -734,27 +731,27 @@ _SSN_TEXT = "(SELECT substr(z, 1, 3) || '-' || substr(z, 4, 2) || '-' || substr(
 
 @query(_bin_sql("ssn", _SSN, "ssn", _SSN_TEXT))
 def gen_indep_ssn(spark: SparkSession, sf: str) -> DataFrame:
-    return _made(spark, _fitted(_with_ssn(spark, sf).select("ssn"), keys={"ssn": False}).columns["ssn"])
+    return _made(spark, _fitted(_with_ssn(spark, sf).select("ssn"), keys={"ssn": False}), "ssn")
 
 
 @query(f"""WITH t AS (SELECT turn, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM conversations GROUP BY turn),
 r AS (SELECT turn, role, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY turn) AS p FROM conversations GROUP BY turn, role),
 tc AS (SELECT turn, sum(p) OVER (ORDER BY turn) AS hi, sum(p) OVER (ORDER BY turn) - p AS lo, turn = max(turn) OVER () AS is_last FROM t),
 rc AS (SELECT turn, role, sum(p) OVER (PARTITION BY turn ORDER BY role) AS hi, sum(p) OVER (PARTITION BY turn ORDER BY role) - p AS lo, role = max(role) OVER (PARTITION BY turn) AS is_last FROM r)
-SELECT n.id, tc.turn, rc.role FROM {_ROWS} n JOIN tc ON {_U("gen:turn")} >= tc.lo AND ({_U("gen:turn")} < tc.hi OR tc.is_last) JOIN rc ON rc.turn = tc.turn AND {_U("gen:role")} >= rc.lo AND ({_U("gen:role")} < rc.hi OR rc.is_last)""")
+SELECT n.id, tc.turn, rc.role FROM {_rows_sql("conversations")} n JOIN tc ON {_U("gen:turn")} >= tc.lo AND ({_U("gen:turn")} < tc.hi OR tc.is_last) JOIN rc ON rc.turn = tc.turn AND {_U("gen:role")} >= rc.lo AND ({_U("gen:role")} < rc.hi OR rc.is_last)""")
 def gen_correlated(spark: SparkSession, sf: str) -> DataFrame:
     model, tuples, cards = _talk(spark, sf)
     model.network = [("role", ["turn"])]
     model.conditional = cpt.collected(cpt.tables(tuples, model.network, cards))
     model.columns = {"id": ColumnModel("id", INTEGER, False, True), **model.columns}
-    return generate.correlated_mode(generate.rows_of(spark, MADE), MADE, model, seed=3)
+    return generate.correlated_mode(generate.rows_of(spark, model.num_tuples), model.num_tuples, model, seed=3)
 
 
 @query(f"""WITH l AS (SELECT * FROM {LABELLED}), q AS (SELECT quality, count(*)::DOUBLE / sum(count(*)) OVER () AS p, row_number() OVER (ORDER BY quality NULLS LAST) AS k FROM l GROUP BY quality),
 x AS (SELECT quality, toxic, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY quality) AS p, row_number() OVER (PARTITION BY quality ORDER BY toxic NULLS LAST) AS k FROM l GROUP BY quality, toxic),
 qc AS (SELECT quality, sum(p) OVER (ORDER BY k) AS hi, sum(p) OVER (ORDER BY k) - p AS lo, k = max(k) OVER () AS is_last FROM q),
 xc AS (SELECT quality, toxic, sum(p) OVER (PARTITION BY quality ORDER BY k) AS hi, sum(p) OVER (PARTITION BY quality ORDER BY k) - p AS lo, k = max(k) OVER (PARTITION BY quality) AS is_last FROM x)
-SELECT n.id, qc.quality::BIGINT AS quality, xc.toxic::BIGINT AS toxic FROM {_ROWS} n JOIN qc ON {_U("gen:quality")} >= qc.lo AND ({_U("gen:quality")} < qc.hi OR qc.is_last) JOIN xc ON xc.quality IS NOT DISTINCT FROM qc.quality AND {_U("gen:toxic")} >= xc.lo AND ({_U("gen:toxic")} < xc.hi OR xc.is_last)""")
+SELECT n.id, qc.quality::BIGINT AS quality, xc.toxic::BIGINT AS toxic FROM {_rows_sql(LABELLED)} n JOIN qc ON {_U("gen:quality")} >= qc.lo AND ({_U("gen:quality")} < qc.hi OR qc.is_last) JOIN xc ON xc.quality IS NOT DISTINCT FROM qc.quality AND {_U("gen:toxic")} >= xc.lo AND ({_U("gen:toxic")} < xc.hi OR xc.is_last)""")
 def gen_correlated_missing(spark: SparkSession, sf: str) -> DataFrame:
     df = labelled(spark, sf).select("quality", "toxic")
     model = _fitted(df)
@@ -762,7 +759,7 @@ def gen_correlated_missing(spark: SparkSession, sf: str) -> DataFrame:
     model.network = [("toxic", ["quality"])]
     model.conditional = cpt.collected(cpt.tables(bayesnet.collapsed(encode(df, model, ["quality", "toxic"])), model.network, cards))
     model.columns = {"id": ColumnModel("id", INTEGER, False, True), **model.columns}
-    return generate.correlated_mode(generate.rows_of(spark, MADE), MADE, model, seed=3).select("id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return generate.correlated_mode(generate.rows_of(spark, model.num_tuples), model.num_tuples, model, seed=3).select("id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
 
 
 def _stored(spark: SparkSession, sf: str) -> TableModel:
@@ -970,20 +967,20 @@ def charts_before_after(spark: SparkSession, sf: str) -> DataFrame:
     return _chart_rows({**both["barchart"], **both["histogram"]})
 
 
-@query(f"""WITH {_draw_sql(_categories_sql("o_orderpriority", "orders"), _U("gen:o_orderpriority"), "d")}, b AS (SELECT value, count(*) AS n FROM d_drawn GROUP BY value)
-SELECT d.value, round(d.n::DOUBLE / (SELECT sum(n) FROM d), 9) AS original, round(coalesce(b.n, 0)::DOUBLE / {MADE}, 9) AS synthetic FROM d LEFT JOIN b USING (value)""")
+@query(f"""WITH {_draw_sql(_categories_sql("o_orderpriority", "orders"), _U("gen:o_orderpriority"), "d", "orders")}, b AS (SELECT value, count(*) AS n FROM d_drawn GROUP BY value)
+SELECT d.value, round(d.n::DOUBLE / (SELECT sum(n) FROM d), 9) AS original, round(coalesce(b.n, 0)::DOUBLE / (SELECT count(*) FROM d_drawn), 9) AS synthetic FROM d LEFT JOIN b USING (value)""")
 def job_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """One job: model, synthetic table and its comparison with the original."""
-    _, _, frames = run(read(spark, sf, "orders").select("o_orderpriority"), Config(mode="independent", epsilon=0, rows=MADE, seed=3))
+    _, _, frames = run(read(spark, sf, "orders").select("o_orderpriority"), Config(mode="independent", epsilon=0, seed=3))
     return rounded(frames["o_orderpriority"], "original", "synthetic")
 
 
 @query(f"""WITH m AS ({ORACLES["gen_correlated"]}), o AS (SELECT 'turn' AS attr, turn::VARCHAR AS value, count(*) AS n FROM conversations GROUP BY ALL UNION ALL SELECT 'role', role, count(*) FROM conversations GROUP BY ALL),
 s AS (SELECT 'turn' AS attr, turn::VARCHAR AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'role', role, count(*) FROM m GROUP BY ALL)
-SELECT attr, value, round(o.n::DOUBLE / (SELECT count(*) FROM conversations), 9) AS original, round(coalesce(s.n, 0)::DOUBLE / {MADE}, 9) AS synthetic FROM o LEFT JOIN s USING (attr, value)""")
+SELECT attr, value, round(o.n::DOUBLE / (SELECT count(*) FROM conversations), 9) AS original, round(coalesce(s.n, 0)::DOUBLE / (SELECT count(*) FROM m), 9) AS synthetic FROM o LEFT JOIN s USING (attr, value)""")
 def job_correlated(spark: SparkSession, sf: str) -> DataFrame:
     """One job with a network: model, synthetic table and the comparison of each column."""
-    _, _, frames = run(read(spark, sf, "conversations").select("turn", "role"), Config(epsilon=0, degree=1, root="turn", rows=MADE, seed=3))
+    _, _, frames = run(read(spark, sf, "conversations").select("turn", "role"), Config(epsilon=0, degree=1, root="turn", seed=3))
     parts = [frames[c].select(F.lit(c).alias("attr"), "value", "original", "synthetic") for c in ("turn", "role")]
     return rounded(parts[0].unionByName(parts[1]), "original", "synthetic")
 
