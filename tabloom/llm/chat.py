@@ -7,7 +7,9 @@ backslash before them, which reads back exactly. The loss mask covers the text s
 trained role and comes from prefix sums over the segments' ends.
 
 Turns are ordered by turn (nulls first), then role, then text; null roles and texts are empty; a
-null conversation id is a conversation of its own. Repeated rows stay repeated turns.
+null conversation id is a conversation of its own. Repeated rows stay repeated turns. A conversation is
+folded by one task as its turns stream by, all rows without an id too: a very long one costs time, not
+memory; a turn's text is encoded whole. Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

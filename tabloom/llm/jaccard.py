@@ -27,7 +27,8 @@ similarity is at least ``num / den``.
 Null and empty texts and texts without words have an empty set, link with nothing and are groups of
 their own; fewer words than a shingle make one shingle; repeated rows are copies; a null id can be
 in a group but never names one. Equal hashes of different shingles (about 2**-64 a pair) are
-taken as equal.
+taken as equal. Ties do not arise, as a group is named by its smallest id. Sets of very long texts are
+made whole; only id and text are read, whatever other columns there are; an empty table gives no rows.
 """
 
 from __future__ import annotations

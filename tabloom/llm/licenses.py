@@ -13,7 +13,9 @@ template), and each start is verified: enough words at their places, and the man
 in the window.
 
 The base labels are places of fixed phrases, found in every text whatever the index says.
-A null text is empty: no words, no labels, score 0. Rows are scanned one by one.
+A null text is empty: no words, no labels, score 0. Rows are scanned one by one, whole at any length, so
+repeated rows and ids do not matter. Words of equal frequency are looked up in the order of their
+bytes. Columns of the input stay but for those named like an output; an empty table gives no rows.
 """
 
 from __future__ import annotations

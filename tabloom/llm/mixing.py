@@ -16,7 +16,9 @@ Rows are dealt into sorted ranges of rank, so running sums are taken in two leve
 rows within a range) and a source with most of the rows is spread over many tasks. The same rows and
 seed give the same mix, however they are partitioned. Null texts have no words; a null source is one
 source, last in order; documents without words are taken zero times; repeated rows are documents of
-their own, told apart by a number, so each has a draw of its own, also where all ids are null.
+their own, told apart by a number, so each has a draw of its own, also where all ids are null. Equal
+odds go by id (null first), size, text and that number. Texts are counted whole, at any length. Other
+columns are read only where ``weight`` names them; an empty table gives no rows.
 """
 
 from __future__ import annotations

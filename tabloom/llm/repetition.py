@@ -7,7 +7,10 @@ the longest repeat that starts at each word; where a repeat is not the tail of t
 it is a maximal repeated passage. The union of those of at least MIN_WORDS words gives the covered
 fraction. A text is rejected if the fraction or the longest repeat is above its limit.
 
-Null and empty texts have no words, which fails the base rule. Rows are judged one by one.
+Null and empty texts have no words, which fails the base rule. Rows are judged one by one, so repeated
+rows and ids do not matter; measures at a limit pass. A very long text is one chunk, whole, with about
+19 times its size of memory. Columns of the input stay but for those named like an output; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ Nulls give null ids and null texts; the empty text gives no ids; null ids within
 out; ids that are not in the model, negative ones too, raise. A model that is not of the BPE kind, or
 that the coder cannot follow otherwise, is refused when it is read: the ids of some hundred pieces,
 alone and side by side, are compared with the library's.
+
+Rows are coded one by one, so repeated rows and ids do not matter, and of segmentations that tie the
+library's is taken. A text is coded whole, at any length: its memory goes by its words. Columns of the
+input stay but for those named like an output; an empty table gives no rows.
 """
 
 from __future__ import annotations

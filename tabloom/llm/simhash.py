@@ -14,7 +14,9 @@ Null texts are empty; texts without words have fingerprint 0. The next document
 found by ranges of ids with about as many bytes each: every range also gets the first document of the
 range below it, and the lowest the first of all, so texts are shuffled once and each task streams its
 range in order. Equal ids are ordered by a hash of the text, then by the text, and are cut into ranges
-by that hash where they are many; null ids come last.
+by that hash where they are many; null ids come last. A bit whose votes tie is 0. Texts are
+fingerprinted whole, at any length, in slices of their terms. Columns of the input stay but for one
+named like the output; an empty table gives no rows.
 """
 
 from __future__ import annotations

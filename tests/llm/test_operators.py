@@ -244,6 +244,14 @@ def test_mixing_of_equal_rows(spark):
     assert abs(own.taken.sum() - own.target.iloc[0]) <= 4 and own.copies.nunique() > 1
 
 
+def test_mixing_reads_no_clashing_columns(spark):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    clash = docs.withColumns({c: F.lit("clash") for c in ("size", "digest", "w", "n", "copy", "copies", "taken", "target", "source_size", "place", "weight", "words", "q", "u")})
+    names = mixing.mix(docs).columns
+    assert mixing.mix(clash).columns == names
+    assert sorted(map(tuple, mixing.mix(clash).collect()), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+
+
 def test_mixing_odd(odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
