@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.rng import letters, uniform, uniform_here
-from tabloom.operators import bayesnet, cpt, distribution, generate, report
+from tabloom.operators import bayesnet, cpt, distribution, generate, ordered, report
 from tabloom.operators import information as info
 from tabloom.operators.encode import encode
 from tabloom.operators.profile import infer_types, profile
@@ -340,8 +340,6 @@ def test_running_and_quantiles(spark):
 def test_quantiles_of_many_columns(spark, monkeypatch):
     import numpy as np
 
-    from tabloom.operators import ordered
-
     n = 60_000
     df = spark.range(n).select(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)) / 7).alias(f"x{k}") for k, m in enumerate((10**9, 1000, 3))], F.when(F.col("id") % 2 > 0, F.lit(5.0)).otherwise(F.lit(float("nan"))).alias("x3"), F.lit(None).cast("double").alias("x4"), F.when(F.col("id") < 3, F.col("id")).alias("x5")).repartition(6).cache()
     table = df.toPandas()
@@ -373,7 +371,9 @@ def jobs(spark, run):
     return len(tracker.getJobIdsForGroup(group))
 
 
-def test_jobs_do_not_grow_with_columns(spark):
+@pytest.mark.parametrize("one_task", (0, 10**9))
+def test_jobs_do_not_grow_with_columns(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ordered, "ONE_TASK", one_task)  # few rows are ordered another way, in fewer jobs
     df = spark.range(3000).select(*[((F.col("id") * (2 * k + 1)) % 2999 / 3).alias(f"x{k}") for k in range(12)], F.col("id").alias("o")).cache()
     df.count()
     few, many = (jobs(spark, lambda m=m: report.rank_summary(df, "o", [f"x{k}" for k in range(m)]).collect()) for m in (2, 12))
