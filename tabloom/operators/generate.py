@@ -8,6 +8,7 @@ not depend on partitioning.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from itertools import accumulate
 from typing import NamedTuple
@@ -35,32 +36,51 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), body), 0)
 
 
-#: Cumulative probabilities beyond this number are looked up in two steps.
-STEP = 64
-
-
 def draw(cum: Column, u: Column) -> Column:
     """The code of a uniform number, by cumulative probabilities."""
     return let(u, lambda x: F.least(F.size(F.filter(cum, lambda c: c <= x)), F.size(cum) - 1))
 
 
+#: Slots of the guide of a draw for each code.
+GUIDE = 4
+
+
+def guide(cum: list[float]) -> list[int]:
+    """How many cumulative probabilities are at or below each slot's start, and below the end of the last.
+
+    Slots are equal parts of [0, 1); their number is a power of two, so a float's slot is exact.
+    """
+    slots = 1 << max(len(cum) * GUIDE - 1, 0).bit_length()
+    return [*(bisect_right(cum, k / slots) for k in range(slots)), len(cum)]
+
+
 def draw_of(cum: list[float], u: Column) -> Column:
-    """The same with plain probabilities: many are searched by the last of each STEP first."""
-    if len(cum) <= 2 * STEP:
-        return draw(numbers(cum), u)
-    heads = numbers(cum[STEP - 1 :: STEP])
-    parts = F.array(*[numbers(cum[k : k + STEP]) for k in range(0, len(cum), STEP)])
+    """The same with plain probabilities, by a guide: only those within the slot of the number are compared.
+
+    As all slots are equally likely, that is 1 / GUIDE of a comparison in expectation, whatever the
+    number of codes and their probabilities.
+    """
+    if not cum:
+        return F.lit(-1)
+    ordered = sorted(cum)
+    starts = guide(ordered)
+    bounds, first, slots = numbers(ordered), whole_numbers(starts), len(starts) - 1
 
-    def look(x: Column) -> Column:
-        part = F.size(F.filter(heads, lambda c: c <= x))
-        here = F.coalesce(F.size(F.filter(F.get(parts, part), lambda c: c <= x)), F.lit(0))
-        return F.least(part * STEP + F.greatest(here, F.lit(0)), F.lit(len(cum) - 1))
+    def look(x: Column, slot: Column) -> Column:
+        start, end = F.get(first, slot), F.get(first, slot + 1)
+        inside = F.size(F.filter(F.slice(bounds, start + 1, end - start), lambda c: c <= x))
+        return F.least(F.when(start == end, start).otherwise(start + inside), F.lit(len(cum) - 1))
 
-    return let(u, look)
+    return let(u, lambda x: let(F.floor(x * float(slots)).cast("int"), lambda slot: look(x, slot)))
 
 
 def numbers(values: list) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array, handed to Spark as one text, which it reads once for a plan."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+
+def whole_numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
 def sampled_code(c: ColumnModel, seed: object, row: Column) -> Column:

@@ -507,6 +507,29 @@ def test_draws_of_many(spark):
     assert two.where("a <> b").count() == 0 and two.agg(F.max("a")).first()[0] > 290
 
 
+def skewed(n, power):
+    p = [1 / (k + 1) ** power for k in range(n)]
+    return [x / sum(p) for x in p]
+
+
+@pytest.mark.parametrize("p", [[1.0], [0.0, 1.0], [0.5, 0.0, 0.0, 0.5, 0.0], [0.0, 0.0, 0.0], [0.2, 0.3], skewed(7, 0), skewed(64, 9), skewed(129, 0), skewed(1000, 3), [1e-18] * 300 + [1.0]], ids=lambda p: str(len(p)))
+def test_guided_draws_are_those_of_all_comparisons(spark, p):
+    cum = generate.cumulative(p)
+    slots = len(generate.guide(cum)) - 1
+    ends = [math.nextafter(x, d) for x in {*cum, *(k / slots for k in range(slots))} for d in (0, x, 1)]
+    asked = sorted({x for x in [*ends, *(uniform_here(3, "u", i) for i in range(300))] if 0 <= x < 1})
+    got = rows(spark.createDataFrame([(x,) for x in asked], "u double").select("u", generate.draw_of(cum, F.col("u"))))
+    assert sorted(got) == [(x, min(sum(c <= x for c in cum), len(cum) - 1)) for x in asked]
+    # A slot is compared with the sums inside it alone, 1 / GUIDE of one in expectation.
+    assert sum(b - a for a, b in zip(generate.guide(cum), generate.guide(cum)[1:], strict=False)) / slots <= 1 / generate.GUIDE + 1e-9 or len(cum) == 1
+
+
+def test_draws_without_codes(spark):
+    assert rows(spark.range(2).select(generate.draw_of([], F.lit(0.5)), F.size(generate.numbers([])))) == [(-1, 0), (-1, 0)]
+    got = rows(spark.range(1).select(generate.numbers([0.1, -1e300, 5e-324, 1 / 3, math.inf])))
+    assert got == [([0.1, -1e300, 5e-324, 1 / 3, math.inf],)]
+
+
 def test_reports(spark, docs):
     model = profile(docs)
     assert set(report.charts(docs, model)) == set(docs.columns)
