@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,19 +83,22 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: list[T.StructField],
     """Add columns that ``fn`` makes, one Arrow batch at a time, from the input columns.
 
     ``fn`` gets one Arrow array for each input and gives one list or array for each output.
-    Columns of ``df`` that have the name of an output are replaced; all others pass unchanged.
+    Columns of ``df`` that have the name of an output are replaced; all others pass unchanged, and an
+    input that passes is sent to the workers once.
     There is no shuffle, and rows keep their identity, so repeated rows and null keys are safe.
     """
     made = [f.name for f in outputs]
     keep = [c for c in df.columns if c not in made]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    gone = [c for c in dict.fromkeys(inputs) if c not in keep]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(gone)])
+    at = [[*keep, *gone].index(c) for c in inputs]
     schema = T.StructType([*[df.schema[c] for c in keep], *outputs])
     types = [_arrow_type(f.dataType) for f in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, max(b.num_rows, 1), 1000)):
             old = [batch.column(i) for i in range(len(keep))]
-            new = fn([batch.column(len(keep) + i) for i in range(len(inputs))])
+            new = fn([batch.column(i) for i in at])
             new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) and x.type == t else pa.array(x, type=t) for x, t in zip(new, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*old, *new], names=[*keep, *made])
         forget()
@@ -125,9 +129,12 @@ CACHES: list[dict] = []
 
 
 def forget() -> None:
+    """Empty the caches and give what is free back to the system: idle workers take memory beside the next stage's executor."""
     for cache in CACHES:
         cache.clear()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc, which else keeps what is freed between used pieces
+        trim(0)
 
 
 class Cache(dict):

@@ -135,6 +135,19 @@ def test_sentencepiece_keeps_frequent_words_when_full(docs, monkeypatch):
     assert c.encode(texts) == whole and c.known_apart <= 100
 
 
+def test_inputs_are_sent_once(spark):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(1, "a", "b"), (2, None, "d")], "id int, text string, other string")
+    seen = with_columns(df, ["text"], [T.StructField("n", T.LongType())], lambda c: [[len(x or "") for x in c[0].to_pylist()]])
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "__in0" not in plan
+    assert sorted(map(tuple, seen.collect())) == [(1, "a", "b", 1), (2, None, "d", 0)]
+    over = with_columns(df, ["text", "other", "text"], [T.StructField("text", T.StringType())], lambda c: [[f"{a}{b}{d}" for a, b, d in zip(*[x.to_pylist() for x in c], strict=True)]])
+    assert over.columns == ["id", "other", "text"]
+    assert sorted(map(tuple, over.collect())) == [(1, "b", "aba"), (2, "d", "NonedNone")]
+
+
 def test_sentencepiece_frames(odd, none):
     out = sentencepiece_viterbi.encode(odd).select("text", "ids", F.size("ids").alias("n"))
     assert out.where("text is null and ids is not null").count() == 0 and out.where("text = '' and n <> 0").count() == 0
