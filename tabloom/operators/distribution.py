@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.order import NESTED, below
 from tabloom.functions.rng import laplace, uniform
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, as_number
 from tabloom.operators.dictionary import built, kind_of, reweighted
@@ -189,12 +190,14 @@ def fit(df: DataFrame, model: TableModel, bins: int | str = BINS, domains: dict[
         lefts = {}
         for c in numbers:
             lefts[c.name] = edges(float(c.min), float(c.max), counts[c.name])
-        pairs = []
-        for c in numbers:
-            x = as_number(value(df, c.name), df.schema[c.name].dataType, c.data_type).cast("double")
+        pairs, read = [], df.select(*[xs[c.name].cast("double").alias(f"x{k}") for k, c in enumerate(numbers)])
+        for k, c in enumerate(numbers):
+            x, left = F.col(f"x{k}"), lefts[c.name]
             top = float(c.max) + (0.5 if c.min == c.max else 0)
-            pairs.append(F.struct(F.lit(c.name).alias("attr"), F.when(x.between(lefts[c.name][0], top), bin_of(x, lefts[c.name])).alias("bin")))
-        counts = df.select(F.explode(F.array(*pairs)).alias("x")).where("x.bin is not null").groupBy("x.attr", "x.bin").count().collect()
+            place = below(left, x) - 1 if len(left) <= NESTED else bin_of(x, left)
+            read = read.withColumn(f"b{k}", F.when(x.between(left[0], top), place))
+            pairs.append(F.struct(F.lit(c.name).alias("attr"), F.col(f"b{k}").alias("bin")))
+        counts = read.select(F.explode(F.array(*pairs)).alias("x")).where("x.bin is not null").groupBy("x.attr", "x.bin").count().collect()
         seen = {(r["attr"], r["bin"]): r["count"] for r in counts}
         for c in numbers:
             _fill(c, [(left, seen.get((c.name, k), 0)) for k, left in enumerate(lefts[c.name])])

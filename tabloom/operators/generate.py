@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.order import NESTED, below
 from tabloom.functions.rng import letters, shuffled, uniform, uniform_here
 from tabloom.functions.types import DATETIME, FLOAT, INTEGER, SSN, STRING, ssn_text
 from tabloom.operators import dictionary
@@ -103,6 +104,20 @@ def decoded(c: ColumnModel, code: Column, seed: object, row: Column, timestamps:
     return let(x, lambda v: as_value(c, v, seed, row, timestamps))
 
 
+def drawn_steps(c: ColumnModel, seed: object, row: Column, timestamps: bool) -> tuple[Callable[[Column], Column], ...]:
+    """From a uniform number to a code and on to its value, for a column of few codes; null stays null."""
+    ordered = sorted(cumulative(c.distribution_probabilities))
+
+    def code(u: Column) -> Column:
+        return F.when(u.isNotNull(), F.least(below(ordered, u), F.lit(len(ordered) - 1)))
+
+    if c.is_categorical:
+        return code, lambda k: decoded(c, k, seed, row, timestamps)
+    low = numbers(c.distribution_bins)
+    high = numbers([*c.distribution_bins[1:], c.max + (0.5 if c.min == c.max else 0)])
+    return code, lambda k: F.get(low, k) + uniform(seed, f"val:{c.name}", row) * (F.get(high, k) - F.get(low, k)), lambda x: as_value(c, x, seed, row, timestamps)
+
+
 def as_value(c: ColumnModel, x: Column, seed: object, row: Column, timestamps: bool = False) -> Column:
     """A drawn number as a value of the column's type."""
     if c.data_type == INTEGER:
@@ -165,6 +180,8 @@ class Made(NamedTuple):
     value: Column
     how: str | None = None
     after: Callable[[Column], Column] = lambda v: v
+    #: What is made of the value in turn, each from a column of a table, so that none is computed twice.
+    steps: tuple[Callable[[Column], Column], ...] = ()
 
 
 def shown(c: ColumnModel, timestamps: bool) -> Callable[[Column], Column]:
@@ -177,6 +194,9 @@ def shown(c: ColumnModel, timestamps: bool) -> Callable[[Column], Column]:
 def filled(rows: DataFrame, parts: list[Made]) -> DataFrame:
     """The table of some columns, from rows with ``id`` and what the expressions read."""
     out = rows.select("id", *[m.value.alias(f"c{k}") for k, m in enumerate(parts)])
+    for k, m in enumerate(parts):  # a step at a time, as compiled code has a method for each
+        for step in m.steps:
+            out = out.withColumn(f"c{k}", step(F.col(f"c{k}")))
     for k, m in enumerate(parts):
         if m.how:
             out = (dictionary.drawn if m.how == "draw" else dictionary.named)(out, m.column.dictionary, f"c{k}")
@@ -203,6 +223,9 @@ def independent_value(c: ColumnModel, n: int, seed: object, row: Column, emit_mi
     if c.dictionary:
         show = shown(c, timestamps)
         return Made(c, uniform(seed, f"gen:{c.name}", row), "draw", show if stays is None else lambda v: F.when(stays, show(v)))
+    if 0 < len(c.distribution_bins) <= NESTED and len(c.distribution_probabilities) == len(c.distribution_bins):
+        u = uniform(seed, f"gen:{c.name}", row)
+        return Made(c, u if stays is None else F.when(stays, u), steps=drawn_steps(c, seed, row, timestamps))
     v = decoded(c, sampled_code(c, seed, row), seed, row, timestamps)
     return Made(c, v if stays is None else F.when(stays, v))
 

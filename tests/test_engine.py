@@ -560,3 +560,21 @@ def test_stream(spark, docs, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, rows(spark.table("made")))) == sorted(map(str, rows(sample(spark, model, 100, "correlated", 4))))
+
+
+def test_nested_comparisons_are_the_scan(spark):
+    from tabloom.functions.order import NESTED, below
+
+    for edges in ([], [0.5], [0.0, 0.25, 0.25, 0.25, 1.0], [k / NESTED for k in range(NESTED)]):
+        xs = sorted({-1.0, 0.0, 0.1, 0.25, 0.5, 0.999, 1.0, 2.0, *edges})
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", below(edges, F.col("x")).alias("n")).collect()
+        assert {r.x: r.n for r in got} == {x: sum(e <= x for e in edges) for x in xs}
+
+
+def test_independent_draws_need_no_lambda(spark):
+    df = spark.createDataFrame([(k % 7, float(k % 90), None if k % 3 else "a") for k in range(300)], "a int, x double, t string")
+    made = sample(spark, describe(df, Config(mode="independent", epsilon=0)), emit_missing=True)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("md5(") == 5  # a draw for each column, the place within a bin, and what is missing
+    n, t = made.agg(F.count("*"), F.count("t")).first()
+    assert n == 300 and 50 < t < 150
