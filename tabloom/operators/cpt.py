@@ -16,6 +16,8 @@ from tabloom.operators.distribution import normalized
 
 #: Cells of a network's tables that a model holds as lists; more stay a table.
 LISTED = 200_000
+#: Cells that one task joins and sums, about.
+IN_TASK = 250_000
 #: Cells are numbered by 64 bits.
 MOST_CELLS = 1 << 62
 
@@ -41,14 +43,20 @@ def joint_counts(tuples: DataFrame, cards: dict[str, int], epsilon: float = 0.0,
     """(codes, count) over the full space; 0 where nothing was seen, noisy and cut at 0 with epsilon."""
     names = list(cards)
     seen = tuples.groupBy(*[F.col(f"`{c}`").cast("int").alias(c) for c in names]).agg(F.sum("n").cast("double").alias("count"))
-    full = code_space(tuples, cards).join(seen, names, "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
+    space, parts = code_space(tuples, cards), math.prod(cards.values()) // IN_TASK
+    if parts:  # a task has so many cells at any size
+        space, seen = [x.repartition(parts + 1, *names) for x in (space, seen)]
+    full = space.join(seen, names, "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
     if not epsilon:
         return full
     noise = laplace(uniform(seed, stream, *[F.col(f"`{c}`") for c in names]), noise_of_counts(attributes, len(names) - 1, epsilon))
     return full.withColumn("count", F.greatest(F.col("count") + noise, F.lit(0.0)))
 
 
-def marginal(joint: DataFrame, names: list[str]) -> DataFrame:
+def marginal(joint: DataFrame, names: list[str], cells: int = 0) -> DataFrame:
+    """Counts over some of a joint table's columns; ``cells`` is how many these have, if that may be many."""
+    if parts := cells // IN_TASK:  # as full spaces are even, so are these; sums before the shuffle would hold as many
+        joint = joint.repartition(parts + 1, *[F.col(f"`{c}`") for c in names])
     return joint.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.sum("count").alias("count"))
 
 
@@ -56,7 +64,13 @@ def conditional(joint: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """(child, parent_codes, code, p) from counts over parents and child; an instance never seen is uniform."""
     given = F.array(*[F.col(f"`{p}`").cast("int") for p in parents]) if parents else F.expr("cast(array() as array<int>)")
     rows = joint.select(F.lit(child).alias("child"), given.alias("parent_codes"), F.col(f"`{child}`").alias("code"), F.col("count"))
-    return rows.withColumn("p", normalized(F.col("count"), Window.partitionBy("parent_codes"))).select("child", "parent_codes", "code", "p")
+    if parents:
+        return rows.withColumn("p", normalized(F.col("count"), Window.partitionBy("parent_codes"))).select("child", "parent_codes", "code", "p")
+    # All rows are of one instance: their sum comes from an aggregation, as a window would put them all in one task.
+    count = F.greatest("count", F.lit(0.0))
+    whole = F.broadcast(joint.agg(F.sum(count).alias("total"), F.count("*").alias("codes")))
+    p = F.when(F.col("total") > 0, F.try_divide(count, F.col("total"))).otherwise(F.lit(1.0) / F.col("codes"))
+    return rows.crossJoin(whole).select("child", "parent_codes", "code", p.alias("p"))
 
 
 def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[str, int], epsilon: float = 0.0, seed: object = 0, shared: DataFrame | None = None) -> DataFrame:
@@ -69,10 +83,10 @@ def tables(tuples: DataFrame, network: list[tuple[str, list[str]]], cards: dict[
     d = len(cards)
     shared_names = [root, *[c for c, _ in network[:k]]]
     shared = joint_counts(tuples, {c: cards[c] for c in shared_names}, epsilon, d, seed, f"cpt:{root}") if shared is None else shared
-    parts = [conditional(marginal(shared, [root]), root, [])]
+    parts = [conditional(marginal(shared, [root], cards[root]), root, [])]
     for i, (child, parents) in enumerate(network):
         names = [*parents, child]
-        own = marginal(shared, names) if i < k else joint_counts(tuples, {c: cards[c] for c in names}, epsilon, d, seed, f"cpt:{child}")
+        own = marginal(shared, names, math.prod(cards[c] for c in names)) if i < k else joint_counts(tuples, {c: cards[c] for c in names}, epsilon, d, seed, f"cpt:{child}")
         parts.append(conditional(own, child, parents))
     out = parts[0]
     for p in parts[1:]:

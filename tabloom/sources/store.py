@@ -35,8 +35,8 @@ def write_model(spark: SparkSession, model: TableModel, folder: str) -> None:
     for k, d in enumerate(large.values()):
         d.table.write.parquet(f"{folder}/dictionary/{k}")
     if model.network:
-        tables = conditional_frame(spark, model)
-        tables.repartition("place", "given").write.partitionBy("place").parquet(f"{folder}/conditional")
+        tables = conditional_frame(spark, model)  # the root's rows are all of one ``given``
+        tables.repartition("place", "given", "code").write.partitionBy("place").parquet(f"{folder}/conditional")
     spark.createDataFrame([(json.dumps(text, default=str),)], "value string").coalesce(1).write.text(f"{folder}/model")
 
 

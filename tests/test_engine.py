@@ -578,3 +578,16 @@ def test_independent_draws_need_no_lambda(spark):
     assert "lambda" not in plan and plan.count("md5(") == 5  # a draw for each column, the place within a bin, and what is missing
     n, t = made.agg(F.count("*"), F.count("t")).first()
     assert n == 300 and 50 < t < 150
+
+
+def test_root_of_a_network_needs_no_window(spark, monkeypatch):
+    tuples = spark.createDataFrame([(k, k % 2, 1 + k % 3) for k in range(50)], "a int, b int, n bigint")
+    network, cards = [("b", ["a"])], {"a": 51, "b": 2}
+    whole = {tuple(map(str, r)) for r in cpt.tables(tuples, network, cards).collect()}
+    root = cpt.conditional(cpt.marginal(cpt.joint_counts(tuples, cards), ["a"]), "a", [])
+    assert "Window" not in root._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(cpt, "IN_TASK", 10)  # many tasks, the same tables
+    assert {tuple(map(str, r)) for r in cpt.tables(tuples, network, cards).collect()} == whole
+    monkeypatch.undo()
+    nothing = cpt.conditional(spark.createDataFrame([(0, -1.0), (1, 0.0)], "a int, count double"), "a", [])
+    assert {r.p for r in nothing.collect()} == {0.5}
